@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonelake.llm import tokens
+from tonelake.llm import split, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,27 @@ def p6_ids(spark, folder):
 @query
 def p6_roundtrip(spark, folder):
     return tokens.round_trip(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def _long_items(spark, folder, f):
+    return f(table(spark, folder, "filings"), "filings", "accession_number", "raw_text").unionByName(f(table(spark, folder, "transcripts"), "transcripts", "transcript_id", "raw_text"))
+
+
+@query
+def p2_found(spark, folder):
+    return _long_items(spark, folder, split.cut_kinds)
+
+
+@query
+def p2_pieces(spark, folder):
+    return _long_items(spark, folder, split.pieces)
+
+
+ORACLES["p2_found"] = r"""
+WITH items AS (
+  SELECT 'filings' AS source_table, accession_number AS item_key, raw_text FROM filings
+  UNION SELECT 'transcripts', CAST(transcript_id AS VARCHAR), raw_text FROM transcripts)
+SELECT source_table, item_key,
+  CASE WHEN list_max(list_transform(string_split_regex(raw_text, '[ \t\r\n]'), lambda x: length(x))) > 4000 THEN 'hard' ELSE 'natural' END AS boundary
+FROM items WHERE length(raw_text) > 4000
+"""
