@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonelake.llm import split, tokens
+from tonelake.llm import lines, split, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,29 @@ SELECT source_table, item_key,
   CASE WHEN list_max(list_transform(string_split_regex(raw_text, '[ \t\r\n]'), lambda x: length(x))) > 4000 THEN 'hard' ELSE 'natural' END AS boundary
 FROM items WHERE length(raw_text) > 4000
 """
+
+
+@query
+def p5_found(spark, folder):
+    return lines.repeated_lines(table(spark, folder, "filings"), "accession_number", "ticker", "raw_text")
+
+
+@query
+def p5_clean(spark, folder):
+    return lines.without_repeated_lines(table(spark, folder, "filings"), "accession_number", "ticker", "raw_text")
+
+
+ORACLES["p5_found"] = r"""
+WITH docs AS (
+  SELECT accession_number, min(upper(trim(ticker))) AS s, min(raw_text) AS t FROM filings WHERE trim(ticker) <> '' AND raw_text <> '' GROUP BY 1),
+cut AS (SELECT accession_number, s, string_split(t, chr(10)) AS lines FROM docs),
+each AS (SELECT accession_number, s, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS n FROM cut),
+keyed AS (
+  SELECT accession_number, s, n, lower(regexp_replace(line, '[^\pL]', '', 'g')) AS letters FROM each
+  WHERE NOT regexp_matches(line, '^\s*(?i:item|part)(?:[^\pL\pN_]|$)')),
+sizes AS (SELECT s, count(*) AS docs FROM docs GROUP BY 1),
+repeated AS (
+  SELECT s, letters FROM keyed JOIN sizes USING (s) WHERE length(letters) >= 25 GROUP BY s, letters
+  HAVING count(DISTINCT accession_number) >= 4 AND count(DISTINCT accession_number) >= 0.2 * any_value(docs))
+SELECT accession_number, CAST(n AS INTEGER) AS line_no FROM keyed JOIN repeated USING (s, letters)
+"""
