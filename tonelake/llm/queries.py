@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonelake.llm import lines, split, tokens
+from tonelake.llm import lines, neardup, split, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,13 @@ repeated AS (
   HAVING count(DISTINCT accession_number) >= 4 AND count(DISTINCT accession_number) >= 0.2 * any_value(docs))
 SELECT accession_number, CAST(n AS INTEGER) AS line_no FROM keyed JOIN repeated USING (s, letters)
 """
+
+
+@query
+def p3_found(spark, folder):
+    return neardup.similar_pairs(table(spark, folder, "filings"), "accession_number", "raw_text", ("accession_a", "accession_b"))
+
+
+@query
+def p3_groups(spark, folder):
+    return neardup.similar_groups(table(spark, folder, "filings"), "accession_number", "raw_text")
