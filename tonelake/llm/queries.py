@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonelake.llm import lines, neardup, split, tokens
+from tonelake.llm import lines, neardup, reading, split, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ def p3_found(spark, folder):
 @query
 def p3_groups(spark, folder):
     return neardup.similar_groups(table(spark, folder, "filings"), "accession_number", "raw_text")
+
+
+@query
+def p8_found(spark, folder):
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_grades")).where("reading_level is not null").dropDuplicates(["doc_id"])
