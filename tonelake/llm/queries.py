@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonelake.llm import lines, neardup, reading, split, tokens
+from tonelake.llm import lines, mixing, neardup, reading, split, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -89,6 +89,21 @@ def p3_groups(spark, folder):
     return neardup.similar_groups(table(spark, folder, "filings"), "accession_number", "raw_text")
 
 
+def _mixture(spark, folder):
+    sized = tokens.encode_column(table(spark, folder, "documents"), "doc_id", "text", counts_only=True, carry=("source",))
+    return mixing.mixture(sized, table(spark, folder, "mix_targets"))
+
+
+@query
+def p7_mixture(spark, folder):
+    return _mixture(spark, folder)[0]
+
+
+@query
+def p7_shares(spark, folder):
+    return _mixture(spark, folder)[1]
+
+
 @query
 def p8_found(spark, folder):
     return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_grades")).where("reading_level is not null").dropDuplicates(["doc_id"])
