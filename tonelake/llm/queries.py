@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonelake.llm import lines, mixing, neardup, reading, split, tokens
+from tonelake.llm import lines, mixing, neardup, reading, split, tokens, turns
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,16 @@ def query(f):
     return f
 
 
+@query
+def p1_found(spark, folder):
+    return turns.speaker_turns(table(spark, folder, "transcripts")).drop("text")
+
+
+@query
+def p1_turns(spark, folder):
+    return turns.speaker_turns(table(spark, folder, "transcripts"))
+
+
 @query
 def p6_ids(spark, folder):
     return tokens.encode_column(table(spark, folder, "documents"), "doc_id", "text")
