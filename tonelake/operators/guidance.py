@@ -63,22 +63,23 @@ def distinct_guidance(guidance: DataFrame) -> DataFrame:
 
 
 def plausible(metric, value):
-    """Whether an amount lies within the bounds of its metric, both included."""
-    out = F.lit(False)
-    for name, (low, high) in BOUNDS.items():
-        out = F.when(metric == name, (value >= low) & (value <= high if high is not None else F.lit(True))).otherwise(out)
-    return out
+    """Whether an amount lies within the bounds of its metric, both included; an unknown metric has none."""
+    bound = lambda i: F.try_element_at(F.create_map(*[F.lit(v) for m, b in BOUNDS.items() for v in (m, float("inf") if b[i] is None else b[i])]), metric)
+    return F.coalesce(value.between(bound(0), bound(1)), F.lit(False))
 
 
 def extract_guidance(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, metric, low, high, unit, confidence of the first amount that each pattern finds in each text, if plausible."""
-    scale = lambda u: F.when(F.lower(u) == "billion", 1e9).when(F.lower(u) == "million", 1e6).when(F.lower(u) == "thousand", 1e3).when(F.lower(u) == "basis points", 0.01).otherwise(1.0)
+    sizes = F.create_map(*[F.lit(v) for kv in {"billion": 1e9, "million": 1e6, "thousand": 1e3, "basis points": 0.01}.items() for v in kv])
+    scale = lambda u: F.coalesce(F.try_element_at(sizes, F.lower(u)), F.lit(1.0))
     kinds = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit"), F.lit(c).alias("confidence"), F.lit(p).alias("pattern")) for m, u, c, p in PATTERNS])
     each = texts.select(key, F.col(text).alias("t"), F.inline(kinds)).where("t rlike pattern")
     each = each.select(key, "metric", "unit", "confidence", *[F.expr(f"regexp_extract(t, pattern, {i})").alias(f"p{i}") for i in range(1, 5)])
     number = lambda c: F.replace(F.col(c), F.lit(","), F.lit("")).try_cast("double")
-    low = number("p1") * scale(F.when(F.col("p2") != "", F.col("p2")).otherwise(F.col("p4")))
-    high = F.coalesce(number("p3") * scale(F.when(F.col("p4") != "", F.col("p4")).otherwise(F.col("p2"))), F.col("lo"))
-    out = each.withColumn("lo", low).withColumn("hi", high).where("lo is not null")
+    low = number("p1") * scale(F.coalesce(F.nullif(F.col("p2"), F.lit("")), F.col("p4")))
+    high = number("p3") * scale(F.coalesce(F.nullif(F.col("p4"), F.lit("")), F.col("p2")))
+    # A generator keeps the filters on amounts from being copied into the extraction.
+    ends = F.array(F.struct(low.alias("lo"), high.alias("hi")))
+    out = each.select(key, "metric", "unit", "confidence", F.inline(ends)).withColumn("hi", F.coalesce("hi", "lo")).where("lo is not null")
     out = out.select(key, "metric", F.least("lo", "hi").alias("low"), F.greatest("lo", "hi").alias("high"), "unit", "confidence")
     return out.where(plausible(F.col("metric"), F.col("low")) & plausible(F.col("metric"), F.col("high")))

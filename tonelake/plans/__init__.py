@@ -1,6 +1,6 @@
 """Named queries."""
 
-from tonelake.plans import catalog, tone, training  # noqa: F401
+from tonelake.plans import catalog, market, tone, training  # noqa: F401
 
 
 def all_queries():

@@ -58,8 +58,8 @@ def analysts(rows: DataFrame) -> DataFrame:
 
 
 def prices(lineitem: DataFrame, names: int = 20) -> DataFrame:
-    """A daily price for each of some names, from what goods sold for: ticker, dt, open, close."""
+    """A daily price for each of some names, from what goods sold for: ticker, dt, open (the highest of the day), close (the lowest after discount)."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     return lineitem.where("l_quantity > 0 and l_shipdate is not null").groupBy(F.concat(F.lit("S"), F.col("l_suppkey") % names).alias("ticker"), F.to_date("l_shipdate").alias("dt")).agg(
-        F.round(F.avg(unit), 4).alias("open"), F.round(F.avg(unit * (1 - F.col("l_discount"))), 4).alias("close")
+        F.max(unit).alias("open"), F.min(unit * (1 - F.col("l_discount"))).alias("close")
     )
