@@ -157,7 +157,7 @@ def similar_pairs(df: DataFrame, key: str, text: str, names: tuple[str, str] = (
     """
     classes = stage(similar_classes(df, key, text, threshold, width, **more), "similar")
     members = _texts(df, key, text).withColumn("worded", F.col("t").rlike(r"(?:[\p{L}\p{N}]+[^\p{L}\p{N}]+){%d}[\p{L}\p{N}]" % (width - 1)))
-    members = stage(members.groupBy("k").agg(F.min_by("c", "t").alias("c"), F.min_by("worded", "t").alias("worded")), "members")
+    members = stage(members.groupBy("k").agg(F.min(F.struct("c", "worded")).alias("m")).select("k", "m.*"), "members")
     apart = classes.join(members.select(F.col("c").alias("a"), F.col("k").alias("x")), "a").join(members.select(F.col("c").alias("b"), F.col("k").alias("y")), "b")
     sizes = members.where("worded").groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
     copies = _meetings(members.join(sizes, "c"), "c", "n", "k").select(F.col("a").alias("x"), F.col("b").alias("y"))
