@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from tonelake.functions import text as T
 
@@ -63,7 +64,7 @@ def question_pairs(turns: DataFrame, key: str) -> DataFrame:
     return x.select(key, "turn_index", F.when(asks, "pair").otherwise("statement").alias("kind"), body.alias("body")).where(F.length("body") > 50)
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
 def _packed(column: pd.Series) -> pd.Series:
     def pack(sentences):
         out, held, size = [], [], 0
@@ -85,7 +86,7 @@ def _packed(column: pd.Series) -> pd.Series:
     return column.map(pack)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _breaks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     def split(tokens, similar):
         out, group, size = [], 0, 0

@@ -14,7 +14,7 @@ from tonelake.storage import stage
 #: vectors in a block; two blocks are one matrix product
 BLOCK = 1024
 #: vectors that the cells are fitted to, cells, and cells that a query looks into
-SAMPLE, CELLS, PROBES = 20_000, 64, 24
+SAMPLE, CELLS, PROBES = 20_000, 64, 36
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -83,7 +83,9 @@ def in_cells(df: DataFrame, key: str, vector: str, centres: np.ndarray, probes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.argsort(-(_matrix(batch.column(1)) @ centres.T), axis=1, kind="stable")[:, :probes]
+            m = _matrix(batch.column(1))
+            score = m @ centres.T if m.shape[1] == centres.shape[1] else np.zeros((len(m), len(centres)))
+            cells = np.argsort(-score, axis=1, kind="stable")[:, :probes]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["id", "v", "cells"])
 
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tonelake.functions import text as T
 
@@ -31,7 +32,7 @@ class _Text(HTMLParser):
             self.parts.append(data.strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The visible text of pages, a line for each text node."""
 
@@ -47,8 +48,12 @@ def html_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Arrays or lines of JSON objects; a malformed row is skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).json(path)
+    """Rows of JSON arrays, or of a JSON object a line; each malformed row is skipped alone."""
+    whole = spark.read.text(path, wholetext=True)
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.split("value", "\n"))
+    row = F.from_json("x", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = whole.select(F.explode(listed).alias("x")).where(F.trim("x") != "").select(row.alias("r")).select("r.*")
+    return rows.where("_bad is null").drop("_bad")
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
