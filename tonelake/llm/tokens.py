@@ -196,7 +196,8 @@ class Utf8Machine:
 def decode(ids: Iterable[int], tokens: dict[int, bytes]) -> str:
     """The text of ids; an id that the vocabulary lacks gives U+FFFD."""
     machine = Utf8Machine()
-    return "".join(chain((machine.feed(tokens.get(i, b"\xff")) for i in ids), [machine.finish()]))
+    text = "".join(machine.feed(tokens.get(i, b"\xff")) for i in ids)
+    return text + machine.finish()
 
 
 _READY: dict[str, Transducer] = {}
