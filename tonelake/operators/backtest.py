@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonelake.functions import dates as D
 from tonelake.functions.labels import signal
+from tonelake.storage import stage
 
 # Days held, days a price is looked for, trading days of a year, risk-free rate, capital.
 HOLDING, TOLERANCE, YEAR, RISK_FREE, CAPITAL = 20, 4, 252, 0.045, 100_000.0
@@ -43,6 +44,7 @@ def price_on_or_after(days: DataFrame, prices: DataFrame, price: str, day: str =
 
 def trades(signals_: DataFrame, prices: DataFrame) -> DataFrame:
     """Signals with entry at the open, exit at the close; those without a price or with an entry price of 0 drop out."""
+    signals_ = stage(signals_, "signals")  # read three times; made once
     e = price_on_or_after(signals_.select("ticker", F.col("entry_date").alias("day")).distinct(), prices, "open").select("ticker", F.col("day").alias("entry_date"), F.col("open").alias("entry_price"))
     x = price_on_or_after(signals_.select("ticker", F.col("exit_date").alias("day")).distinct(), prices, "close").select("ticker", F.col("day").alias("exit_date"), F.col("close").alias("exit_price"))
     t = signals_.join(e, ["ticker", "entry_date"]).join(x, ["ticker", "exit_date"]).where("entry_price > 0 and exit_price is not null")
@@ -89,15 +91,15 @@ def information_coefficient(trades_: DataFrame) -> DataFrame:
 
 def _returns(curve: DataFrame) -> DataFrame:
     w = Window.orderBy("dt")
-    return curve.select("dt", "equity", (F.col("equity") / F.lag("equity").over(w) - 1).alias("r"), F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("peak"))
+    return curve.select("dt", "equity", (F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1).alias("r"), F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("peak"))
 
 
 def curve_statistics(curve: DataFrame) -> DataFrame:
     """Annual return, Sharpe ratio (0 below 20 returns or without spread) and largest drawdown of a curve (dt, equity)."""
     x = _returns(curve)
-    g = x.agg(F.count("*").alias("n"), F.min_by("equity", "dt").alias("first"), F.max_by("equity", "dt").alias("last"), F.count("r").alias("m"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.max((F.col("peak") - F.col("equity")) / F.col("peak")).alias("drawdown"))
+    g = x.agg(F.count("*").alias("n"), F.min_by("equity", "dt").alias("first"), F.max_by("equity", "dt").alias("last"), F.count("r").alias("m"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.max(F.try_divide(F.col("peak") - F.col("equity"), F.col("peak"))).alias("drawdown"))
     sharpe = F.when((F.col("m") >= 20) & (F.col("sd") > 0), (F.col("mean") - RISK_FREE / YEAR) / F.col("sd") * F.sqrt(F.lit(YEAR))).otherwise(0.0)
-    annual = F.when(F.col("n") >= 2, F.pow(F.col("last") / F.col("first"), YEAR / F.col("n")) - 1).otherwise(0.0)
+    annual = F.when(F.col("n") >= 2, F.pow(F.greatest(F.lit(0.0), F.try_divide(F.col("last"), F.col("first"))), YEAR / F.col("n")) - 1).otherwise(0.0)
     return g.select(annual.alias("annual_return"), sharpe.alias("sharpe"), F.coalesce("drawdown", F.lit(0.0)).alias("max_drawdown"))
 
 
@@ -105,7 +107,7 @@ def benchmark_comparison(curve: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Tracking error, information ratio, beta, alpha and captures of the strategy against the benchmark (both dt, equity); no row below 20 common days."""
     both = curve.join(benchmark.select("dt", F.col("equity").alias("base")), "dt")
     w = Window.orderBy("dt")
-    d = both.select((F.col("equity") / F.lag("equity").over(w) - 1).alias("s"), (F.col("base") / F.lag("base").over(w) - 1).alias("b")).where("s is not null and b is not null")
+    d = both.select((F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1).alias("s"), (F.try_divide(F.col("base"), F.lag("base").over(w)) - 1).alias("b")).where("s is not null and b is not null")
     ratio = lambda up: F.try_divide(F.avg(F.when(up, F.col("s"))), F.avg(F.when(up, F.col("b"))))
     g = d.agg(F.count("*").alias("days"), F.avg("s").alias("ms"), F.avg("b").alias("mb"), F.stddev_pop(F.col("s") - F.col("b")).alias("te"), F.covar_samp("s", "b").alias("cov"), F.var_samp("b").alias("var"), ratio(F.col("b") > 0).alias("up"), ratio(F.col("b") < 0).alias("down"))
     beta = F.coalesce(F.try_divide("cov", "var"), F.lit(1.0))
@@ -127,4 +129,4 @@ def return_histogram(trades_: DataFrame, low: float = -60.0, high: float = 60.0,
 def equity_levels(curve: DataFrame) -> DataFrame:
     """The curve with its running peak and drawdown."""
     x = _returns(curve)
-    return x.select("dt", "equity", "peak", ((F.col("peak") - F.col("equity")) / F.col("peak")).alias("drawdown"))
+    return x.select("dt", "equity", "peak", F.try_divide(F.col("peak") - F.col("equity"), F.col("peak")).alias("drawdown"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonelake.storage import small_enough
+from tonelake.storage import small_enough, spread_by
 
 # Unit aliases, by meaning.
 SCALES = {
@@ -282,10 +282,10 @@ def to_common_units(guidance: DataFrame, rates: DataFrame, key: str = "guidance_
     the common unit; null where both are. Rows loaded twice (same key) come out once; rows with a null key are
     kept as one row. Other columns of guidance are ignored, whatever their names. An empty table gives an empty result.
     """
-    rows = guidance.select(
+    rows = spread_by(guidance.select(
         F.col(key).alias("k"), F.col("metric_type").cast("string").alias("m"), F.col("value_low").cast("double").alias("a"), F.col("value_high").cast("double").alias("b"),
         F.col("unit").cast("string").alias("u"), F.col("raw_text").cast("string").alias("t"), F.upper(F.trim("quarter")).alias("q"), F.col("year").cast("int").alias("y"),
-    ).dropDuplicates(["k"])
+    ), "k").dropDuplicates(["k"])
     read = rows.withColumn("r", _read("m", "a", "b", "u", "t")).select("k", "a", "b", "q", "y", "r.low", "r.high", "r.code")
     spark = guidance.sparkSession
     by_code = spark.createDataFrame(factors(), "code string, from_currency string, common_unit string, factor double")

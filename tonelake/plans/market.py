@@ -11,6 +11,7 @@ from tonelake.operators import backtest, chunking, evaluation, pairs, sentiment,
 from tonelake.plans.catalog import query, table
 from tonelake.plans.tone import CHUNKS, SCORES, _chunks, rounded
 from tonelake.sources import tables
+from tonelake.storage import stage
 
 _HALF_UP = "CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {n}) AS DOUBLE)"  # rounds the shortest decimal form, as Spark does
 WINDOW = ("1995-01-01", "2001-12-31")
@@ -58,7 +59,7 @@ def _prices(spark, folder):
 
 
 def _trades(spark, folder):
-    return backtest.trades(_signals(spark, folder), _prices(spark, folder))
+    return backtest.trades(_signals(spark, folder), stage(_prices(spark, folder), "prices"))
 
 
 def _curve(spark, folder):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonelake.functions import text as T
 from tonelake.functions.dates import quarter_of
+from tonelake.storage import spread
 
 # The section that a source's documents stand for.
 SECTIONS = {"filing_mda": "mda", "filing_risk": "risk_factors", "call_excerpt": "qa", "press_release": "press_release", "analyst_note": "guidance"}
@@ -29,7 +30,7 @@ def padded_cik(c="cik"):
 def chunks(documents: DataFrame) -> DataFrame:
     """chunk_id, text, ticker, section, quarter, year, words of every document with text, company and period."""
     section = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in SECTIONS.items() for v in kv]), F.col("source")), F.lit("unknown"))
-    return documents.where("text <> '' and trim(ticker) <> '' and quarter is not null and year is not null").select(
+    return spread(documents.select("doc_id", "text", "source", "ticker", "quarter", "year")).where("text <> '' and trim(ticker) <> '' and quarter is not null and year is not null").select(
         F.col("doc_id").alias("chunk_id"), "text", ticker().alias("ticker"), section.alias("section"), "quarter", "year", T.word_count(F.col("text")).alias("words")
     )
 

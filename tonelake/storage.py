@@ -45,3 +45,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are fewer than those; a table with enough files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """df partitioned by keys, over so many partitions that small ones aren't put together before costly work on rows; an aggregation by the keys that follows needs no further shuffle."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
