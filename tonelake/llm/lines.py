@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.storage import small_enough, stage
+from tonelake.storage import small_enough, spread, stage
 
 LEAST_LETTERS, LEAST_DOCUMENTS, LEAST_SHARE = 25, 4, 0.2
 #: words of the repeated lines' bitmaps that are broadcast at most (24 bytes each); more are joined by a shuffle
@@ -40,7 +40,7 @@ def repeated_lines(
     """
     rows = df.select(F.col(key).alias("k"), F.upper(F.trim(F.col(source).cast("string"))).alias("s"), F.col(text).cast("string").alias("t"))
     rows = rows.where(F.col("k").isNotNull() & (F.col("s") != "") & (F.length("t") > 0))
-    lines = rows.select("k", "s", line_keys("t", "s", least_letters, headings).alias("lines"))
+    lines = spread(rows).select("k", "s", line_keys("t", "s", least_letters, headings).alias("lines"))
     # The numbering must be the same whenever it's read, so it is written: documents once each, by source.
     once = stage(lines.groupBy("k").agg(F.min("s").alias("s"), F.min_by("lines", "s").alias("lines")).repartitionByRange("s", "k").sortWithinPartitions("s", "k").withColumn("d", F.monotonically_increasing_id()), "lines")
     needs = once.groupBy("s").agg(F.greatest(F.lit(least_documents), F.ceil(F.round(F.count("*") * least_share, 6))).cast("bigint").alias("need"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.storage import stage
+from tonelake.storage import spread, stage
 
 THRESHOLD, WIDTH = 0.55, 3
 #: coordinates of a signature, bands, coordinates in a band, places on the circle, seed of the permutations
@@ -125,7 +125,7 @@ def _meetings(rows: DataFrame, group: str, size: str, member: str, block: int =
 
 def similar_classes(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, width: int = WIDTH, shape: tuple = (COORDINATES, BANDS, ROWS, CIRCLE, SEED)) -> DataFrame:
     """a, b (a < b, classes of equal texts by their hash) and similarity, of all classes that are at least so similar."""
-    texts = _texts(df, key, text)
+    texts = spread(_texts(df, key, text))
     keys = _band_keys(texts, width, shape).groupBy("c").agg(F.first("b").alias("b")).select("c", F.explode("b").alias("g"))
     met = keys.withColumn("n", F.expr("count(*) over (partition by g)")).where("n > 1")
     candidates = stage(_meetings(stage(met, "buckets"), "g", "n", "c").distinct(), "candidates")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.storage import stage
+from tonelake.storage import spread, stage
 
 #: rated documents that the weights are fitted to at most (by a hash of their id), and words of the high-frequency list
 RATED_DOCUMENTS, LIST_WORDS = 5_000, 20_000
@@ -248,7 +248,7 @@ def reading_levels(documents: DataFrame, grades: DataFrame, key: str = "doc_id",
     """
     rating = grades.where(F.col("reading_level").isin(*LEVELS) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.expr("mode(reading_level, true)").cast("int").alias("level"))
     rating = F.broadcast(stage(rating.orderBy(F.xxhash64("k"), "k").limit(rated_documents), "ratings"))
-    cases = _cases(documents, key, text, lang)
+    cases = spread(_cases(documents, key, text, lang))
     known = cases.join(rating, "k", "left")
     rated = cases.join(rating, "k")
     formula = None

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.storage import spread, spread_by
+
 LIMIT, OVERLAP = 4000, 200
 #: how far the overlap may be from OVERLAP, to start at a natural unit
 SLACK = 50
@@ -54,7 +56,7 @@ def cut_kinds(df: DataFrame, source: str, key: str, text: str, limit: int = LIMI
     boundary is hard where the operator had to cut inside a run without space, tab or line break longer than the limit,
     else natural. Items with a null key are left out; null, empty and short texts are no items. Other columns are ignored.
     """
-    cut = _bodies(_items(df, source, key, text), limit, overlap, slack)
+    cut = _bodies(spread(_items(df, source, key, text)), limit, overlap, slack)
     # A body that ends inside a run, and of that run more than fits into a piece: cut by the last alternative.
     inside = F.exists(
         F.transform(F.sequence(F.lit(0), F.size("b") - 2), lambda i: F.concat(F.element_at("b", i + 1), F.element_at("b", i + 2))),
@@ -73,7 +75,7 @@ def pieces(df: DataFrame, source: str, key: str, text: str, limit: int = LIMIT,
     at most limit characters is one piece; null and empty texts have none. Of rows with the same key one is taken (the
     first by its text); rows with a null key are left out. Other columns are ignored.
     """
-    one = _items(df, source, key, text).where(F.length("t") > 0).groupBy("s", "k").agg(F.min("t").alias("t"))
+    one = spread_by(_items(df, source, key, text).where(F.length("t") > 0), "s", "k").groupBy("s", "k").agg(F.min("t").alias("t"))
     b = F.when(F.length("t") <= limit, F.array("t")).otherwise(F.regexp_extract_all("t", F.lit(body_pattern(limit, overlap, slack)), F.lit(0)))
     starts = F.expr("aggregate(b, array(0), (a, x) -> array_append(a, element_at(a, -1) + length(x)))")
     far = overlap + slack

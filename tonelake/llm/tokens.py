@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.storage import spread
+
 #: folder of the vocabulary files
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -249,7 +251,7 @@ def encode_column(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS,
 
     types = {c: t for c, t in kept.dtypes}
     schema = ", ".join(f"{c} {types[c]}" for c in kept.columns[:-1]) + (", ids bigint" if counts_only else ", ids array<int>")
-    out = kept.mapInArrow(run, schema)
+    out = spread(kept).mapInArrow(run, schema)
     return out.select(F.col("k").alias(key), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], F.col("ids").alias("n_tokens" if counts_only else "ids"))
 
 
@@ -270,4 +272,4 @@ def round_trip(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS, fil
                 names=["k", "n_tokens", "n_chars", "same"],
             )
 
-    return kept.mapInArrow(run, f"k {dict(kept.dtypes)['k']}, n_tokens bigint, n_chars bigint, same boolean").withColumnRenamed("k", key)
+    return spread(kept).mapInArrow(run, f"k {dict(kept.dtypes)['k']}, n_tokens bigint, n_chars bigint, same boolean").withColumnRenamed("k", key)

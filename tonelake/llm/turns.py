@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.llm.mixing import min_cost_flow
+from tonelake.storage import spread, spread_by, stage
 
 LEAST_WORDS = 4
 # Sounds in brackets, fillers, labels of no person, titles, and what opens the questions.
@@ -415,7 +416,7 @@ def rosters(df: DataFrame) -> DataFrame:
                     rows.append((s, name, role[0][0] if role else ""))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["s", "name", "role"])
 
-    seen = _texts(df).where(F.col("s") != "").mapInArrow(run, "s string, name string, role string").groupBy("s", "name", "role").agg(F.count("*").alias("n"))
+    seen = spread(_texts(df)).where(F.col("s") != "").mapInArrow(run, "s string, name string, role string").groupBy("s", "name", "role").agg(F.count("*").alias("n"))
     return seen.groupBy("s", "name").agg(F.max_by("role", F.struct(F.col("role") != "", "n", "role")).alias("role"), F.sum("n").alias("calls"))
 
 
@@ -425,7 +426,7 @@ def speaker_turns(df: DataFrame) -> DataFrame:
     Rows with the same transcript_id count once; null ids, null or empty texts and texts without a label have no
     turns. Companies compare trimmed and in upper case; a call without company meets no roster. Other columns are ignored.
     """
-    texts = _texts(df).groupBy("k").agg(F.min("s").alias("s"), F.min("t").alias("t"))
+    texts = spread_by(_texts(df), "k").groupBy("k").agg(F.min("s").alias("s"), F.min("t").alias("t"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -449,4 +450,4 @@ def speaker_turns(df: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(6)], names=["transcript_id", "section", "turn_index", "speaker_name", "speaker_role", "text"])
 
-    return texts.join(met, "k", "left").select("k", "t", "roster").mapInArrow(run, "transcript_id bigint, section string, turn_index int, speaker_name string, speaker_role string, text string")
+    return spread_by(texts.join(stage(met, "rosters"), "k", "left").select("k", "t", "roster"), "k").mapInArrow(run, "transcript_id bigint, section string, turn_index int, speaker_name string, speaker_role string, text string")
