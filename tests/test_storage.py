@@ -48,3 +48,31 @@ def test_stream_equals_batch(spark, tmp_path):
     w = streaming.keep_newest(s, str(tmp_path / "out"), "event_type", str(tmp_path / "c2")).trigger(availableNow=True).start()
     w.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.select("event_type").distinct().count()
+
+
+def test_pipeline(spark, tmp_path):
+    from tonelake.operators import models
+    from tonelake.plans import pipeline
+
+    folder, out = "/root/testdata/sf0.001", str(tmp_path / "p")
+    pipeline.ingest(spark, folder, out)
+    pipeline.embed(spark, out)
+    pipeline.analyse(spark, folder, out, models.tone_model(lambda: lambda texts: [(0.2, 0.7, 0.1) for _ in texts]))
+    assert spark.read.parquet(f"{out}/quarters").where("net_sentiment_score > -0.49").isEmpty()
+    scores = spark.read.parquet(f"{out}/scores")
+    assert scores.count() > 0 and pipeline.wanted(scores, scores).isEmpty()
+
+
+def test_failing_model_is_neutral(spark):
+    from pyspark.sql import functions as F
+
+    from tonelake.operators import models
+
+    def broken():
+        def run(texts):
+            raise RuntimeError("no model")
+
+        return run
+
+    df = spark.createDataFrame([("a",), (None,)], "text string").select(models.tone_model(broken)(F.col("text")).alias("s"))
+    assert [tuple(r.s) for r in df.collect()] == [(0.0, 0.0, 1.0)] * 2

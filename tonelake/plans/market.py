@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tonelake.functions import dates as D
 from tonelake.functions import labels, numbers
 from tonelake.functions import text as T
-from tonelake.operators import backtest, chunking, evaluation, pairs, sentiment, vectors
+from tonelake.operators import backtest, chunking, evaluation, models, pairs, qa, sentiment, vectors
+from tonelake.plans import pipeline
 from tonelake.plans.catalog import query, table
 from tonelake.plans.tone import CHUNKS, SCORES, _chunks, rounded
 from tonelake.sources import tables
@@ -20,8 +21,8 @@ RUNS = """runs AS (
     (CAST(sum(o_orderkey) AS BIGINT) % 2001 - 1000) / 1000.0 AS composite_score FROM orders GROUP BY ALL),
 scores AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY ticker, quarter, year ORDER BY computed_at DESC, composite_score DESC) = 1)"""
 PRICES = """prices AS (
-  SELECT 'S' || (l_suppkey % 20) AS ticker, CAST(l_shipdate AS DATE) AS dt, max(l_extendedprice / l_quantity) AS open, min(l_extendedprice / l_quantity * (1 - l_discount)) AS close
-  FROM lineitem WHERE l_quantity > 0 AND l_shipdate IS NOT NULL GROUP BY ALL)"""
+  SELECT 'S' || (l_suppkey % 20) AS ticker, CAST(l_shipdate AS DATE) AS dt, 100.0 + CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) % 11 AS open, 100.0 + CAST(sum(l_linenumber) AS BIGINT) % 11 AS close
+  FROM lineitem WHERE l_quantity IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY ALL)"""
 SIGNALS = f"""{RUNS}, s1 AS (
   SELECT *, make_date(year + CASE WHEN quarter = 'Q4' THEN 1 ELSE 0 END, CASE quarter WHEN 'Q1' THEN 4 WHEN 'Q2' THEN 7 WHEN 'Q3' THEN 10 WHEN 'Q4' THEN 1 ELSE 2 END, 15) AS signal_date,
     CASE WHEN composite_score > 0.3 THEN 'LONG' WHEN composite_score < -0.3 THEN 'SHORT' ELSE 'NEUTRAL' END AS direction FROM scores),
@@ -127,7 +128,7 @@ def information_coefficient(spark, folder):
     return rounded(backtest.information_coefficient(_trades(spark, folder)))
 
 
-@query(f"""WITH {CURVE} SELECT round(CASE WHEN count(*) >= 2 THEN pow(arg_max(equity, dt) / arg_min(equity, dt), 252.0 / count(*)) - 1 ELSE 0 END, 6) + 0.0 AS annual_return,
+@query(f"""WITH {CURVE} SELECT round(CASE WHEN count(*) >= 2 THEN pow(greatest(0, arg_max(equity, dt) / arg_min(equity, dt)), 252.0 / count(*)) - 1 ELSE 0 END, 6) + 0.0 AS annual_return,
   round(CASE WHEN count(r) >= 20 AND stddev_samp(r) > 0 THEN (avg(r) - 0.045 / 252) / stddev_samp(r) * sqrt(252) ELSE 0 END, 6) + 0.0 AS sharpe, round(max((peak - equity) / peak), 6) + 0.0 AS max_drawdown FROM moves""")
 def curve_statistics(spark, folder):
     return rounded(backtest.curve_statistics(_curve(spark, folder)))
@@ -141,9 +142,9 @@ def benchmark_compare(spark, folder):
     return rounded(backtest.benchmark_comparison(_curve(spark, folder), backtest.benchmark_curve(_prices(spark, folder))))
 
 
-@query(f"WITH {TRADES} SELECT CAST(CASE WHEN gross_return * 100 < -60 THEN 0 WHEN gross_return * 100 >= 60 THEN 31 ELSE floor((gross_return * 100 + 60) / 120 * 30) + 1 END AS INTEGER) AS bin, count(*) AS trades FROM trades GROUP BY bin")
+@query(f"WITH {TRADES} SELECT CAST(CASE WHEN gross_return * 100 < -12.05 THEN 0 WHEN gross_return * 100 >= 12.05 THEN 31 ELSE floor((gross_return * 100 + 12.05) / 24.1 * 30) + 1 END AS INTEGER) AS bin, count(*) AS trades FROM trades GROUP BY bin")
 def return_histogram(spark, folder):
-    return backtest.return_histogram(_trades(spark, folder))
+    return backtest.return_histogram(_trades(spark, folder), -12.05, 12.05)
 
 
 # --- vectors: queries are the rows whose id is divisible by 20, against all rows
@@ -336,3 +337,26 @@ def semantic_chunks(spark, folder):
     """Vectors stand for the sentences of ten texts."""
     v = table(spark, folder, "embeddings").select((F.col("vec_id") % 10).alias("text_id"), F.col("vec_id").alias("n"), F.repeat(F.lit("word "), 200).alias("sentence"), "embedding")
     return chunking.semantic_chunks(v, "text_id")
+
+
+@query()
+def qa_loop(spark, folder):
+    """A question for each company."""
+    asked = F.element_at(F.array(*[F.lit(x) for x in ("What are the risk disclosures of management?", "What is the guidance and outlook for revenue?", "How did the tone drift?", "Which operating margins improved?")]), (F.col("request_id") % 4 + 1).cast("int"))
+    r = table(spark, folder, "companies").select(F.xxhash64("ticker").alias("h"), tables.ticker().alias("ticker")).select(F.shiftrightunsigned("h", 16).alias("request_id"), "ticker")
+    return rounded(qa.answer(r.withColumn("question", asked), _chunks(spark, folder)))
+
+
+@query()
+def entities(spark, folder):
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", F.inline(models.entities(F.col("text"))))
+
+
+@query()
+def embed_texts(spark, folder):
+    return models.embed(_chunks(spark, folder)).select("chunk_id", "embedding")
+
+
+@query()
+def contradiction_pairs(spark, folder):
+    return rounded(pipeline.contradictions(models.embed(_chunks(spark, folder))))
