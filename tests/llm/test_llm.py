@@ -269,6 +269,12 @@ def test_call_without_questions():
     assert {t[0] for t in turns.Call(text, []).turns()} == {"prepared_remarks"}
 
 
+def test_title_alone_names_its_holder():
+    text = CALL.replace("Mrs. Feldstra:", "TREASURER:").replace("CEO: And", "Chief Executive Officer: And")
+    assert [t[:4] for t in turns.Call(text, []).turns()] == [t[:4] for t in turns.Call(CALL, []).turns()]
+    assert turns.Call(CALL.replace("Mrs. Feldstra:", "General Counsel:"), []).turns()[3][2:4] == ("Unknown", "unknown")
+
+
 def test_roster_fixes_spelling():
     text = "Operator: Welcome to the call of today.\nIlsa Quaremarkk: We are glad to be here today.\nIlsa Quaremark: And we are glad to go on now."
     assert {t[2] for t in turns.Call(text, [("Ilsa Quaremark", "COO", 3)]).turns()} == {"Operator", "Ilsa Quaremark"}

@@ -58,6 +58,11 @@ def role_of(title: str | None) -> str:
     return "unknown" if is_title(title) else "Analyst"
 
 
+def bare(title: str) -> str:
+    """A title's words alone, to compare it with."""
+    return " ".join(re.findall(r"\w+", title.lower()))
+
+
 def is_title(text: str | None) -> bool:
     words = re.findall(r"[\w&-]+", (text or "").lower())
     return bool(words) and all(w in _TITLE_WORDS for w in words)
@@ -152,6 +157,7 @@ class Evidence:
     def __init__(self) -> None:
         self.names: Counter = Counter()
         self.roles: dict[str, Counter] = defaultdict(Counter)
+        self.titles: dict[str, set[str]] = defaultdict(set)
 
     def add(self, name: str, title: str | None, weight: int) -> None:
         name = proper(name)
@@ -160,6 +166,7 @@ class Evidence:
         self.names[name] += weight
         if role := role_of(title):
             self.roles[name][role] += weight
+            self.titles[name].add(bare(title))
 
     @classmethod
     def of(cls, text: str) -> Evidence:
@@ -329,7 +336,7 @@ class Call:
             return "Unknown", "unknown"
         if label.kind == "title":
             role = role_of(label.beside)
-            same = [p for p in self.people if self.roles[p] == role and role != "unknown"]
+            same = [p for p in self.people if (self.roles[p] == role if role != "unknown" else bare(label.beside) in self.known.titles[p])]
             return (same[0], role) if same else ("Unknown", role or "unknown")
         prices = {p: c for p in self.people if (c := fit(label.words, p)) is not None}
         if not prices:
