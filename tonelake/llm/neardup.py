@@ -21,7 +21,7 @@ from tonelake.storage import spread, stage
 
 THRESHOLD, WIDTH = 0.55, 3
 #: coordinates of a signature, bands, coordinates in a band, places on the circle, seed of the permutations
-COORDINATES, BANDS, ROWS, CIRCLE, SEED = 256, 128, 5, 1 << 20, 20_250
+COORDINATES, BANDS, ROWS, CIRCLE, SEED = 384, 224, 5, 1 << 20, 20_250
 #: rows of a band's bucket that meet in one task; larger buckets are split into such blocks, and every block meets every other
 BLOCK = 1024
 _WORD = re.compile(r"[^\W_]+")
