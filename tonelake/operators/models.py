@@ -15,6 +15,8 @@ from tonelake.functions import text as T
 
 #: characters of a text that a pair model sees, as its models' inputs are bounded; dimensions of the default embedding
 PAIR_CHARS, DIMENSIONS = 512, 64
+# Kinds of entities and their patterns.
+ENTITIES = (("MONEY", r"[$€£]\s?\d[\d,]*(?:\.\d+)?(?:\s(?:million|billion))?"), ("PERCENT", r"\d+(?:\.\d+)?\s?%"), ("DATE", r"\b(?:Q[1-4] \d{4}|(?:January|February|March|April|May|June|July|August|September|October|November|December)(?: \d{1,2},)? \d{4})\b"), ("CARDINAL", r"\b\d{1,3}(?:,\d{3})+\b"))
 _TONE = StructType([StructField(c, DoubleType()) for c in ("positive", "negative", "neutral")])
 _PAIR = StructType([StructField(c, DoubleType()) for c in ("contradiction", "entailment", "neutral")])
 
@@ -88,5 +90,7 @@ def opposition(a: Column, b: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """The default entity finder: amounts, percentages, dates and numbers with their kind."""
-    kinds = (("MONEY", r"[$€£]\s?\d[\d,]*(?:\.\d+)?(?:\s(?:million|billion))?"), ("PERCENT", r"\d+(?:\.\d+)?\s?%"), ("DATE", r"\b(?:Q[1-4] \d{4}|(?:January|February|March|April|May|June|July|August|September|October|November|December)(?: \d{1,2},)? \d{4})\b"), ("CARDINAL", r"\b\d{1,3}(?:,\d{3})+\b"))
-    return F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda x, k=k: F.struct(x.alias("text"), F.lit(k).alias("label"))) for k, p in kinds]))
+    def tagged(kind: str):
+        return lambda x: F.struct(x.alias("text"), F.lit(kind).alias("label"))
+
+    return F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), tagged(k)) for k, p in ENTITIES]))

@@ -270,7 +270,7 @@ def metrics_unpivot(spark, folder):
     return rounded(evaluation.to_long(_evals(spark, folder), "doc_id"))
 
 
-@query()
+@query(f"WITH {EVALS}, m AS (SELECT (coalesce(faithfulness, 0) + answer_relevance + coalesce(context_precision, 0) + context_recall) / (2 + CASE WHEN faithfulness IS NULL THEN 0 ELSE 1 END + CASE WHEN context_precision IS NULL THEN 0 ELSE 1 END) AS s FROM e) SELECT round(coalesce(avg(s) FILTER (WHERE s > 0), 0), 6) + 0.0 AS mean_overall, count(*) AS count FROM m")
 def eval_batch_mean(spark, folder):
     return rounded(evaluation.batch_mean(_evals(spark, folder)))
 
@@ -347,7 +347,7 @@ def qa_loop(spark, folder):
     return rounded(qa.answer(r.withColumn("question", asked), _chunks(spark, folder)))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS text, '{k}' AS label FROM documents WHERE text IS NOT NULL" for k, p in models.ENTITIES))
 def entities(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", F.inline(models.entities(F.col("text"))))
 

@@ -315,17 +315,20 @@ def quarter_infer(spark, folder):
     return table(spark, folder, "guidance").where("raw_text is not null").select("guidance_id", T.quarter_in_text(F.col("raw_text")).alias("quarter")).distinct()
 
 
-@query(f"""WITH {CHUNKS} SELECT chunk_id, ticker,
+TAGGED = f"""SELECT chunk_id, ticker,
   CASE WHEN section NOT IN ('qa', 'prepared_remarks') AND regexp_matches(text, '{T.GUIDANCE_PATTERN}') AND {count_of(T.NUMBER_PATTERN)} > 0 THEN 'guidance'
     WHEN section = 'unknown' AND regexp_matches(text, '{T.RISK_PATTERN}') THEN 'risk_factors' WHEN section = 'unknown' AND regexp_matches(text, '{T.HIGHLIGHT_PATTERN}') THEN 'financial_statements' ELSE section END AS section,
-  coalesce({_QUARTER.format(c='text')}, quarter) AS quarter, year, {count_of(T.NUMBER_PATTERN)} > 0 AS contains_numbers FROM chunks""")
+  coalesce({_QUARTER.format(c='text')}, quarter) AS quarter, year, {count_of(T.NUMBER_PATTERN)} > 0 AS contains_numbers FROM chunks"""
+
+
+@query(f"WITH {CHUNKS} {TAGGED}")
 def tag_chunks(spark, folder):
     return chunking.tag(_chunks(spark, folder)).drop("tone")
 
 
-@query()
+@query(f"WITH {CHUNKS}, t AS ({TAGGED}) SELECT * FROM t WHERE section = 'guidance' AND contains_numbers")
 def guidance_chunks(spark, folder):
-    return chunking.guidance_chunks(chunking.tag(_chunks(spark, folder)))
+    return chunking.guidance_chunks(chunking.tag(_chunks(spark, folder))).drop("tone")
 
 
 @query(r"""SELECT DISTINCT guidance_id, round(CASE WHEN regexp_extract(raw_text, '(?i)(-?)\$?\s*(\d[\d,]*(?:\.\d+)?)(?:\s*(trillion|billion|million|thousand|bn|mn|[tbmk])\b)?', 1) = '-' THEN -1 ELSE 1 END
