@@ -21,7 +21,7 @@ RUNS = """runs AS (
     (CAST(sum(o_orderkey) AS BIGINT) % 2001 - 1000) / 1000.0 AS composite_score FROM orders GROUP BY ALL),
 scores AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY ticker, quarter, year ORDER BY computed_at DESC, composite_score DESC) = 1)"""
 PRICES = """prices AS (
-  SELECT 'S' || (l_suppkey % 20) AS ticker, CAST(l_shipdate AS DATE) AS dt, 100.0 + CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) % 11 AS open, 100.0 + CAST(sum(l_linenumber) AS BIGINT) % 11 AS close
+  SELECT 'S' || (l_suppkey % 20) AS ticker, CAST(l_shipdate AS DATE) AS dt, CAST(100 + sum(CAST(l_quantity AS BIGINT)) % 11 AS DOUBLE) AS open, CAST(100 + sum(l_linenumber) % 11 AS DOUBLE) AS close
   FROM lineitem WHERE l_quantity IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY ALL)"""
 SIGNALS = f"""{RUNS}, s1 AS (
   SELECT *, make_date(year + CASE WHEN quarter = 'Q4' THEN 1 ELSE 0 END, CASE quarter WHEN 'Q1' THEN 4 WHEN 'Q2' THEN 7 WHEN 'Q3' THEN 10 WHEN 'Q4' THEN 1 ELSE 2 END, 15) AS signal_date,
