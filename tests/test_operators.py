@@ -110,6 +110,16 @@ def test_pairs_and_upsert(spark):
     assert frame_rows(vectors.upsert(old, new, "id")) == [(1, "a"), (2, "c"), (3, "e")]
 
 
+def test_every_pair_is_scored(spark):
+    from tonelake.plans import pipeline
+
+    texts = lambda i: "record strong growth" if i % 2 else "loss decline weak" if i == 58 else "plain words"
+    c = spark.createDataFrame([("A", "Q1", 2024, i, "qa" if i % 2 else "mda", texts(i), 3, [1.0, 0.0]) for i in range(60)], "ticker string, quarter string, year int, chunk_id long, section string, text string, words int, embedding array<double>")
+    assert pairs.intra_period_pairs(c).count() == 900
+    # The only report that contradicts has the last id: its pairs with late call chunks lie beyond the first 500.
+    assert sorted((r["a"], r["b"]) for r in pipeline.contradictions(c).collect()) == [(a, 58) for a in range(1, 60, 2)]
+
+
 def test_chunking(spark):
     t = spark.createDataFrame([(1, " ".join(f"Sentence number {i} says a few plain words." for i in range(200)))], "id int, text string")
     rows = chunking.windows(t, "id").orderBy("chunk_index").collect()

@@ -80,12 +80,21 @@ def embed(df: DataFrame, text: str = "text", into: str = "embedding", load=None)
     return df.withColumn(into, embedding_model(load or hashing_embedder())(F.col(text)))
 
 
-def opposition(a: Column, b: Column) -> Column:
-    """The default pair model: texts of opposite tone contradict, of the same tone agree."""
-    x, y = T.quick_sentiment(F.left(a, F.lit(PAIR_CHARS))), T.quick_sentiment(F.left(b, F.lit(PAIR_CHARS)))
+def pair_tone(text: Column) -> Column:
+    """All that the default pair model needs of a text: its tone, so that a text is read once and not for each of its pairs."""
+    return F.when(text.isNotNull(), T.quick_sentiment(F.left(text, F.lit(PAIR_CHARS))))
+
+
+def opposed(x: Column, y: Column) -> Column:
+    """The default pair model over tones: opposite ones contradict, the same agree; a missing text contradicts nothing."""
     against = ((x == "positive") & (y == "negative")) | ((x == "negative") & (y == "positive"))
     p = lambda c, e, n: F.struct(F.lit(c).alias("contradiction"), F.lit(e).alias("entailment"), F.lit(n).alias("neutral"))
-    return F.when(a.isNull() | b.isNull(), p(0.0, 1.0, 0.0)).when(against, p(0.9, 0.05, 0.05)).when((x == y) & (x != "neutral"), p(0.05, 0.9, 0.05)).otherwise(p(0.1, 0.1, 0.8))
+    return F.when(x.isNull() | y.isNull(), p(0.0, 1.0, 0.0)).when(against, p(0.9, 0.05, 0.05)).when((x == y) & (x != "neutral"), p(0.05, 0.9, 0.05)).otherwise(p(0.1, 0.1, 0.8))
+
+
+def opposition(a: Column, b: Column) -> Column:
+    """The default pair model over texts."""
+    return opposed(pair_tone(a), pair_tone(b))
 
 
 def entities(text: Column) -> Column:

@@ -5,28 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: pairs of one company that are scored at most; the feature's own limit
+#: pairs of one company that the SQL of intra_period_pairs keeps (the feature's own limit; nothing else is cut to it), and the least score
 MOST_PAIRS, LEAST_SCORE = 500, 0.70
 
 
-def intra_period_pairs(chunks: DataFrame, calls=("qa", "prepared_remarks", "guidance"), reports=("mda",), most: int = MOST_PAIRS) -> DataFrame:
-    """ticker, a, b: call chunks against report chunks of the same company and period, in the order of their ids, at most so many for each company.
+def intra_period_pairs(chunks: DataFrame, calls=("qa", "prepared_remarks", "guidance"), reports=("mda",), most: int | None = None) -> DataFrame:
+    """ticker, a, b, source: all call chunks against all report chunks of the same company and period; with `most`, the first so many of each company in the order of their ids (and their number n).
 
     The first `most` pairs of a period use only its first `most` chunks of either side, so each side is cut to those
     before they meet: the result is the same, and a large period can't multiply.
     """
     period = ["ticker", "quarter", "year"]
-    first = lambda s: chunks.where(F.col("section").isin(*s)).withColumn("n", F.row_number().over(Window.partitionBy(*period).orderBy("chunk_id"))).where(F.col("n") <= most)
-    a, b = first(calls).select(*period, F.col("chunk_id").alias("a")), first(reports).select(*period, F.col("chunk_id").alias("b"))
-    return capped(a.join(b, period).select("ticker", "a", "b", F.lit(1).alias("source")), most)
+
+    def side(sections, name: str) -> DataFrame:
+        rows = chunks.where(F.col("section").isin(*sections))
+        if most is not None:
+            rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*period).orderBy("chunk_id"))).where(F.col("n") <= most)
+        return rows.select(*period, F.col("chunk_id").alias(name))
+
+    met = side(calls, "a").join(side(reports, "b"), period).select("ticker", "a", "b", F.lit(1).alias("source"))
+    return distinct_pairs(met) if most is None else capped(met, most)
+
+
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs once each, whatever their order: the one of the least source, then of the least ids."""
+    first = pairs.groupBy("ticker", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min(F.struct("source", "a", "b")).alias("p"))
+    return first.select("ticker", "p.a", "p.b", "p.source")
 
 
 def capped(pairs: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
-    """Pairs once each, whatever their order, and at most so many of each company: by source (0 before 1), then by id."""
-    w = Window.partitionBy("ticker", F.least("a", "b"), F.greatest("a", "b")).orderBy("source", "a", "b")
-    once = pairs.withColumn("n", F.row_number().over(w)).where("n = 1")
+    """Distinct pairs, at most so many of each company: by source (0 before 1), then by id. Not for pairs that are still to be scored."""
     order = Window.partitionBy("ticker").orderBy("source", "a", "b")
-    return once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("ticker", "a", "b", "source", "n")
+    return distinct_pairs(pairs).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("ticker", "a", "b", "source", "n")
 
 
 def contradictions(scored: DataFrame, least: float = LEAST_SCORE) -> DataFrame:

@@ -209,6 +209,12 @@ _PAIRS = f"""{CHUNKS}, p AS (
 
 @query(f"WITH {_PAIRS} SELECT ticker, a, b FROM p WHERE n <= 500")
 def intra_period_pairs(spark, folder):
+    """The first 500 of a company, as the SQL says; intra_period_pairs_all has every pair."""
+    return pairs.intra_period_pairs(_chunks(spark, folder), most=pairs.MOST_PAIRS).select("ticker", "a", "b")
+
+
+@query(f"WITH {_PAIRS} SELECT ticker, a, b FROM p")
+def intra_period_pairs_all(spark, folder):
     return pairs.intra_period_pairs(_chunks(spark, folder)).select("ticker", "a", "b")
 
 

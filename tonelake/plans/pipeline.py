@@ -23,13 +23,17 @@ def embed(spark: SparkSession, out: str, load=None) -> None:
     sinks.by_company(models.embed(spark.read.parquet(f"{out}/chunks"), load=load), f"{out}/vectors")
 
 
-def contradictions(chunks: DataFrame, pair_model=models.opposition) -> DataFrame:
-    """Pairs across periods that are alike, and of calls and reports of one period, scored; at most pairs.MOST_PAIRS of a company are scored."""
+def contradictions(chunks: DataFrame, pair_model=None) -> DataFrame:
+    """Pairs across periods that are alike, and of calls and reports of one period: every distinct pair is scored, those of at least pairs.LEAST_SCORE stay.
+
+    A pair model takes both whole texts. The default one (models.opposition) compares their tones, which are found once for each chunk.
+    """
     across = vectors.similar_pairs(chunks.withColumn("period", F.col("year") * 10 + F.substring("quarter", 2, 1).cast("int")), "chunk_id", "embedding", "ticker", "period", "words")
-    both = across.select(F.col("g").alias("ticker"), "a", "b", F.lit(0).alias("source")).unionByName(pairs.intra_period_pairs(chunks).select("ticker", "a", "b", "source"))
-    text = chunks.select("chunk_id", "text")
-    p = pairs.capped(both).join(text.select(F.col("chunk_id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("chunk_id").alias("b"), F.col("text").alias("tb")), "b")
-    return pairs.contradictions(p.withColumn("s", pair_model(F.col("ta"), F.col("tb"))).select("ticker", "a", "b", "s.*"))
+    both = across.select(F.col("g").alias("ticker"), "a", "b", F.lit(0).alias("source")).unionByName(pairs.intra_period_pairs(chunks))
+    seen, score = (models.pair_tone(F.col("text")), models.opposed) if pair_model is None else (F.col("text"), pair_model)
+    side = lambda k: chunks.select(F.col("chunk_id").alias(k), seen.alias(f"t{k}"))
+    p = pairs.distinct_pairs(both).join(side("a"), "a").join(side("b"), "b")
+    return pairs.contradictions(p.withColumn("s", score(F.col("ta"), F.col("tb"))).select("ticker", "a", "b", "s.*"))
 
 
 def analyse(spark: SparkSession, folder: str, out: str, tone=None) -> None:
