@@ -120,6 +120,15 @@ def test_every_pair_is_scored(spark):
     assert sorted((r["a"], r["b"]) for r in pipeline.contradictions(c).collect()) == [(a, 58) for a in range(1, 60, 2)]
 
 
+def test_pairs_are_judged_by_whole_texts(spark):
+    from tonelake.operators import models
+
+    start = "plain words " * 60
+    s = one(spark, models.opposition(F.lit(start + "record strong growth"), F.lit(start + "loss decline weak")))
+    assert s["contradiction"] == 0.9
+    assert one(spark, models.opposition(F.lit("strong " + start + "loss decline weak"), F.lit("loss")))["entailment"] == 0.9
+
+
 def test_chunking(spark):
     t = spark.createDataFrame([(1, " ".join(f"Sentence number {i} says a few plain words." for i in range(200)))], "id int, text string")
     rows = chunking.windows(t, "id").orderBy("chunk_index").collect()

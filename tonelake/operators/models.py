@@ -13,8 +13,8 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, Str
 
 from tonelake.functions import text as T
 
-#: characters of a text that a pair model sees, as its models' inputs are bounded; dimensions of the default embedding
-PAIR_CHARS, DIMENSIONS = 512, 64
+#: dimensions of the default embedding
+DIMENSIONS = 64
 # Kinds of entities and their patterns.
 ENTITIES = (("MONEY", r"[$€£]\s?\d[\d,]*(?:\.\d+)?(?:\s(?:million|billion))?"), ("PERCENT", r"\d+(?:\.\d+)?\s?%"), ("DATE", r"\b(?:Q[1-4] \d{4}|(?:January|February|March|April|May|June|July|August|September|October|November|December)(?: \d{1,2},)? \d{4})\b"), ("CARDINAL", r"\b\d{1,3}(?:,\d{3})+\b"))
 _TONE = StructType([StructField(c, DoubleType()) for c in ("positive", "negative", "neutral")])
@@ -81,8 +81,8 @@ def embed(df: DataFrame, text: str = "text", into: str = "embedding", load=None)
 
 
 def pair_tone(text: Column) -> Column:
-    """All that the default pair model needs of a text: its tone, so that a text is read once and not for each of its pairs."""
-    return F.when(text.isNotNull(), T.quick_sentiment(F.left(text, F.lit(PAIR_CHARS))))
+    """All that the default pair model needs of a text: the tone of the whole of it, so that a text is read once and not for each of its pairs."""
+    return F.when(text.isNotNull(), T.quick_sentiment(text))
 
 
 def opposed(x: Column, y: Column) -> Column:

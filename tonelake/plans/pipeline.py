@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonelake.operators import backtest, chunking, drift, guidance, models, pairs, quality, sentiment, vectors
 from tonelake.sources import sinks, tables
+from tonelake.storage import stage
 
 
 def ingest(spark: SparkSession, folder: str, out: str, companies: DataFrame | None = None) -> None:
@@ -28,10 +29,14 @@ def contradictions(chunks: DataFrame, pair_model=None) -> DataFrame:
 
     A pair model takes both whole texts. The default one (models.opposition) compares their tones, which are found once for each chunk.
     """
-    across = vectors.similar_pairs(chunks.withColumn("period", F.col("year") * 10 + F.substring("quarter", 2, 1).cast("int")), "chunk_id", "embedding", "ticker", "period", "words")
-    both = across.select(F.col("g").alias("ticker"), "a", "b", F.lit(0).alias("source")).unionByName(pairs.intra_period_pairs(chunks))
     seen, score = (models.pair_tone(F.col("text")), models.opposed) if pair_model is None else (F.col("text"), pair_model)
-    side = lambda k: chunks.select(F.col("chunk_id").alias(k), seen.alias(f"t{k}"))
+    rows = chunks.select("chunk_id", "ticker", "quarter", "year", "section", "words", "embedding", seen.alias("seen"))
+    if pair_model is None:
+        rows = rows.where("seen <> 'neutral'")  # opposed() never gives such a text the least score
+    rows = stage(rows, "pairs")
+    across = vectors.similar_pairs(rows.withColumn("period", F.col("year") * 10 + F.substring("quarter", 2, 1).cast("int")), "chunk_id", "embedding", "ticker", "period", "words")
+    both = across.select(F.col("g").alias("ticker"), "a", "b", F.lit(0).alias("source")).unionByName(pairs.intra_period_pairs(rows))
+    side = lambda k: rows.select(F.col("chunk_id").alias(k), F.col("seen").alias(f"t{k}"))
     p = pairs.distinct_pairs(both).join(side("a"), "a").join(side("b"), "b")
     return pairs.contradictions(p.withColumn("s", score(F.col("ta"), F.col("tb"))).select("ticker", "a", "b", "s.*"))
 
