@@ -71,6 +71,12 @@ def test_guidance(spark):
     assert got == {1: (3.0, 0.5), 2: (None, None)}
 
 
+def test_every_amount_is_extracted(spark):
+    texts = spark.createDataFrame([(1, "Revenue of $5 million fell. We expect revenue of $7 million, later revenue of $7.0 million."), (2, "EPS of $5,000 was a slip. EPS of $2.50 is right."), (3, "Revenue, as we said, was not what we hoped, revenue of $3 million")], "id long, text string")
+    got = sorted((r["id"], r["metric"], r["low"], r["high"]) for r in guidance.extract_guidance(texts, "id").collect())
+    assert got == [(1, "revenue", 5e6, 5e6), (1, "revenue", 7e6, 7e6), (2, "EPS", 2.5, 2.5), (3, "revenue", 3e6, 3e6)]
+
+
 def test_prices_and_trades(spark):
     p = spark.createDataFrame([("A", date(2024, 1, 8), 101.0, 102.0), ("A", date(2024, 2, 5), 110.0, 121.2)], "ticker string, dt date, open double, close double")
     d = spark.createDataFrame([("A", date(2024, 1, 6)), ("A", date(2024, 1, 12))], "ticker string, day date")

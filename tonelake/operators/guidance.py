@@ -11,7 +11,7 @@ from tonelake.functions.numbers import accuracy, bias, clamp, midpoint
 # Bounds of a plausible amount by metric.
 BOUNDS = {"EPS": (0.01, 1000.0), "revenue": (1e4, 5e12), "capex": (1e4, 1e12), "margin": (0.01, 100.0), "growth": (-100.0, 10000.0), "other": (0.0, None)}
 # Metric, unit, confidence and pattern of an amount or range in a sentence.
-_AMOUNT = r"(?:of|at|between|from|to be|around|approximately)?\s*\$?\s*([\d,]+(?:\.\d+)?)\s*(million|billion|thousand|%|per cent|percent|basis points)?(?:\s*(?:to|and|-|–)\s*\$?\s*([\d,]+(?:\.\d+)?))?\s*(million|billion|thousand|%|per cent|percent|basis points)?"
+_AMOUNT = r"(?:of|at|between|from|to be|around|approximately)?\s*\$?\s*(\d[\d,]*(?:\.\d+)?)\s*(million|billion|thousand|%|per cent|percent|basis points)?(?:\s*(?:to|and|-|–)\s*\$?\s*(\d[\d,]*(?:\.\d+)?))?\s*(million|billion|thousand|%|per cent|percent|basis points)?"
 PATTERNS = (("EPS", "USD/share", 0.85, r"(?i)\b(?:EPS|earnings per share)\b[^.$\d]{0,30}" + _AMOUNT), ("revenue", "USD", 0.85, r"(?i)\b(?:revenues?|net sales)\b[^.$\d]{0,30}" + _AMOUNT), ("capex", "USD", 0.80, r"(?i)\b(?:capex|capital (?:expenditures?|spending))\b[^.$\d]{0,30}" + _AMOUNT), ("margin", "%", 0.80, r"(?i)\bmargin\b[^.$\d]{0,30}" + _AMOUNT), ("growth", "%", 0.75, r"(?i)\bgrowth\b[^.$\d]{0,30}" + _AMOUNT))
 
 
@@ -69,17 +69,23 @@ def plausible(metric, value):
 
 
 def extract_guidance(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, metric, low, high, unit, confidence of the first amount that each pattern finds in each text, if plausible."""
+    """key, metric, low, high, unit, confidence of every plausible amount or range that a metric's pattern finds in a text; equal ones (to four places) once for each text.
+
+    Of equal ones the most confident stays, then the first in the text. key tells texts apart.
+    """
     sizes = F.create_map(*[F.lit(v) for kv in {"billion": 1e9, "million": 1e6, "thousand": 1e3, "basis points": 0.01}.items() for v in kv])
     scale = lambda u: F.coalesce(F.try_element_at(sizes, F.lower(u)), F.lit(1.0))
+    number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("double")
     kinds = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit"), F.lit(c).alias("confidence"), F.lit(p).alias("pattern")) for m, u, c, p in PATTERNS])
     each = texts.select(key, F.col(text).alias("t"), F.inline(kinds)).where("t rlike pattern")
-    each = each.select(key, "metric", "unit", "confidence", *[F.expr(f"regexp_extract(t, pattern, {i})").alias(f"p{i}") for i in range(1, 5)])
-    number = lambda c: F.replace(F.col(c), F.lit(","), F.lit("")).try_cast("double")
-    low = number("p1") * scale(F.coalesce(F.nullif(F.col("p2"), F.lit("")), F.col("p4")))
-    high = number("p3") * scale(F.coalesce(F.nullif(F.col("p4"), F.lit("")), F.col("p2")))
-    # A generator keeps the filters on amounts from being copied into the extraction.
-    ends = F.array(F.struct(low.alias("lo"), high.alias("hi")))
-    out = each.select(key, "metric", "unit", "confidence", F.inline(ends)).withColumn("hi", F.coalesce("hi", "lo")).where("lo is not null")
-    out = out.select(key, "metric", F.least("lo", "hi").alias("low"), F.greatest("lo", "hi").alias("high"), "unit", "confidence")
-    return out.where(plausible(F.col("metric"), F.col("low")) & plausible(F.col("metric"), F.col("high")))
+    # A generator keeps the filters on amounts from being copied into the extraction. No pattern looks beyond its match, so each match gives its groups again.
+    each = each.select(key, "metric", "unit", "confidence", "pattern", F.posexplode(F.expr("regexp_extract_all(t, pattern, 0)")).alias("n", "m"))
+    part = F.array(F.struct(*[F.expr(f"regexp_extract(m, pattern, {i})").alias(f"p{i}") for i in range(1, 5)]))
+    each = each.select(key, "metric", "unit", "confidence", "n", F.inline(part))
+    low = number(F.col("p1")) * scale(F.coalesce(F.nullif(F.col("p2"), F.lit("")), F.col("p4")))
+    high = number(F.col("p3")) * scale(F.coalesce(F.nullif(F.col("p4"), F.lit("")), F.col("p2")))
+    out = each.select(key, "metric", "unit", "confidence", "n", low.alias("lo"), F.coalesce(high, low).alias("hi")).where("lo is not null")
+    out = out.select(key, "metric", F.least("lo", "hi").alias("low"), F.greatest("lo", "hi").alias("high"), "unit", "confidence", "n")
+    out = out.where(plausible(F.col("metric"), F.col("low")) & plausible(F.col("metric"), F.col("high")))
+    best = F.min_by(F.struct("low", "high", "unit", "confidence"), F.struct(-F.col("confidence"), F.col("n")))
+    return out.groupBy(key, "metric", F.round("low", 4).alias("l"), F.round("high", 4).alias("h")).agg(best.alias("r")).select(key, "metric", "r.*")

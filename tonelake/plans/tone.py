@@ -208,6 +208,16 @@ def guidance_extract(spark, folder):
     return guidance.extract_guidance(table(spark, folder, "guidance").where("guidance_id is not null").dropDuplicates(["guidance_id"]), "guidance_id", "raw_text")
 
 
+@query()
+def guidance_extract_texts(spark, folder):
+    """The same over whole texts: documents, filings and calls."""
+    named = lambda df, source, key: df.select(F.concat(F.lit(f"{source} "), key).alias("text_id"), "text")
+    d = table(spark, folder, "documents").where("doc_id is not null and text <> ''").dropDuplicates(["doc_id"])
+    f, c = tables.filing_texts(table(spark, folder, "filings")), tables.call_texts(table(spark, folder, "transcripts"))
+    texts = named(d, "document", "doc_id").unionByName(named(f, "filing", "accession_number")).unionByName(named(c, "call", "transcript_id"))
+    return guidance.extract_guidance(texts, "text_id")
+
+
 ACCRUALS = "a AS (SELECT ticker, quarter, year, (x.net_income - x.operating_cash_flow) / nullif(x.total_assets, 0) AS accruals_ratio FROM one)"
 
 

@@ -46,6 +46,25 @@ def filings(rows: DataFrame) -> DataFrame:
     )
 
 
+def _first_load(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Each key once: its first load, a missing time last."""
+    order = F.struct(F.col("loaded_at").isNull(), "loaded_at", F.xxhash64("raw_text"))
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("r")).select(key, "r.*")
+
+
+def filing_texts(rows: DataFrame) -> DataFrame:
+    """accession_number, ticker, quarter, year, text: the cleaned text of each filing once, quarter and year filled from the period."""
+    r = _first_load(rows, "accession_number", "ticker", "quarter", "year", "period_of_report", "raw_text")
+    period = F.coalesce("quarter", quarter_of(F.col("period_of_report"))).alias("quarter"), F.coalesce("year", F.year("period_of_report")).alias("year")
+    return r.where("raw_text <> ''").select("accession_number", ticker().alias("ticker"), *period, T.clean_filing(F.col("raw_text")).alias("text"))
+
+
+def call_texts(rows: DataFrame) -> DataFrame:
+    """transcript_id, ticker, quarter, year, text: the cleaned text of each call once."""
+    r = _first_load(rows, "transcript_id", "ticker", "quarter", "year", "raw_text")
+    return r.where("raw_text <> ''").select("transcript_id", ticker().alias("ticker"), "quarter", "year", T.clean_call(F.col("raw_text")).alias("text"))
+
+
 def guidance(rows: DataFrame) -> DataFrame:
     """Each guidance row once, metric in one case, company in one form."""
     metric = F.lower(F.trim("metric_type"))
