@@ -146,6 +146,14 @@ def test_chunking(spark):
     assert sorted((r["id"], r["section"]) for r in chunking.sections(s, "id").collect()) == [("f", "mda"), ("f", "risk_factors"), ("g", "mda")]
 
 
+def test_long_texts_keep_their_end(spark):
+    t = spark.createDataFrame([(1, " ".join(f"Sentence {i} " + "word " * 400 + "ends." for i in range(700)))], "id int, text string")
+    rows = chunking.windows(t, "id").orderBy("chunk_index").collect()
+    assert len(rows) == rows[0]["total_chunks"] > 500 and "Sentence 699 " in rows[-1]["chunk"]
+    some = chunking.windows(t, "id", most=3).collect()
+    assert len(some) == 3 and some[0]["total_chunks"] == len(rows)
+
+
 def test_evaluation(spark):
     rows = [(True, 0.5, 0, "industry", "company"), (False, 0.9, 1, "contradiction", "ragas_prep"), (True, 0.5, 3, "contradiction", "ragas_prep")]
     df = spark.createDataFrame(rows, "m boolean, g double, h int, a string, b string")

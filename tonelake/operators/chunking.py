@@ -11,8 +11,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from tonelake.functions import text as T
 
-# Chunk and overlap in tokens, chunks of a document, and the headings of filings by section.
-SIZE, OVERLAP, MOST = 512, 64, 500
+# Chunk and overlap in tokens, and the headings of filings by section.
+SIZE, OVERLAP = 512, 64
 HEADINGS = {
     "risk_factors": r"item\s+1a\.?\s*risk factors", "mda": r"item\s+[27]\.?\s*management.{0,3}s\s+discussion(?:\s+and\s+analysis)?", "financial_statements": r"item\s+[18]\.?\s*(?:financial statements|consolidated balance)",
     "market_risk": r"item\s+(?:3|7a)\.?\s*quantitative", "controls": r"item\s+(?:4|9a)\.?\s*controls", "cover": r"item\s+1\.?\s*business",
@@ -102,10 +102,11 @@ def _breaks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series([split(t, s) for t, s in zip(tokens, similar)])
 
 
-def windows(texts: DataFrame, key: str, text: str = "text", most: int = MOST) -> DataFrame:
-    """key, chunk_index, total_chunks, chunk, words: sentences packed up to SIZE tokens, each chunk with at least OVERLAP tokens of the one before, at most `most` chunks of a text (the feature's own limit)."""
-    packed = texts.select(key, F.slice(_packed(T.sentences(F.col(text))), 1, most).alias("c"))
-    rows = packed.select(key, F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "s"))
+def windows(texts: DataFrame, key: str, text: str = "text", most: int | None = None) -> DataFrame:
+    """key, chunk_index, total_chunks, chunk, words: sentences packed up to SIZE tokens, each chunk with at least OVERLAP tokens of the one before; all chunks of a text, or the first `most` of the total_chunks that it has."""
+    packed = texts.select(key, _packed(T.sentences(F.col(text))).alias("c"))
+    kept = F.col("c") if most is None else F.slice("c", 1, most)
+    rows = packed.select(key, F.size("c").alias("total_chunks"), F.posexplode(kept).alias("chunk_index", "s"))
     return rows.select(key, "chunk_index", "total_chunks", F.array_join("s", " ").alias("chunk")).withColumn("words", T.word_count(F.col("chunk")))
 
 
