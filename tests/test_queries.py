@@ -16,6 +16,19 @@ def test_runs(spark, name):
     assert all_queries()[name](spark, FOLDER).count() >= 0
 
 
+def test_semantic_chunks_hold_every_sentence(spark):
+    from pyspark.sql import functions as F
+
+    from tonelake.functions import text as T
+
+    d = spark.read.parquet(f"{FOLDER}/documents.parquet").where("text <> ''").dropDuplicates(["doc_id"])
+    whole = {r["doc_id"]: r["t"] for r in d.select("doc_id", F.array_join(T.sentences(F.col("text")), " ").alias("t")).collect()}
+    found = {}
+    for r in all_queries()["semantic_chunks"](spark, FOLDER).orderBy("doc_id", "chunk_index").collect():
+        found[r["doc_id"]] = f"{found[r['doc_id']]} {r['chunk']}" if r["doc_id"] in found else r["chunk"]
+    assert found == {k: v for k, v in whole.items() if v}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

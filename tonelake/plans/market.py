@@ -12,7 +12,7 @@ from tonelake.plans import pipeline
 from tonelake.plans.catalog import query, table
 from tonelake.plans.tone import CHUNKS, SCORES, _chunks, rounded
 from tonelake.sources import tables
-from tonelake.storage import stage
+from tonelake.storage import spread, stage
 
 _HALF_UP = "CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {n}) AS DOUBLE)"  # rounds the shortest decimal form, as Spark does
 WINDOW = ("1995-01-01", "2001-12-31")
@@ -227,6 +227,15 @@ def pair_dedup_cap(spark, folder):
     return pairs.capped(u, 20)
 
 
+@query("""WITH u AS (SELECT 'T' || label AS ticker, vec_id AS a, vec_id * 7 + 3 AS b, 0 AS source FROM embeddings UNION ALL SELECT 'T' || label, vec_id * 7 + 3, vec_id, 1 FROM embeddings)
+SELECT ticker, a, b, source FROM u QUALIFY row_number() OVER (PARTITION BY ticker, least(a, b), greatest(a, b) ORDER BY source, a, b) = 1""")
+def pair_dedup(spark, folder):
+    """Every distinct pair, with partners from all ids."""
+    e = table(spark, folder, "embeddings").select(F.concat(F.lit("T"), "label").alias("ticker"), F.col("vec_id").alias("x"), (F.col("vec_id") * 7 + 3).alias("y"))
+    u = e.select("ticker", F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).alias("source")).unionByName(e.select("ticker", F.col("y").alias("a"), F.col("x").alias("b"), F.lit(1).alias("source")))
+    return pairs.distinct_pairs(u)
+
+
 @query(f"""WITH {CHUNKS}, {SCORES} SELECT ticker, chunk_id AS a, round(negative, 6) + 0.0 AS contradiction, CAST(row_number() OVER (PARTITION BY ticker ORDER BY negative DESC, chunk_id) AS INTEGER) AS rank FROM scored WHERE negative >= 0.5""")
 def contradictions(spark, folder):
     c = _chunks(spark, folder)
@@ -326,6 +335,13 @@ def speaker_role(spark, folder):
     return lines.where("length(line) < 80").select("line", T.speaker_role(F.col("line")).alias("role"))
 
 
+@query(f"WITH n AS (SELECT DISTINCT unnest(string_split(raw_text, chr(10))) AS s FROM transcripts WHERE raw_text IS NOT NULL) SELECT s AS line, {_ROLE} AS role FROM n")
+def speaker_role_all(spark, folder):
+    """Lines of any length."""
+    lines = table(spark, folder, "transcripts").where("raw_text is not null").select(F.explode(F.split("raw_text", "\n")).alias("line")).distinct()
+    return lines.select("line", T.speaker_role(F.col("line")).alias("role"))
+
+
 @query("SELECT DISTINCT accession_number, CASE " + " ".join(f"WHEN abs(v) >= {x} THEN printf('$%.2f{m}', {_HALF_UP.format(x=f'v / {x}', n=2)})" for m, x in (("T", "1e12"), ("B", "1e9"), ("M", "1e6"), ("K", "1e3"))) + " ELSE printf('$%.2f', v) END AS shown FROM (SELECT accession_number, round(xbrl_data.revenue / 1000) * 1000 AS v FROM filings WHERE xbrl_data.revenue IS NOT NULL)")
 def large_numbers(spark, folder):
     f = table(spark, folder, "filings").select("accession_number", (F.round(F.col("xbrl_data.revenue") / 1000) * 1000).alias("v")).where("v is not null").distinct()
@@ -340,9 +356,10 @@ def softmax(spark, folder):
 
 @query()
 def semantic_chunks(spark, folder):
-    """Vectors stand for the sentences of ten texts."""
-    v = table(spark, folder, "embeddings").select((F.col("vec_id") % 10).alias("text_id"), F.col("vec_id").alias("n"), F.repeat(F.lit("word "), 200).alias("sentence"), "embedding")
-    return chunking.semantic_chunks(v, "text_id")
+    """The sentences of every document, embedded."""
+    d = spread(table(spark, folder, "documents").where("doc_id is not null and text <> ''").dropDuplicates(["doc_id"]))
+    sentences = d.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
+    return chunking.semantic_chunks(models.embed(sentences, "sentence"), "doc_id")
 
 
 @query()
