@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tonelake.operators import evaluation, models, vectors
 from tonelake.storage import stage
 
-#: chunks that a request retrieves, from peers for each, and characters of its context
-K, PEER_K, CONTEXT_CHARS = 10, 3, 6000
+#: chunks that a request retrieves, and characters of its context
+K, CONTEXT_CHARS = 10, 6000
 
 
 def _retrieve(requests: DataFrame, chunks: DataFrame, k: int, by_intent: bool) -> DataFrame:
