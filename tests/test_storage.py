@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from tonelake import storage, streaming
 from tonelake.sources import files, sinks
 
@@ -44,10 +46,67 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert spark.table("counted").agg({"n": "sum"}).first()[0] == batch.count()
-    s = streaming.arriving(spark, str(tmp_path / "in"), batch.schema).select("event_type", "event_id")
-    w = streaming.keep_newest(s, str(tmp_path / "out"), "event_type", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    s = streaming.arriving(spark, str(tmp_path / "in"), batch.schema, 1).select("event_type", "event_id")
+    w = streaming.keep_newest(s, str(tmp_path / "out"), "event_type", str(tmp_path / "c2"), "event_id").trigger(availableNow=True).start()
     w.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == batch.select("event_type").distinct().count()
+    newest = {tuple(r) for r in batch.groupBy("event_type").agg({"event_id": "max"}).collect()}
+    assert {(r["event_type"], r["event_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == newest
+
+
+def test_upsert_keeps_the_newest_row_and_survives_failures(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(r, "id int, part string, at int, x string")
+    sinks.upsert_table(spark, path, rows((1, "a", 5, "new"), (2, "b", 5, "new"), (None, "a", 1, "null")), "id", "at", "part")
+    untouched = {f.name for f in (tmp_path / "t" / "part=b").iterdir()}
+    sinks.upsert_table(spark, path, rows((1, "a", 4, "late"), (3, "a", 1, "first"), (None, "a", 2, "newer")), "id", "at", "part")
+    got = {(r["id"], r["x"]) for r in spark.read.parquet(path).collect()}
+    assert got == {(1, "new"), (2, "new"), (3, "first"), (None, "newer")}
+    assert {f.name for f in (tmp_path / "t" / "part=b").iterdir()} == untouched
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"no footer here")
+    with pytest.raises(Exception):
+        sinks.upsert_table(spark, str(broken), rows((1, "a", 1, "x")), "id", "at")
+    assert (broken / "part-0.parquet").read_bytes() == b"no footer here"
+    (tmp_path / "t").rename(tmp_path / "t.old-1")  # cut off between the renames
+    assert sinks.table_exists(spark, path) and spark.read.parquet(path).count() == 4
+    assert not sinks.table_exists(spark, str(tmp_path / "none"))
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, _):
+            pass
+
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext = Conf(), Context(master)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            storage.shared_dir(Session(master))
+    assert storage.shared_dir(Session("local[2]")).startswith("file:///")
+
+
+def test_scratch_deletes_what_was_staged(spark):
+    with storage.scratch(spark):
+        one = storage.stage(spark.range(3).toDF("x"))
+        assert one.count() == 3
+    fs, p = storage.hadoop_path(spark, one._staged_at)
+    assert not fs.exists(p)
+    other = storage.stage(spark.range(3).toDF("x"))
+    storage.unstage(other)
+    assert not fs.exists(storage.hadoop_path(spark, other._staged_at)[1])
 
 
 def test_pipeline(spark, tmp_path):

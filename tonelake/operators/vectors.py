@@ -127,10 +127,21 @@ def similar_pairs(df: DataFrame, key: str, vector: str, group: str, period: str,
     return met.select("g", "ids", "vs", "i2", "v2", (F.col("block") == F.col("b2")).alias("same")).mapInArrow(run, "g string, a bigint, b bigint, similarity double")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Stored rows, replaced by incoming ones of the same key; of several incoming ones any one that is last by all columns."""
-    new = incoming.groupBy(key).agg(F.max(F.struct(*[c for c in incoming.columns if c != key])).alias("r")).select(key, "r.*").select(*incoming.columns)
-    return stored.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Stored rows, replaced by incoming ones of the same key.
+
+    With an order column the row that is last by it stays, whichever side it came from; a null order is before all others, and an
+    incoming row goes before a stored one of the same order. Of rows that are still alike, and of several incoming ones without an
+    order, the one that is last by all columns stays. A null key is a key like any other.
+    """
+    columns = incoming.columns
+    rest = F.struct(*[c for c in columns if c != key])
+    if order:
+        both = stored.select(*columns, F.lit(0).alias("_side")).unionByName(incoming.select(*columns, F.lit(1).alias("_side")))
+        return both.groupBy(key).agg(F.max(F.struct(F.col(order).alias("_order"), "_side", rest.alias("r"))).alias("m")).select(key, "m.r.*").select(*columns)
+    new = incoming.groupBy(key).agg(F.max(rest).alias("r")).select(key, "r.*").select(*columns)
+    gone = new.select(F.col(key).alias("_key"))
+    return stored.join(gone, stored[key].eqNullSafe(gone["_key"]), "left_anti").unionByName(new)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

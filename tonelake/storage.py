@@ -2,44 +2,69 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_STAGED: list[tuple[SparkSession, str]] = []
+#: paths staged within open scratch() blocks, the innermost last
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is named (tests), a temporary one of our own."""
+    """The cluster's checkpoint folder. Where none is named, a temporary folder of this machine serves a local session; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tonelake-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def _drop_staged() -> None:
-    for spark, path in _STAGED:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already
-            pass
-
-
-atexit.register(_drop_staged)
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and no executor holds the only copy."""
+    """Write df to the shared folder and read it back: lineage ends here and no executor holds the only copy.
+
+    The table goes when a surrounding scratch() ends, at the latest with the driver's JVM (also after the session was stopped).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tonelake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    fs, p = hadoop_path(spark, path)
+    fs.deleteOnExit(p)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    if path := getattr(df, "_staged_at", None):
+        fs, p = hadoop_path(df.sparkSession, path)
+        fs.delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within the block are deleted at its end; what is computed from them must be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            fs, p = hadoop_path(spark, path)
+            fs.delete(p, True)
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:

@@ -26,10 +26,13 @@ def quarter_tone(scored: DataFrame, time: str, late: str = "30 days") -> DataFra
     return s.groupBy("ticker", "quarter", "year").agg((F.sum((F.col("positive") - F.col("negative")) * w) / F.sum(w)).alias("net_sentiment_score"), F.count("*").alias("chunk_count"))
 
 
-def keep_newest(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Upserts every micro-batch into a table; the newest row of each key stays."""
+def keep_newest(stream: DataFrame, path: str, key: str, checkpoint: str, order: str, partition: str | None = None):
+    """Upserts every micro-batch into a table; the row of each key with the greatest order stays, so a late one doesn't replace a newer one.
+
+    With a partition column only the partitions that a batch touches are rewritten.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        upsert_table(batch.sparkSession, path, batch, key)
+        upsert_table(batch.sparkSession, path, batch, key, order, partition)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
