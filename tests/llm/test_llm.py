@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from conftest import frame_rows
+from pyspark.sql import functions as F
 
 from tonelake.llm import lines, mixing, neardup, reading, split, tokens, turns
 
@@ -184,6 +185,26 @@ def test_mixture(spark):
     assert mixing.mixture(docs, mixes.limit(0))[0].count() == 0
 
 
+def test_shared_documents_are_used_evenly(spark):
+    """Sources that own the same documents split them: nothing is repeated while a document is unused."""
+    docs = spark.createDataFrame([(i, ["a", "b"], 100) for i in range(400)], "doc_id long, source array<string>, n_tokens long")
+    mixes = spark.createDataFrame([(m, s, 1.0, 3, ratio) for m, ratio in ((1, 1.0), (2, 1.5), (3, 0.25)) for s in "ab"], "mix_id int, source string, weight double, max_repeats int, total_ratio double")
+    used = {}
+    for r in mixing.mixture(docs, mixes)[0].collect():
+        used.setdefault(r["mix_id"], {}).setdefault(r["doc_id"], []).append(r["repeats"])
+    assert sorted(sum(v) for v in used[1].values()) == [1] * 400
+    assert sorted(sum(v) for v in used[2].values()) == [1] * 200 + [2] * 200
+    assert sorted(sum(v) for v in used[3].values()) == [1] * 100
+    many = mixing.mixture(docs.withColumn("n_tokens", F.lit(1)), mixes)[0]  # arcs end inside steps
+    assert many.where("mix_id = 1").groupBy("doc_id").agg(F.sum("repeats").alias("n")).where("n <> 1").isEmpty() and many.where("mix_id = 1").select("doc_id").distinct().count() == 400
+
+
+def test_laps_and_arcs():
+    assert mixing.laps_by_price(3) == [(1, 1), (2, 1), (3, 1)] and mixing.laps_by_price(0) == []
+    assert sum(n for _, n in mixing.laps_by_price(10**9)) == 10**9 and len(mixing.laps_by_price(10**9)) < 100
+    assert mixing.arcs(10, [("a", 7), ("b", 15), ("c", 10)], 3) == [("a", 0, 3, 0), ("b", 1, 0, 5), ("c", 1, 5, 5)]
+
+
 def test_mixture_of_overlapping_sources(spark):
     docs = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["b"], 10) for i in range(200)], "doc_id long, source array<string>, n_tokens long")
     mixes = spark.createDataFrame([(1, "a", 1.0, 1, 1.0), (1, "b", 1.0, 1, 1.0)], "mix_id int, source string, weight double, max_repeats int, total_ratio double")

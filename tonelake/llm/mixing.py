@@ -2,8 +2,9 @@
 
 Documents are aggregated by membership pattern (the set of sources they belong to). For each mixture a min-cost flow
 sends the tokens of the patterns to the quotas of the sources; a further repetition of a pattern costs more than the one
-before, so nothing is repeated while unused tokens can fill a quota. Flows become repeat counts: whole repetitions for
-all documents of a pattern, and for the rest a seeded choice of documents, cut at a threshold of a hash that a histogram finds.
+before, so nothing is repeated while unused tokens can fill a quota. A seeded order lays a pattern's documents on a circle as long
+as their tokens, and the pattern's sources take consecutive arcs of it: no document is used once more before all others
+of its pattern were. A histogram of the order tells the place of nearly all documents; only those around the ends of arcs are sorted.
 """
 
 from __future__ import annotations
@@ -11,16 +12,21 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.storage import stage
+from tonelake.storage import small_enough, stage
 
 #: membership patterns, and rows of mixture targets, that the driver plans with at most; more are an error
 PATTERNS, TARGETS = 10_000, 100_000
-#: steps of the histogram of hashes; one step's documents are ordered exactly in one task
+#: steps of the histogram of the seeded order; a step's documents are sorted in one task, if an arc ends there
 STEPS = 1 << 14
-_PLAN = "mix_id int, pattern string, source string, whole int, rest bigint"
+#: arcs and steps that are broadcast at most; more are joined by a shuffle
+BROADCAST_ROWS = 200_000
+#: repetitions of a pattern that have a price each; beyond them the price is the same up to twice as many
+PRICED = 64
+_ARCS = "mix_id int, pattern string, source string, whole bigint, start bigint, stop bigint"
 
 
 def min_cost_flow(edges: list[tuple[str, str, int, int]], start: str, end: str) -> list[int]:
@@ -58,6 +64,26 @@ def min_cost_flow(edges: list[tuple[str, str, int, int]], start: str, end: str)
             left[e ^ 1] += most
 
 
+def laps_by_price(most: int) -> list[tuple[int, int]]:
+    """Segments (price, repetitions) of the convex cost of so many repetitions: PRICED single ones, then ones of doubling length."""
+    out = [(k, 1) for k in range(1, min(most, PRICED) + 1)]
+    at = PRICED
+    while at < most:
+        out.append((at + 1, min(at, most - at)))
+        at *= 2
+    return out
+
+
+def arcs(size: int, given: list[tuple[str, int]], turn: int) -> list[tuple[str, int, int, int]]:
+    """source, whole laps, start and stop of its arc on a circle of so many tokens, one source after the other from a first place on."""
+    out, at = [], turn % size
+    for source, n in given:
+        whole, rest = divmod(n, size)
+        out.append((source, whole, at, (at + rest) % size if rest else at))
+        at = (at + rest) % size
+    return out
+
+
 def plan(tokens: dict[tuple[str, ...], int], total: int, targets: list[tuple[str, float, int]], ratio: float) -> dict[tuple[tuple[str, ...], str], int]:
     """Tokens that each (pattern, source) gives to one mixture. targets: source, weight, most repeats. total: tokens of all documents."""
     targets = [(s, w, r) for s, w, r in targets if w > 0]
@@ -68,8 +94,8 @@ def plan(tokens: dict[tuple[str, ...], int], total: int, targets: list[tuple[str
     gives: dict[tuple[tuple[str, ...], str], int] = {}
     for pattern, size in sorted(tokens.items()):
         own = [s for s in pattern if s in quotas]
-        for k in range(sum(repeats[s] for s in own)):
-            edges.append(("start", f"p{pattern}", size, k + 1))
+        for first, laps in laps_by_price(sum(repeats[s] for s in own)):
+            edges.append(("start", f"p{pattern}", size * laps, first))
         for s in own:
             gives[pattern, s] = len(edges)
             edges.append((f"p{pattern}", f"s{s}", size * repeats[s], 0))
@@ -107,7 +133,9 @@ def mixture(sized: DataFrame, mixes: DataFrame, key: str = "doc_id", sources: st
     all. The choice depends on the seed and keys alone. Empty tables give no documents. Other columns are ignored.
     """
     spark = sized.sparkSession
-    documents = stage(_documents(sized, sources, tokens, key), "sized")
+    order = F.xxhash64(F.lit(seed), "k")
+    documents = _documents(sized, sources, tokens, key).withColumn("h", order).withColumn("step", F.shiftrightunsigned("h", 64 - STEPS.bit_length() + 1).cast("int"))
+    documents = stage(documents, "sized")
     capacity = documents.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("n").alias("n")).limit(PATTERNS + 1).collect()
     if len(capacity) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} membership patterns")
@@ -119,23 +147,36 @@ def mixture(sized: DataFrame, mixes: DataFrame, key: str = "doc_id", sources: st
         ratio = max((t for *_, t in rows if t is not None), default=1.0)
         weights = sum(w for _, w, _, _ in rows) or 1.0
         wanted += [(mix_id, s, w / weights, round(total * ratio * w / weights)) for s, w, _, _ in rows]
-        given = plan({p: n for p, n in size.items() if n}, total, [r[:3] for r in rows], ratio)
-        planned += [(mix_id, name[p], s, n // size[p], n % size[p]) for (p, s), n in given.items()]
-    steps = F.broadcast(spark.createDataFrame(planned, _PLAN))
-    h = F.xxhash64(F.lit(seed), "mix_id", "source", "k")
-    drawn = documents.where("n > 0").join(steps, "pattern").withColumn("h", h).withColumn("step", F.shiftrightunsigned("h", 64 - STEPS.bit_length() + 1).cast("int"))
-    # Where the seeded order of a pattern's documents reaches the rest that is wanted: first the step of the histogram ...
-    part = ["mix_id", "pattern", "source"]
-    sums = drawn.where("rest > 0").groupBy(*part, "step").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
-    before = F.expr("sum(n) over (partition by mix_id, pattern, source order by step) - n")
-    edge = stage(sums.withColumn("before", before).where("before < rest and before + n >= rest").select(*part, F.col("step").alias("edge"), "before"), "edges")
-    placed = drawn.join(F.broadcast(edge), part, "left")
-    # ... then the document within that step; the one that crosses the line is taken if most of it is on this side.
-    inside = placed.where("step = edge").withColumn("at", F.expr("before + sum(n) over (partition by mix_id, pattern, source order by h, k rows unbounded preceding)"))
-    inside = inside.select(*part, "k", (F.col("at") * 2 - F.col("n") <= F.col("rest") * 2).alias("taken"))
-    outside = placed.where("edge is null or step <> edge").select("mix_id", "k", "source", "n", "whole", (F.col("edge").isNotNull() & (F.col("step") < F.col("edge"))).alias("taken"))
-    within = placed.where("step = edge").select(*part, "k", "n", "whole").join(inside, [*part, "k"]).select("mix_id", "k", "source", "n", "whole", "taken")
-    chosen = outside.unionByName(within).select("mix_id", F.col("k").alias(key), "source", F.col("n").alias("n_tokens"), (F.col("whole") + F.col("taken").cast("int")).alias("repeats")).where("repeats > 0")
+        given: dict[tuple[str, ...], list[tuple[str, int]]] = defaultdict(list)
+        for (p, s), n in plan({p: n for p, n in size.items() if n}, total, [r[:3] for r in rows], ratio).items():
+            given[p].append((s, n))
+        for p, parts in given.items():
+            turn = xxhash.xxh3_64_intdigest(f"{seed} {mix_id} {name[p]}".encode())
+            planned += [(mix_id, name[p], *arc) for arc in arcs(size[p], parts, turn)]
+    plans = spark.createDataFrame(planned, _ARCS)
+    # The step of the histogram that each end of an arc falls into: both sorted along the circle.
+    sums = documents.where("n > 0").groupBy("pattern", "step").agg(F.sum("n").alias("n"))
+    sums = sums.select("pattern", F.expr("sum(n) over (partition by pattern order by step) - n").alias("at"), "step")
+    ends = plans.where("start <> stop").select("pattern", F.explode(F.array("start", "stop")).alias("at")).distinct().withColumn("step", F.lit(None).cast("int"))
+    ends = sums.withColumn("end", F.lit(0)).unionByName(ends.withColumn("end", F.lit(1)))
+    ends = ends.select("pattern", "at", "end", F.expr("last(step, true) over (partition by pattern order by at, end rows unbounded preceding)").alias("step"))
+    ends = stage(ends.where("end = 1").select("pattern", "at", "step"), "ends")
+    few = small_enough(ends, BROADCAST_ROWS)
+    near = lambda df: F.broadcast(df) if few else df
+    start, stop = (ends.select("pattern", F.col("at").alias(x), F.col("step").alias(f"{x}_step")) for x in ("start", "stop"))
+    arcs_ = stage(plans.join(near(start), ["pattern", "start"], "left").join(near(stop), ["pattern", "stop"], "left"), "arcs")
+    # Documents of those steps are placed exactly (by their middle), all others by their step.
+    edge = near(ends.select("pattern", "step").distinct())
+    before = sums.select("pattern", "step", F.col("at").alias("before")).join(edge, ["pattern", "step"])
+    exact = documents.where("n > 0").join(near(before), ["pattern", "step"])
+    exact = exact.withColumn("middle", F.expr("2 * (before + sum(n) over (partition by pattern, step order by h, k rows unbounded preceding)) - n"))
+    apart = documents.where("n > 0").join(edge, ["pattern", "step"], "left_anti").withColumn("middle", F.lit(None).cast("bigint"))
+    columns = ["k", "pattern", "n", "step", "middle"]
+    placed = exact.select(*columns).unionByName(apart.select(*columns)).join(F.broadcast(arcs_) if small_enough(arcs_, BROADCAST_ROWS) else arcs_, "pattern")
+    after = F.when(F.col("middle").isNull(), F.col("step") > F.col("start_step")).otherwise(F.col("middle") >= 2 * F.col("start"))
+    short = F.when(F.col("middle").isNull(), F.col("step") < F.col("stop_step")).otherwise(F.col("middle") < 2 * F.col("stop"))
+    taken = F.when(F.col("start") == F.col("stop"), False).when(F.col("start") < F.col("stop"), after & short).otherwise(after | short)
+    chosen = placed.select("mix_id", F.col("k").alias(key), "source", F.col("n").alias("n_tokens"), (F.col("whole") + taken.cast("int")).cast("int").alias("repeats")).where("repeats > 0")
     target = spark.createDataFrame(wanted, "mix_id int, source string, target_share double, target_tokens bigint")
     got = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("a"), F.count("*").alias("d"))
     shares = target.join(F.broadcast(got), ["mix_id", "source"], "left").select(
