@@ -153,3 +153,9 @@ def test_failing_model_is_neutral(spark):
 
     df = spark.createDataFrame([("a",), (None,)], "text string").select(models.tone_model(broken)(F.col("text")).alias("s"))
     assert [tuple(r.s) for r in df.collect()] == [(0.0, 0.0, 1.0)] * 2
+
+
+def test_one_of_each(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "w"), ("a", 1, None), ("b", 2, None), (None, 3, "y"), ("c", None, "z"), ("d", 4, "q")], "k string, j int, t string")
+    assert sorted(map(tuple, storage.one_of_each(df, ["k", "j"], "t").collect())) == [("a", 1, "w"), ("b", 2, None), ("d", 4, "q")]
+    assert storage.one_of_each(df.limit(0), ["k"], "t").count() == 0

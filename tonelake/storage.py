@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: paths staged within open scratch() blocks, the innermost last
 _OPEN: list[list[str]] = []
@@ -82,3 +83,21 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     """df partitioned by keys, over so many partitions that small ones aren't put together before costly work on rows; an aggregation by the keys that follows needs no further shuffle."""
     spark = df.sparkSession
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
+#: keys that occur more than once, broadcast at most; more are joined by a shuffle
+REPEATED_KEYS = 1_000_000
+
+
+def one_of_each(df: DataFrame, keys: list[str], least: str) -> DataFrame:
+    """df with one row for each key, of several rows the one that is least by a column and then by all others.
+
+    Keys are counted first, from their own columns alone; only rows of keys that occur more than once are shuffled. Rows with a null in a key are left out.
+    """
+    df = df.dropna(subset=keys)
+    repeated = df.groupBy(*keys).count().where("count > 1").select(*keys)
+    repeated = F.broadcast(repeated) if small_enough(repeated, REPEATED_KEYS) else repeated
+    rest = [c for c in df.columns if c not in keys]
+    order = F.struct(F.col(least).isNull(), least, *[c for c in rest if c != least])
+    several = df.join(repeated, keys, "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
+    return df.join(repeated, keys, "left_anti").select(*keys, *rest).unionByName(several).select(*df.columns)
