@@ -1,6 +1,7 @@
 """The operators for language-model data on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -81,6 +82,22 @@ def test_pieces(spark):
     assert split.pieces(df.limit(0), "s", "k", "t").count() == split.cut_kinds(df.limit(0), "s", "k", "t").count() == 0
 
 
+def test_boundary_is_what_cut(spark):
+    """The alternative that cut says the same as a plain search for a long run, on random texts around every limit."""
+    rng, limit = random.Random(5), 40
+    words = lambda: rng.choice(["a", "bc.", "x" * rng.randrange(25, 50), "y!\u00a0z", ".)", "q" * 32, "q" * 40, "q" * 41])
+    texts = ["".join(w + rng.choice(["", " ", " ", "\n", "\r\n", "\t", "\n \n", "\u00a0", "  "]) for w in (words() for _ in range(rng.randrange(1, 12)))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {int(r["item_key"]): r["boundary"] for r in split.cut_kinds(df, "s", "k", "t", limit, 6, 2).collect()}
+    assert got == {i: "hard" if max(map(len, re.split(r"[ \t\r\n]", t))) > limit else "natural" for i, t in enumerate(texts) if len(t) > limit}
+    assert len(set(got.values())) == 2
+    pieces: dict = {}
+    for r in split.pieces(df, "s", "k", "t", limit, 6, 2).orderBy("item_key", "piece_no").collect():
+        assert len(r["piece"]) <= limit
+        pieces[int(r["item_key"])] = pieces.get(int(r["item_key"]), "") + r["piece"][r["shared"] :]
+    assert pieces == {i: t for i, t in enumerate(texts) if t}
+
+
 # --- 3 near-duplicates
 
 

@@ -53,6 +53,22 @@ def p2_pieces(spark, folder):
     return _long_items(spark, folder, split.pieces)
 
 
+@query
+def p2_roundtrip(spark, folder):
+    """Each item out of its pieces: the digest of what they hold without what they share, and whether all keep the limit and overlap as stated."""
+    p = p2_pieces(spark, folder)
+    own = F.expr("transform(array_sort(collect_list(struct(piece_no, substr(piece, shared + 1) as own))), x -> x.own)")
+    each = p.groupBy("source_table", "item_key").agg(
+        own.alias("own"), F.min(F.length("piece") <= split.LIMIT).alias("within_limit"),
+        F.min((F.col("piece_no") == 0) | F.col("shared").between(split.OVERLAP - split.SLACK, split.OVERLAP + split.SLACK) | (F.length("piece") == split.LIMIT)).alias("overlapping"),
+    )
+    return each.select("source_table", "item_key", F.md5(F.array_join("own", "").cast("binary")).alias("digest"), "within_limit", "overlapping")
+
+
+ORACLES["p2_roundtrip"] = r"""
+SELECT 'filings' AS source_table, accession_number AS item_key, md5(raw_text) AS digest, true AS within_limit, true AS overlapping FROM filings WHERE raw_text <> ''
+UNION SELECT 'transcripts', CAST(transcript_id AS VARCHAR), md5(raw_text), true, true FROM transcripts WHERE raw_text <> ''
+"""
 ORACLES["p2_found"] = r"""
 WITH items AS (
   SELECT 'filings' AS source_table, accession_number AS item_key, raw_text FROM filings

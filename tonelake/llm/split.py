@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.storage import spread, spread_by
+from tonelake.storage import one_of_each, spread
 
 LIMIT, OVERLAP = 4000, 200
 #: how far the overlap may be from OVERLAP, to start at a natural unit
@@ -20,18 +20,22 @@ SLACK = 50
 
 
 def body_pattern(limit: int = LIMIT, overlap: int = OVERLAP, slack: int = SLACK) -> str:
-    """Alternatives, the strongest boundary first. A body leaves room for the overlap before it, except one long word."""
+    """Alternatives, the strongest boundary first. A body leaves room for the overlap before it, except one long word.
+
+    A body never ends inside a run without space, tab or line break, but by the last alternative, which is group 1: it is reached only at
+    the start of a run longer than the limit (and within it), so a text has a body of group 1 if and only if it holds such a run.
+    """
     room = limit - overlap - slack
     take = rf"[\s\S]{{1,{room}}}"
     return "|".join([
         rf"[\s\S]{{1,{room}}}+\z",
         take + r"(?<=\n[ \t]{0,8}\r?\n|\r[ \t]{0,8}\r)(?![\r\n])",
-        take + r"(?<=[.!?][\"')\]\u201d\u2019]{0,2}[ \t\r\n\u00a0]{1,4})(?![ \t\r\n\u00a0])",
+        take + r"(?<=[.!?][\"')\]\u201d\u2019]{0,2}[ \t\r\n]{1,4})(?![ \t\r\n])",
         take + r"(?<=[\r\n])(?!\n)",
         take + r"(?<=[ \t])(?![ \t])",
         take + r"(?<=[ \t\r\n])",
-        rf"[^ \t\r\n]{{{room + 1},{limit}}}(?=[ \t\r\n]|\z)",
-        rf"[\s\S]{{{room}}}",
+        rf"[^ \t\r\n]{{{room},{limit}}}(?=[ \t\r\n]|\z)",
+        rf"([\s\S]{{{room}}})",
     ])
 
 
@@ -41,11 +45,6 @@ def lookback_patterns(overlap: int = OVERLAP, slack: int = SLACK) -> tuple[str,
     return rf"(?<=[.!?][ \t\r\n]|[\r\n])[^ \t\r\n][\s\S]{{{low},}}\z", rf"(?<=[ \t\r\n])[^ \t\r\n][\s\S]{{{low},}}\z"
 
 
-def _bodies(items: DataFrame, limit: int, overlap: int, slack: int) -> DataFrame:
-    """Rows of (s, k, t) that are too long, with their bodies b."""
-    return items.where(F.length("t") > limit).withColumn("b", F.regexp_extract_all("t", F.lit(body_pattern(limit, overlap, slack)), F.lit(0)))
-
-
 def _items(df: DataFrame, source: str, key: str, text: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(F.lit(source).alias("s"), F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"))
 
@@ -53,19 +52,14 @@ def _items(df: DataFrame, source: str, key: str, text: str) -> DataFrame:
 def cut_kinds(df: DataFrame, source: str, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, slack: int = SLACK) -> DataFrame:
     """source_table, item_key, boundary of each item above the limit, once for each key.
 
-    boundary is hard where the operator had to cut inside a run without space, tab or line break longer than the limit,
-    else natural. Items with a null key are left out; null, empty and short texts are no items. Other columns are ignored.
+    boundary is hard where the alternative that cuts after a fixed number of characters was the one that matched, which happens in a
+    run without space, tab or line break longer than the limit; else natural. A key with several texts is hard if one of them is.
+    Items with a null key are left out; null, empty and short texts are no items. Other columns are ignored.
     """
-    cut = _bodies(spread(_items(df, source, key, text)), limit, overlap, slack)
-    # A body that ends inside a run, and of that run more than fits into a piece: cut by the last alternative.
-    inside = F.exists(
-        F.transform(F.sequence(F.lit(0), F.size("b") - 2), lambda i: F.concat(F.element_at("b", i + 1), F.element_at("b", i + 2))),
-        lambda two: two.rlike(rf"[^ \t\r\n]{{{limit - overlap - slack + 1}}}"),
-    )
-    suspects = F.when(F.size("b") > 1, inside).otherwise(False)
-    longest = F.array_max(F.transform(F.split("t", r"[ \t\r\n]"), F.length))
-    kind = F.when(suspects, F.when(longest > limit, "hard").otherwise("natural")).otherwise("natural")
-    return cut.select(F.col("s").alias("source_table"), F.col("k").alias("item_key"), kind.alias("boundary")).dropDuplicates(["source_table", "item_key"])
+    by_count = F.regexp_extract_all("t", F.lit(body_pattern(limit, overlap, slack)), F.lit(1))
+    kind = F.when(F.exists(by_count, lambda x: x != ""), "hard").otherwise("natural")
+    cut = spread(_items(df, source, key, text)).where(F.length("t") > limit)
+    return cut.select(F.col("s").alias("source_table"), F.col("k").alias("item_key"), kind.alias("boundary")).groupBy("source_table", "item_key").agg(F.min("boundary").alias("boundary"))
 
 
 def pieces(df: DataFrame, source: str, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, slack: int = SLACK) -> DataFrame:
@@ -75,7 +69,7 @@ def pieces(df: DataFrame, source: str, key: str, text: str, limit: int = LIMIT,
     at most limit characters is one piece; null and empty texts have none. Of rows with the same key one is taken (the
     first by its text); rows with a null key are left out. Other columns are ignored.
     """
-    one = spread_by(_items(df, source, key, text).where(F.length("t") > 0), "s", "k").groupBy("s", "k").agg(F.min("t").alias("t"))
+    one = one_of_each(spread(_items(df, source, key, text).where(F.length("t") > 0)), ["s", "k"], "t")
     b = F.when(F.length("t") <= limit, F.array("t")).otherwise(F.regexp_extract_all("t", F.lit(body_pattern(limit, overlap, slack)), F.lit(0)))
     starts = F.expr("aggregate(b, array(0), (a, x) -> array_append(a, element_at(a, -1) + length(x)))")
     far = overlap + slack
