@@ -1,14 +1,15 @@
 """Reading level of running prose by a familiar-word formula (problem 8).
 
-The formula's two terms, the share of words outside a high-frequency list and the length of the sentence, are taken for
-every sentence. One list can't grade four levels, so there are three: list k holds the words that the corpus's document
-frequencies place at level k or below. The weights are fitted to ratings; a document has the level of most of its sentences.
+The formula has two terms: the share of words outside one list of familiar words, and the length of the sentence. It is taken for
+every sentence, and a document has the level of most of its sentences. The list comes from the corpus's document frequencies: words
+that enough documents hold, and that documents of the easier levels hold more often than those of the harder ones. Where
+the line between the two is drawn, the formula's two weights and the cuts between the levels are fitted to ratings.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from math import log2
@@ -18,15 +19,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.storage import spread, stage
+from tonelake.storage import small_enough, spread, stage
 
-#: rated documents that the weights are fitted to at most (by a hash of their id), and words of the high-frequency list
-RATED_DOCUMENTS, LIST_WORDS = 5_000, 20_000
-#: words (split at white space) that a document needs, and passes over the corpus that refine the lists
-LEAST_WORDS, PASSES = 40, 2
 LEVELS = (1, 2, 3, 4)
+#: rated documents that the formula is fitted to at most (by a hash of their id)
+RATED_DOCUMENTS = 5_000
+#: share of all documents that must hold a word of the list; so the list has at most (distinct words of a document) / share words
+LEAST_SHARE = 0.001
+#: words whose frequencies the driver takes at most; more are an error
+LIST_WORDS = 1_000_000
+#: lists that are tried, as (level, times): words that documents up to the level hold so many times as often as those above it
+LISTS = tuple((level, times) for level in LEVELS[:-1] for times in (0.25, 0.5, 1.0, 2.0, 4.0))
+#: steps of the share, and of the logarithm of the length to base 2, in which sentences are counted for the fit
+SHARES, LENGTHS = 48, 8
+#: words (split at white space) that a document needs
+LEAST_WORDS = 40
 # Closing notices (a sentence with one of these), and abbreviations that end no sentence.
-NOTICES = ("rights reserved", "neither a solicitation", "no offer of", "read more at", "http://", "https://", "written for our", "exhibit only", "see attached", "subscribe to", "share this", "forward-looking")
+NOTICES = ("all rights reserved", "forward-looking statements", "http://", "https://")
 ABBREVIATIONS = frozenset("approx sec no i.e e.g u.s u.k mr mrs ms dr inc corp co ltd vs etc st jr sr fig art dept est p pp vol".split())
 _BULLET = re.compile(r"^\s*(?:[-*•·–]|\(?\d{1,3}[.)])\s+")
 _LABEL = re.compile(r"^\s*(?:[\[(]?\d{1,2}:\d{2}(?::\d{2})?[\])]?\s*)?(?:-\s*)?(?:[A-Z][\w.'-]*(?:\s+[A-Z][\w.'-]*){0,3}|[a-z]+ [a-z]+):\s+")
@@ -87,98 +96,77 @@ def is_case(text: str | None) -> bool:
     return bool(text) and len(text.split()) >= LEAST_WORDS
 
 
-class _Levels(dict):
-    """The level of a sentence with these terms; terms are few, so each is computed once."""
-
-    def __init__(self, formula: Formula) -> None:
-        super().__init__()
-        self.formula = formula
+class Formula:
+    """The list of familiar words, the weights of the two terms, and the cuts between the levels."""
 
-    def __missing__(self, terms: tuple[int, ...]) -> int:
-        found = self[terms] = LEVELS[int((self.formula.columns(np.array([terms], float)) @ self.formula.weights).argmax())]
-        return found
+    def __init__(self, familiar: frozenset[str], weights: np.ndarray) -> None:
+        self.familiar, self.weights = familiar, weights
+        self.by_share, self.by_length, *self.cuts = (float(x) for x in weights)
+        self.cuts.sort()
 
-
-class Formula:
-    """Weights and lists. place: word -> the level at which it is at home (a number); a word that isn't listed is outside every list."""
-
-    CUTS = (1.5, 2.5, 3.5)
-
-    def __init__(self, place: dict[str, float], weights: np.ndarray | None = None) -> None:
-        self.place, self.weights = place, weights
-        self.levels = _Levels(self)
-
-    def terms(self, words: list[str]) -> tuple[int, ...]:
-        """Shares outside the lists in twelfths, the mean place in twelfths, and the length in steps of a quarter of its logarithm."""
-        get = self.place.get
-        at = sorted([get(w, 5.0) for w in words])
-        n = len(at)
-        return (*[round(12 * (n - bisect_right(at, c)) / n) for c in self.CUTS], round(12 * sum(at) / n), round(4 * log2(n)))
-
-    @staticmethod
-    def columns(terms: np.ndarray) -> np.ndarray:
-        """The formula's terms, with their squares, so that a level in the middle can be told from both sides."""
-        x = terms / np.array([12.0, 12.0, 12.0, 36.0, 16.0])
-        return np.concatenate([np.ones((len(x), 1)), x, x * x, x[:, :1] * x[:, 1:2], x[:, 1:2] * x[:, 2:3], x[:, 2:3] * x[:, 4:5]], axis=1)
-
-    @classmethod
-    def fit(cls, place: dict[str, float], counts: dict[tuple[int, ...], np.ndarray], steps: int = 60) -> Formula:
-        """A multinomial logistic regression, by Newton's method, to counts of (terms) by level of the document."""
-        terms = np.array(list(counts), float)
-        y = np.array(list(counts.values()), float)
-        x, k = cls.columns(terms), len(LEVELS)
-        d, total = x.shape[1], y.sum(axis=1)
-        w = np.zeros((d, k))
-        ridge = 1e-3 * max(1.0, total.sum())
-        for _ in range(steps):
-            z = x @ w
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            gradient = x.T @ (y - total[:, None] * p) - ridge * 1e-2 * w
-            hessian = np.zeros((d * k, d * k))
-            for i in range(k):
-                for j in range(k):
-                    weight = total * p[:, i] * ((i == j) - p[:, j])
-                    hessian[i * d : i * d + d, j * d : j * d + d] = x.T @ (weight[:, None] * x)
-            hessian += ridge * 1e-2 * np.eye(d * k)
-            step = np.linalg.solve(hessian, gradient.T.ravel()).reshape(k, d).T
-            w += step
-            if np.abs(step).max() < 1e-6:
-                break
-        return cls(place, w)
+    def score(self, words: list[str]) -> float:
+        outside = len(words) - sum(map(self.familiar.__contains__, words))
+        return self.by_share * outside / len(words) + self.by_length * log2(len(words))
 
     def level(self, text: str) -> int | None:
         """The level of most sentences; of levels with as many, the one nearest to the mean; null without a sentence."""
         found = sentences(text)
         if not found:
             return None
-        best = [self.levels[self.terms(s)] for s in found]
+        best = [LEVELS[bisect_left(self.cuts, self.score(s))] for s in found]
         counts = Counter(best)
         most, mean = max(counts.values()), sum(best) / len(best)
         return min((level for level, n in counts.items() if n == most), key=lambda x: (abs(x - mean), x))
 
 
-def places(rows: list[tuple[str, list[int]]], documents: list[int]) -> dict[str, float]:
-    """Where each word is at home: the mean level, weighted by the shares of each level's documents that hold the word."""
-    out = {}
-    n = np.maximum(np.array(documents, float), 1.0)
-    for word, by_level in rows:
-        share = (np.array(by_level, float) + 0.02) / (n + 0.5)
-        share = share**2
-        out[word] = float((share * np.array(LEVELS)).sum() / share.sum())
-    return out
+def fit(counts: dict[tuple[float, float], np.ndarray], rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Weights (share, length, cuts) and loss of an ordinal logistic regression, by Newton's method, to counts of (share, log length) by level."""
+    x = np.array(list(counts), float)
+    y = np.array(list(counts.values()), float)
+    k = len(LEVELS) - 1
+    above = np.stack([y[:, j + 1 :].sum(axis=1) for j in range(k)], axis=1)
+    total = y.sum(axis=1, keepdims=True)
+    design = np.concatenate([np.concatenate([x, -np.tile(np.eye(k)[j], (len(x), 1))], axis=1) for j in range(k)])
+    hits, n = above.T.ravel(), np.tile(total[:, 0], k)
+    ridge = 1e-4 * max(1.0, n.sum()) * np.concatenate([np.full(2, 0.01), np.full(k, 1e-4)])
+    w = np.zeros(2 + k)
+    loss = lambda w: float((n * np.logaddexp(0, design @ w) - hits * (design @ w)).sum() + (ridge * w * w).sum() / 2)
+    now = loss(w)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
+        step = np.linalg.solve(design.T @ ((n * p * (1 - p))[:, None] * design) + np.diag(ridge + 1e-9), design.T @ (hits - n * p) - ridge * w)
+        size = 1.0
+        while size > 1e-4 and loss(w + size * step) > now:
+            size /= 2
+        w, before, now = w + size * step, now, loss(w + size * step)
+        if before - now < 1e-9 * max(1.0, abs(now)):
+            break
+    return w, now
+
+
+def familiar_words(words: list[tuple[str, list[int]]], documents: list[int], level: int, times: float) -> frozenset[str]:
+    """Of frequent words, with the documents of each level that hold them, those that documents up to a level hold at least so many times as often as those above it."""
+    n = np.array(documents, float) + 0.5
+    held = (np.array([by for _, by in words], float).reshape(-1, len(LEVELS)) + 0.02) / n
+    familiar = held[:, :level].mean(axis=1) >= times * held[:, level:].mean(axis=1)
+    return frozenset(w for (w, _), yes in zip(words, familiar) if yes)
 
 
 def _cases(documents: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     return documents.where((F.col(lang) == "en") & F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
 
 
-def _collected(df: DataFrame) -> tuple[list[tuple[str, int, list[int]]], list[int]]:
-    """The high-frequency list with document frequencies in all and by level, and the number of documents by level. At most LIST_WORDS + 1 rows reach the driver."""
+def _collected(df: DataFrame) -> tuple[list[tuple[str, list[int]]], list[int]]:
+    """Frequent words with their document frequencies by level, and the number of documents by level. LEAST_SHARE bounds what reaches the driver."""
     total = df.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"n{x}").alias(f"n{x}") for x in LEVELS])
-    rows = total.orderBy(F.col("word") != "", F.desc("n"), "word").limit(LIST_WORDS + 1).collect()
-    documents = next(([r[f"n{x}"] for x in LEVELS] for r in rows if r["word"] == ""), [0] * len(LEVELS))
-    return [(r["word"], r["n"], [r[f"n{x}"] for x in LEVELS]) for r in rows if r["word"]], documents
+    total = stage(total, "frequencies")
+    documents = total.where("word = ''").first()
+    if documents is None:
+        return [], [0] * len(LEVELS)
+    words = total.where(F.col("word") != "").where(F.col("n") >= LEAST_SHARE * documents["n"])
+    if not small_enough(words, LIST_WORDS):
+        raise ValueError(f"more than {LIST_WORDS} frequent words")
+    return [(r["word"], [r[f"n{x}"] for x in LEVELS]) for r in words.collect()], [documents[f"n{x}"] for x in LEVELS]
 
 
 _COUNTS = "word string, n bigint, " + ", ".join(f"n{x} bigint" for x in LEVELS)
@@ -217,44 +205,50 @@ def _packed(counts: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array(values[:, i]) for i in range(values.shape[1])]], names=["word", "n", *[f"n{x}" for x in LEVELS]])
 
 
-def _fit(rated: DataFrame, place: dict[str, float]) -> Formula | None:
-    """Weights from the sentences of rated documents, counted by their terms on the executors; the grid of terms bounds what is collected."""
-    terms = Formula(place)
+def _fit(rated: DataFrame, words: list[tuple[str, list[int]]], documents: list[int]) -> Formula | None:
+    """The list, the weights and the cuts that fit the rated documents best. Sentences are counted on the executors, for every
+    list that is tried, by their terms; the grid of terms bounds what is collected."""
+    lists = [familiar_words(words, documents, *x) for x in LISTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for t, level in zip(batch.column(1), batch.column(2).to_pylist()):
+            for t, level in zip(batch.column(0), batch.column(1).to_pylist()):
                 if is_case(t.as_py()):
-                    counts.update((*terms.terms(s), level) for s in sentences(t.as_py()))
+                    for said in sentences(t.as_py()):
+                        n = len(said)
+                        length = round(LENGTHS * log2(n))
+                        counts.update((i, round(SHARES * (n - sum(map(x.__contains__, said))) / n), length, level) for i, x in enumerate(lists))
         if counts:
             rows = np.array([(*k, n) for k, n in counts.items()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(rows.shape[1])], names=["a", "b", "c", "d", "e", "level", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(5)], names=["list", "share", "length", "level", "n"])
 
-    rows = rated.select("k", "t", "level").mapInArrow(run, "a bigint, b bigint, c bigint, d bigint, e bigint, level bigint, n bigint")
-    counts: dict[tuple[int, ...], np.ndarray] = {}
-    for r in sorted(tuple(r) for r in rows.groupBy("a", "b", "c", "d", "e", "level").agg(F.sum("n")).collect()):
-        counts.setdefault(r[:5], np.zeros(len(LEVELS)))[r[5] - 1] += r[6]
-    return Formula.fit(place, counts) if counts else None
+    rows = rated.select("t", "level").mapInArrow(run, "list bigint, share bigint, length bigint, level bigint, n bigint")
+    tried: dict[int, dict[tuple[float, float], np.ndarray]] = {}
+    for r in sorted(tuple(r) for r in rows.groupBy("list", "share", "length", "level").agg(F.sum("n")).collect()):
+        tried.setdefault(r[0], {}).setdefault((r[1] / SHARES, r[2] / LENGTHS), np.zeros(len(LEVELS)))[r[3] - 1] += r[4]
+    best = min(((*fit(counts), i) for i, counts in tried.items()), key=lambda x: x[1:], default=None)
+    return best and Formula(lists[best[2]], best[0])
 
 
 def reading_levels(documents: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rated_documents: int = RATED_DOCUMENTS) -> DataFrame:
     """key and reading_level (1 to 4) of every English document of at least LEAST_WORDS words.
 
-    Fitted to the most frequent rating of at most rated_documents documents, chosen by a hash of their key. Document frequencies
-    are counted over all documents: first by the ratings alone, then by the levels that the first formula gives. Documents in other
-    or no language, shorter ones, and null and empty texts are left out, and so are rows with a null key; a text without a
+    Fitted to the most frequent rating of at most rated_documents documents, chosen by a hash of their key: first with the words of those
+    alone; by the levels that this gives to all documents, document frequencies are then counted over all of them, and the fit repeated. Documents in
+    other or no language, shorter ones, and null and empty texts are left out, and so are rows with a null key; a text without a
     sentence has a null level, and so have all if nothing is rated. Rows that occur twice come out twice. Other columns are ignored.
+
+    The texts are read three times: for the rated ones (no Python), for the frequencies, and for the levels.
     """
     rating = grades.where(F.col("reading_level").isin(*LEVELS) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.expr("mode(reading_level, true)").cast("int").alias("level"))
     rating = F.broadcast(stage(rating.orderBy(F.xxhash64("k"), "k").limit(rated_documents), "ratings"))
     cases = spread(_cases(documents, key, text, lang))
-    known = cases.join(rating, "k", "left")
-    rated = cases.join(rating, "k")
+    rated = stage(cases.join(rating, "k"), "rated")
     formula = None
-    for _ in range(PASSES):
-        words, n = _collected(_frequencies(known, formula))
-        formula = _fit(rated, places([(w, by) for w, _, by in words if sum(by)], n))
+    for read in (rated, cases.join(rating, "k", "left")):
+        words, n = _collected(_frequencies(read, formula))
+        formula = _fit(spread(rated), [(w, by) for w, by in words if sum(by)], n)
         if formula is None:
             break
 
