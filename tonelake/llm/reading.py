@@ -32,6 +32,8 @@ LIST_WORDS = 1_000_000
 LISTS = tuple((level, times) for level in LEVELS[:-1] for times in (0.25, 0.5, 1.0, 2.0, 4.0))
 #: steps of the share, and of the logarithm of the length to base 2, in which sentences are counted for the fit
 SHARES, LENGTHS = 48, 8
+#: lists that the cuts are fitted for (those of the least loss), steps of the score between which cuts may lie
+FITTED_LISTS, STEPS = 6, 160
 #: words (split at white space) that a document needs
 LEAST_WORDS = 40
 # Closing notices (a sentence with one of these), and abbreviations that end no sentence.
@@ -227,8 +229,58 @@ def _fit(rated: DataFrame, words: list[tuple[str, list[int]]], documents: list[i
     tried: dict[int, dict[tuple[float, float], np.ndarray]] = {}
     for r in sorted(tuple(r) for r in rows.groupBy("list", "share", "length", "level").agg(F.sum("n")).collect()):
         tried.setdefault(r[0], {}).setdefault((r[1] / SHARES, r[2] / LENGTHS), np.zeros(len(LEVELS)))[r[3] - 1] += r[4]
-    best = min(((*fit(counts), i) for i, counts in tried.items()), key=lambda x: x[1:], default=None)
-    return best and Formula(lists[best[2]], best[0])
+    if not tried:
+        return None
+    fits = sorted(((*fit(counts), i) for i, counts in tried.items()), key=lambda x: x[1:])[:FITTED_LISTS]
+    formulas, edges = [Formula(lists[i], w) for w, _, i in fits], []
+    for w, _, i in fits:
+        scores = np.array(list(tried[i])) @ w[:2]
+        edges.append(np.linspace(scores.min(), max(scores.max(), scores.min() + 1e-6), STEPS - 1))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t, level in zip(batch.column(0), batch.column(1).to_pylist()):
+                if is_case(t.as_py()) and (found := sentences(t.as_py())):
+                    for i, (f, e) in enumerate(zip(formulas, edges)):
+                        rows.append((i, level, np.bincount(np.searchsorted(e, [f.score(s) for s in found]), minlength=STEPS).astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["list", "level", "steps"])
+
+    got = rated.select("t", "level").mapInArrow(scored, "list int, level int, steps binary").collect()
+    best = (-1.0, 0, formulas[0].weights)
+    for i, (f, e) in enumerate(zip(formulas, edges)):
+        own = [r for r in got if r["list"] == i]
+        if own:
+            steps = np.stack([np.frombuffer(r["steps"], np.int32) for r in own])
+            cuts, agreed = fit_cuts(steps, np.array([r["level"] for r in own]), np.searchsorted(e, f.cuts))
+            if agreed > best[0]:
+                best = (agreed, i, np.concatenate([f.weights[:2], e[np.minimum(cuts, STEPS - 2)]]))
+    return Formula(formulas[best[1]].familiar, best[2])
+
+
+def fit_cuts(steps: np.ndarray, level: np.ndarray, cuts: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, float]:
+    """Cuts (steps of the score) under which the level of most sentences is the rated one for most documents, each moved in turn from where the regression
+    put it to the middle of the best places; and the share of documents that agree."""
+    up_to = np.concatenate([np.zeros((len(steps), 1), np.int64), np.cumsum(steps, axis=1)], axis=1)
+    at = np.arange(len(LEVELS))
+
+    def agreed(cuts: np.ndarray) -> float:
+        ends = np.concatenate([[0], np.sort(cuts) + 1, [steps.shape[1]]])
+        counts = np.diff(up_to[:, ends], axis=1)
+        away = np.abs(at - (counts @ at / counts.sum(axis=1))[:, None]) + np.where(counts == counts.max(axis=1, keepdims=True), 0, 100)
+        return float((away.argmin(axis=1) + 1 == level).mean())
+
+    cuts = np.minimum(np.array(cuts), steps.shape[1] - 2)
+    for _ in range(rounds):
+        before = cuts.copy()
+        for j in range(len(cuts)):
+            shares = np.array([agreed(np.concatenate([cuts[:j], [x], cuts[j + 1 :]])) for x in range(steps.shape[1] - 1)])
+            best = np.flatnonzero(shares >= shares.max() - 1e-12)
+            stretch = max(np.split(best, np.flatnonzero(np.diff(best) > 1) + 1), key=len)
+            cuts[j] = stretch[len(stretch) // 2]
+        if (before == cuts).all():
+            break
+    return np.sort(cuts), agreed(cuts)
 
 
 def reading_levels(documents: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rated_documents: int = RATED_DOCUMENTS) -> DataFrame:
