@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from conftest import frame_rows
 from pyspark.sql import functions as F
@@ -135,6 +136,28 @@ def test_hot_bucket_is_split(spark):
     assert neardup._meetings(rows, "g", "n", "c", 64).distinct().count() == 300 * 299 // 2
 
 
+def test_frequent_keys_give_the_same_pairs(spark, monkeypatch):
+    """A third of all texts are nearly one text: keys that the sample calls frequent take the way over blocks."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(f"h{i:03d}", " ".join(base[: i % 7] + [f"x{i}"] + base[i % 7 :])) for i in range(100)] + [(f"u{i:03d}", " ".join(f"v{rng.randrange(5000)}" for _ in range(120))) for i in range(200)]
+    df = spark.createDataFrame([*rows, *rows[:3]], "k string, t string")
+    plain = sorted(map(tuple, neardup.similar_pairs(df, "k", "t").collect()))
+    monkeypatch.setattr(neardup, "SAMPLED", 2)
+    monkeypatch.setattr(neardup, "FREQUENT", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    assert sorted(map(tuple, neardup.similar_pairs(df, "k", "t").collect())) == plain and len(plain) == 100 * 99 // 2
+
+
+def test_pairs_in_order():
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(40), rng.randrange(200)) for _ in range(900)) + [(99, i) for i in range(150)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows[i : i + 37]]), pa.array([c for _, c in rows[i : i + 37]])], names=["g", "c"]) for i in range(0, len(rows), 37)]
+    got = {(a, b) for out in neardup._met_in_order(iter(batches)) for a, b in zip(*(x.to_pylist() for x in out.columns))}
+    assert got == {(a, b) for g, a in rows for h, b in rows if g == h and a < b}
+    assert list(neardup._met_in_order(iter([]))) == []
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("x", "y")], "a string, b string")
     roots = {r["node"]: r["root"] for r in neardup.components(edges).collect()}
