@@ -141,7 +141,7 @@ def test_frequent_keys_give_the_same_pairs(spark, monkeypatch):
     rng = random.Random(3)
     base = [f"b{i}" for i in range(150)]
     rows = [(f"h{i:03d}", " ".join(base[: i % 7] + [f"x{i}"] + base[i % 7 :])) for i in range(100)] + [(f"u{i:03d}", " ".join(f"v{rng.randrange(5000)}" for _ in range(120))) for i in range(200)]
-    df = spark.createDataFrame([*rows, *rows[:3]], "k string, t string")
+    df = spark.createDataFrame([*rows, *rows[:3]], "k string, t string").repartition(5)
     plain = sorted(map(tuple, neardup.similar_pairs(df, "k", "t").collect()))
     monkeypatch.setattr(neardup, "SAMPLED", 2)
     monkeypatch.setattr(neardup, "FREQUENT", 3)

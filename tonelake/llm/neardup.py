@@ -241,10 +241,10 @@ def similar_classes(df: DataFrame, key: str, text: str, members: DataFrame, thre
 
     # The hashed sets of texts that met anything, once for each class: what pairs are decided by.
     # Only classes with copies are shuffled to keep one of them.
-    copied = members.where("h is not null").groupBy("h").count().where("count > 1").select("h")
-    copied = F.broadcast(copied) if small_enough(copied, BROADCAST_KEYS) else copied
     own = texts.select("h", "c", "t").join(wanted, "c", "left_semi").select("h", "c", "t").mapInArrow(hashed, "h binary, c bigint, s binary")
     own = stage(own, "sets")
+    copied = own.groupBy("h").count().where("count > 1").select("h")
+    copied = F.broadcast(copied) if small_enough(copied, BROADCAST_KEYS) else copied
     several = own.join(copied, "h", "left_semi").groupBy("h").agg(F.first("c").alias("c"), F.first("s").alias("s"))
     own = own.join(copied, "h", "left_anti").unionByName(several)
     both = candidates.join(own.select(F.col("c").alias("a"), F.col("h").alias("ha"), F.col("s").alias("sa")), "a").join(own.select(F.col("c").alias("b"), F.col("h").alias("hb"), F.col("s").alias("sb")), "b")
