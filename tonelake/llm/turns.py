@@ -1,9 +1,10 @@
 """Call transcripts as clean speaker turns (problem 1).
 
-Each transcript is read twice. The first pass notes the full names that a call states (introductions, participant lists,
-announced questioners, labels) and makes a roster of every company out of all its calls. In the second pass a call meets the
-roster's names that sound like its own (phonetic blocking), spellings of its labels are assigned to people one to one at
-least cost, and its stretches of speech become turns: noise stripped, in the order of their times, split into sections.
+A transcript is read once: its lines are cut into labelled stretches of speech, and the full names that it states are noted. From the
+names of all its calls a company gets a roster: who its people are, how their names are spelled, and what they do. A call
+meets the roster's people whose names sound like its own (phonetic blocks); they settle which of its spellings are names and which
+are slips. Then the spellings of its labels are assigned to its people at least total cost, where a further spelling of
+one person costs extra, and the stretches become turns: noise stripped, in the order of their times, split into sections.
 """
 
 from __future__ import annotations
@@ -12,15 +13,21 @@ import html
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.llm.mixing import min_cost_flow
-from tonelake.storage import spread, spread_by, stage
+from tonelake.storage import one_of_each, spread, spread_by, stage
 
 LEAST_WORDS = 4
+#: calls in which a name must be stated to be on a company's roster; and how often as many calls must state a name for one that a single call states with
+#: one edit, for a person of the same role, to be its slip
+ROSTER_CALLS, ESTABLISHED = 2, 10
+#: prices of an edit, of an initial, and of a further spelling of the same person
+EDIT, INITIAL, FURTHER = 4, 1, 3
 # Sounds in brackets, fillers, labels of no person, titles, and what opens the questions.
 _SOUND = r"(?:inaudible|laughter|laughs?|crosstalk|cross talk|technical difficult(?:y|ies)|phonetic|applause|music|audio gap|coughs?|coughing|pause|silence|background noise|sic|ph|indiscernible|foreign language|overlapping speakers)"
 _NOISE = re.compile(rf"(?i)\[\s*{_SOUND}\s*\]|\(\s*{_SOUND}\s*\)|\*\s*{_SOUND}\s*\*|[♪♫]+|[\[(]\d{{1,2}}:\d\d(?::\d\d)?(?:[.,]\d+)?[\])]")
@@ -28,9 +35,12 @@ _FILLER = re.compile(r"(?i)(?<![\w'-])(?:u+m+|u+h+|e+r+|a+h+|h+m+|m+hm+|mm+|you
 _OPERATORS = {"operator", "the operator", "conference operator", "coordinator", "the coordinator", "conference coordinator", "moderator", "call operator", "phone operator", "telephone operator"}
 _NOBODY = re.compile(r"(?i)(?:unknown|unidentified|unnamed|male|female)\s+\w+(?:\s+\w+)?|speaker(?:\s*#?\d+)?|participant|caller|analyst|executive|company representative")
 _TITLE_WORDS = set("chief executive financial operating technology accounting revenue officer president chairman chairwoman chair and & of vice senior svp evp ceo cfo coo cto treasurer general counsel head director ir investor relations founder cofounder co-founder managing exec interim global group the secretary controller".split())
-_SKIP = re.compile(r"(?i)^(?:.{2,90}\bearnings call\b.{0,20}|this transcript was produced\b.*|call participants:?|participants:?|prepared remarks:?|questions? and answers?:?|question-and-answer session:?|q\s?&\s?a(?: session)?:?|duration:.*|webvtt.*|\d{1,5}|presentation:?|corporate participants:?|conference call participants:?)$")
-_OPENS = re.compile(r"(?i)ready to take (?:your )?questions|begin (?:the|our) (?:question|q\s?&\s?a)|start the (?:q\s?&\s?a|question)|floor is (?:now )?open|press(?:ing)? star|\bfirst (?:question )?is\b|(?:next|first|following) (?:question|caller) (?:comes|is)|next up on the line|we turn to .{3,80}line is open|(?:now|we'll|we will) (?:take|open .{0,30}for) (?:your )?questions|your line is (?:now )?open|open the (?:line|call|floor) (?:up )?(?:for|to) questions")
-_PROMISE = re.compile(r"(?i)(?:later|after (?:the|our|these) (?:prepared )?remarks|following the (?:remarks|presentation))")
+# Headings of a transcript's parts, and what a disclaimer about it says.
+_SKIP = re.compile(r"(?i)^(?:.{2,90}\bearnings call\b.{0,20}|.*\btranscript\b.*\b(?:produced|provided|prepared|accuracy|guaranteed?|copyright)\b.*|call participants:?|participants:?|prepared remarks:?|questions? and answers?:?|question-and-answer session:?|q\s?&\s?a(?: session)?:?|duration:.*|webvtt.*|\d{1,5}|presentation:?|corporate participants:?|conference call participants:?)$")
+# Words for the questions and who asks them, words for beginning, and words of a promise.
+_QUESTIONS = re.compile(r"(?i)\b(?:questions?|q\s?&\s?a|question-and-answer|callers?|lines?|floor|queue|star)\b")
+_BEGINS = re.compile(r"(?i)\b(?:first|next|following|begin|start|open|now|ready|take|press|turn)(?:s|ing|ed)?\b")
+_PROMISE = re.compile(r"(?i)\b(?:later|after (?:the|our|these)(?: prepared)? remarks|following (?:the|our|these) (?:prepared )?(?:remarks|presentation))")
 _NAME = r"[A-Z][^\W\d_]+(?:['’-][^\W\d_]+)*"
 _FULL = rf"{_NAME}\s+(?:[A-Z]\.\s+)?{_NAME}"
 _TIME = r"[\[(]?(\d{1,2}:\d\d:\d\d)(?:[.,]\d+)?[\])]?"
@@ -40,11 +50,12 @@ _SIDED = re.compile(r"^\s*<\s*([AQ])\s*-\s*([^<>]{1,120})>\s*:?\s*")
 _INLINE = re.compile(r"^\s*([^:\n]{1,110}?)\s*:(?!\d)\s*")
 _DASH = re.compile(r"\s+(?:--|—|–|-)\s+|\s*—\s*")
 _HONOUR = re.compile(r"(?i)^(?:mr|mrs|ms|miss|dr|prof|sir|madam)\.?\s+")
-_INTRODUCED = [
-    rf"(?:[Ff]irst (?:question )?is|comes from|[Nn]ext up on the line is|caller is|[Ww]e turn to|line of)\s+(?:the line of\s+)?({_FULL})(?:\s+(?:with|at|of|from)\s+|,\s*)([A-Z][\w&' ]+?)(?=[.,]|$|\s+(?:Your|Please|Go)\b)",
-]
-_SELF = re.compile(rf"\b[Tt]his is ({_FULL}) (?:from|with|of|at) [A-Z]")
-_PRESENT = re.compile(rf"({_FULL}),\s+((?:(?!\s*,?\s+and\s+{_FULL},)[^.])+)")
+_PAIR = re.compile(rf"(?=\b({_NAME})[ \t]+(?:[A-Z]\.[ \t]+)?({_NAME}))\b[A-Z]")
+# A full name with what is said beside it: a title after a comma, a dash or in brackets, or a firm after a preposition.
+_STATED = re.compile(
+    rf"({_FULL})(?:[ ]*\(([^()\n]{{2,60}})\)|[ ]+(?:--|—|–|-)[ ]+([^\n.;:?]{{2,80}})|[ ]+(?:with|at|of|from)[ ]+([A-Z][^\n.;:?,]*)"
+    rf"|,[ ]+((?:(?!\s*,?\s+and\s+{_FULL},)[^\n.;:?]){{2,80}}))"
+)
 
 
 def role_of(title: str | None) -> str:
@@ -70,7 +81,10 @@ def is_title(text: str | None) -> bool:
 
 def strip_noise(text: str) -> str:
     text = _FILLER.sub(" ", _NOISE.sub(" ", text))
-    return re.sub(r"\s+([,.;:?!])", r"\1", re.sub(r"\s+", " ", text)).strip(" ")
+    return _SPACED_MARK.sub(r"\1", " ".join(text.split()))
+
+
+_SPACED_MARK = re.compile(r"\s+([,.;:?!])")
 
 
 def proper(name: str) -> str:
@@ -78,18 +92,19 @@ def proper(name: str) -> str:
     return " ".join(w.capitalize() if w.isupper() or w.islower() else w for w in name.replace("\xa0", " ").split())
 
 
-def sound(word: str) -> str:
-    """A phonetic code: consonants by class, without vowels and repetitions."""
-    classes = str.maketrans("bfpvcgjkqsxzdtlmnr", "111122222222334556")
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[^0-9]", "", word.lower().translate(classes)))
+# Consonants by class.
+_CONSONANTS, _CLASSES = "bfpvcgjkqsxzdtlmnr", "111122222222334556"
 
 
-def sounds(name: str) -> list[str]:
-    """Blocks of a name: how the family name sounds, the given name with the family's first letter, and the reverse."""
-    given, family = name.split()[0], name.split()[-1]
-    return [f"f{sound(family)}", f"g{given.lower()}{family[:1].lower()}", f"i{given[:1].lower()}{family[:4].lower()}"]
+def sounds(name: Column) -> Column:
+    """Phonetic blocks of a full name: how the family name sounds (consonants by class, without vowels and repetitions), the given name with the family's first letter, and the reverse."""
+    low = F.split(F.lower(name), " ")
+    given, family = F.element_at(low, 1), F.element_at(low, -1)
+    code = F.regexp_replace(F.regexp_replace(F.translate(family, _CONSONANTS, _CLASSES), "[^0-9]", ""), r"(.)\1+", "$1")
+    return F.array(F.concat(F.lit("f"), code), F.concat(F.lit("g"), given, F.substring(family, 1, 1)), F.concat(F.lit("i"), F.substring(given, 1, 1), F.substring(family, 1, 4)))
 
 
+@lru_cache(maxsize=300_000)
 def distance(a: str, b: str, most: int = 4) -> int:
     """Edits (insert, delete, replace, swap neighbours) between two strings, at most `most`."""
     if a == b:
@@ -112,8 +127,7 @@ def distance(a: str, b: str, most: int = 4) -> int:
 class Label:
     """A label taken apart: kind (operator, nobody, title, name), the name's words, what is said beside it, the side (A or Q)."""
 
-    def __init__(self, raw: str, side: str = "") -> None:
-        text = strip_noise(html.unescape(raw).replace("\xa0", " "))
+    def __init__(self, text: str, side: str = "") -> None:
         text = re.sub(r"(?i)\s*\(\s*(?:continued|cont'?d\.?)\s*\)", "", text).strip(" ,-")
         self.side, self.words, self.beside = side, [], ""
         self.text = re.sub(r"\s+", " ", text)
@@ -142,76 +156,52 @@ class Label:
         self.kind = "name" if 0 < len(self.words) < 5 and all(w[0].isupper() for w in head.split()) and all(re.fullmatch(rf"{_NAME}|[A-Z]\.?", w) for w in self.words) else "none"
 
 
+@lru_cache(maxsize=100_000)
+def label_of(text: str, side: str = "") -> Label:
+    return Label(text, side)
+
+
 def plain(text: str) -> str:
     """Text of any layout without markup: entities, hard spaces, paragraphs, headings."""
     text = html.unescape(text).replace("\xa0", " ") if "&" in text or "\xa0" in text else text
     if "</" in text or "<p" in text or "<br" in text:
         text = re.sub(r"(?i)<(?:/?p|/?div|/?h\d|br|/?li|/?ul)\b[^<>]*>", "\n", text)
         text = re.sub(r"(?i)</?(?:strong|b|i|em|span|u|a|html|body)\b[^<>]*>", "", text)
-    return text
+    return text.replace(_PART, " ").replace(_FIELD, " ")
 
 
-class Evidence:
-    """Full names that a call states, with the roles they are given and how much that weighs."""
+#: what ends a stretch, and a field of it, where they are stored as one text
+_PART, _FIELD = "\x1e", "\x1f"
 
-    def __init__(self) -> None:
-        self.names: Counter = Counter()
-        self.roles: dict[str, Counter] = defaultdict(Counter)
-        self.titles: dict[str, set[str]] = defaultdict(set)
 
-    def add(self, name: str, title: str | None, weight: int) -> None:
-        name = proper(name)
-        if is_title(name) or len(name.split()) < 2:
-            return
-        self.names[name] += weight
-        if role := role_of(title):
-            self.roles[name][role] += weight
-            self.titles[name].add(bare(title))
-
-    @classmethod
-    def of(cls, text: str) -> Evidence:
-        """From what is said and listed, not from labels."""
-        found = cls()
-        flat = strip_noise(text)
-        for m in re.finditer(r"(?:[Ww]ith me (?:today )?(?:are|is)|[Jj]oining (?:me|us) (?:today )?(?:are|is)|I am)\s+(.{5,400}?)\.(?:\s|$)", flat):
-            for n in _PRESENT.finditer(m[1]):
-                found.add(n[1], n[2], 20)
-        for pattern in (*_INTRODUCED, _SELF):
-            for m in re.finditer(pattern, flat):
-                found.add(m[1], "analyst", 20)
-        for m in re.finditer(r"(?is)participants:(.*?)(?:\n\s*\n|$)", text):
-            block = strip_noise(m[1].replace("\n", " \n "))
-            for n in re.finditer(rf"({_FULL})\s+--\s+(.+?)(?=\s+{_FULL}\s+--\s|\s*Duration:|$)", block):
-                said = n[2].split(" -- ")
-                found.add(n[1], "analyst" if "analyst" in said[-1].lower() else re.split(r"\s+(?:\d\d:\d\d|This transcript|Prepared|Operator|[\[(]\d)", said[0])[0], 20)
-        return found
-
-
-def is_label(label: Label, known: Evidence, bare_line: bool = False) -> bool:
-    """Whether what looks like a label names anyone; a single word must sound like a name of the call."""
+def is_label(label: Label, families: frozenset[str], bare_line: bool = False) -> bool:
+    """Whether what looks like a label names anyone; a single word must sound like a family name of the call."""
     if label.kind in ("operator", "nobody"):
         return True
     if label.kind == "title":
         return not bare_line
     if label.kind != "name":
         return False
-    family = label.words[-1].lower()
-    near = any(distance(family, n.split()[-1].lower()) <= (1 if len(family) < 5 else 2) for n in known.names)
-    if len(label.words) == 1:
-        return near or bool(label.beside and (is_title(label.beside) or label.side))
-    if bare_line:
+    if bare_line and len(label.words) > 1:
         return bool(label.beside)
-    return near or bool(label.beside) or bool(label.side) or len(label.words) == 2 and len(label.words[0]) > 2 or label.words[0].endswith(".")
+    if len(label.words) > 1 and (label.beside or label.side or len(label.words) == 2 and len(label.words[0]) > 2 or label.words[0].endswith(".")):
+        return True
+    if len(label.words) == 1 and label.beside and (is_title(label.beside) or label.side):
+        return True
+    family = label.words[-1].lower()
+    return family in families or any(distance(family, n) <= (1 if len(family) < 5 else 2) for n in families if abs(len(n) - len(family)) < 3)
 
 
-def stretches(text: str, known: Evidence) -> list[tuple[Label, str | None, str]]:
-    """Label, time and speech of every stretch, in the order of their times where all have one."""
+def stretches(text: str) -> tuple[list[tuple[str, str, str, str]], str]:
+    """(label, side, time, speech) of every stretch, in the order of their times where all have one; and the text that nobody speaks, as lines."""
     text = plain(text)
-    lines = re.split(r"\r\n|\r|\n", _unfolded(text, known))
-    if any(_CUE.match(x) for x in lines):
+    families = frozenset(b.lower() for _, b in _PAIR.findall(text))
+    lines = re.split(r"\r\n|\r|\n", _unfolded(text, families))
+    if "-->" in text:
         lines = _in_cue_order(lines)
     found: list[list] = []
-    pending = None
+    unspoken: list[str] = []
+    pending = ""
     for line in lines:
         bare = line.strip()
         if m := _CUE.match(bare):
@@ -220,41 +210,56 @@ def stretches(text: str, known: Evidence) -> list[tuple[Label, str | None, str]]
         if not bare or _SKIP.match(bare):
             continue
         at = _AT.match(bare)
-        time, rest = (at[1], bare[at.end() :]) if at else (None, bare)
+        time, rest = (at[1], bare[at.end() :]) if at else ("", bare)
         label, speech = None, rest
-        if m := _SIDED.match(rest):
-            label, speech = Label(m[2], m[1]), rest[m.end() :]
-        elif (m := _INLINE.match(rest)) and is_label(one := Label(m[1]), known):
-            label, speech = one, rest[m.end() :]
-        elif len(rest) < 110 and not rest.endswith((".", "?", "!", ",", ";")) and is_label(one := Label(rest), known, True):
-            label, speech = one, ""
+        if rest[:1] == "<" and (m := _SIDED.match(rest)):
+            label, speech = (_clean(m[2]), m[1]), rest[m.end() :]
+        elif (m := _INLINE.match(rest)) and is_label(label_of(one := _clean(m[1])), families):
+            label, speech = (one, ""), rest[m.end() :]
+        elif len(rest) < 110 and not rest.endswith((".", "?", "!", ",", ";")) and is_label(label_of(one := _clean(rest)), families, True):
+            label, speech = (one, ""), ""
         if label is not None:
-            found.append([label, time or pending, [speech]])
-            pending = None
-        elif found and not _SKIP.match(rest):
-            found[-1][2].append(bare if time and not rest else rest)
+            found.append([*label, time or pending, [speech]])
+            pending = ""
+        elif not found:
+            unspoken.append(rest)
+        elif not _SKIP.match(rest):
+            found[-1][3].append(bare if time and not rest else rest)
     out = []
-    for label, time, parts in found:
-        speech = re.split(r"(?i)\b(?:call )?participants:\s|\bduration: \d", " ".join(parts))[0]
-        speech = strip_noise(speech)
-        if speech:
-            out.append((label, time, speech))
-    if out and all(t for _, t, _ in out):
-        out.sort(key=lambda x: tuple(int(p) for p in f"0:{x[1]}".split(":")[-3:]))
-    return out
+    for label, side, time, parts in found:
+        said, *after = _LISTED.split("\n".join(parts), maxsplit=1)
+        unspoken += after
+        if speech := strip_noise(said):
+            out.append((label, side, time, speech))
+        elif side == "":
+            unspoken.append(label)
+    if out and all(t for _, _, t, _ in out):
+        out.sort(key=lambda x: tuple(int(p) for p in f"0:{x[2]}".split(":")[-3:]))
+    return out, "\n".join(unspoken)
+
+
+def _clean(label: str) -> str:
+    return strip_noise(label)
+
 
+_LISTED = re.compile(r"(?i)\b(?:call )?participants:\s|\bduration: \d")
 
-def _unfolded(text: str, known: Evidence) -> str:
+
+def _unfolded(text: str, families: frozenset[str]) -> str:
     """A text with a line for each label that follows a time, where calls or parts of them came on one line."""
     out, last = [], 0
-    for m in re.finditer(rf"(?:(?<=\s)|^){_TIME}[ \t]*(?:[-–][ \t]*)?(?!-->|\s|$)", text):
-        n = _INLINE.match(text[m.end() : m.end() + 130])
-        if _SIDED.match(text[m.end() : m.end() + 130]) or n and is_label(Label(n[1]), known):
+    for m in _INSIDE.finditer(text):
+        after = text[m.end() : m.end() + 130]
+        n = _INLINE.match(after)
+        if after[:1] == "<" and _SIDED.match(after) or n and is_label(label_of(_clean(n[1])), families):
             out.append(text[last : m.start()])
             last = m.start()
     return "\n".join([*out, text[last:]])
 
 
+_INSIDE = re.compile(rf"(?:(?<=\s)|^){_TIME}[ \t]*(?:[-–][ \t]*)?(?!-->|\s|$)")
+
+
 def _in_cue_order(lines: list[str]) -> list[str]:
     """Caption cues sorted by the time they begin; what stands before the first stays first."""
     cues: list[tuple[tuple, list[str]]] = [((-1,), [])]
@@ -266,68 +271,125 @@ def _in_cue_order(lines: list[str]) -> list[str]:
     return [line for _, own in cues for line in own]
 
 
-def assign(forms: list[str], people: list[str], price) -> dict[str, str]:
-    """The assignment of spellings to people, one to one, of least total price; a price of None forbids."""
-    edges = [("start", f"f{f}", 1, 0) for f in forms] + [(f"p{p}", "end", 1, 0) for p in people]
+def stated(parts: list[tuple[str, str, str, str]], unspoken: str) -> dict[str, Counter]:
+    """Full names that are spoken or listed with something beside them, and how often with which (role, title). Labels are no statements."""
+    found: dict[str, Counter] = defaultdict(Counter)
+    listed = strip_noise(unspoken.replace("\n", " ; "))
+    for text in (*(speech for *_, speech in parts), listed):
+        for m in _STATED.finditer(text):
+            name = proper(m[1])
+            if is_title(name) or any(w.lower() in _TITLE_WORDS for w in name.split()):
+                continue
+            title = re.split(r"\s+(?:--|—|–|-)\s+", m[2] or m[3] or m[5] or "")[0]
+            if m[4]:
+                role = "Analyst"
+            elif "analyst" in (m[2] or m[3] or m[5] or "").lower():
+                role = "Analyst"
+            elif title:
+                role = role_of(title)
+                if role == "Analyst" and not (m[2] or m[3]):
+                    role = ""  # after a comma anything may follow, a clause too
+            else:
+                role = ""
+            found[name][role, bare(title) if is_title(title) else ""] += 1
+    return found
+
+
+def assign(forms: list[str], people: list[str], price, further: int = FURTHER) -> dict[str, str]:
+    """Spellings to people at least total price; a price of None forbids. A person's first spelling is at its price, each further one costs `further` more."""
     links = [(f, p, c) for f in forms for p in people if (c := price(f, p)) is not None]
+    several = {p for p, n in Counter(p for _, p, _ in links).items() if n > 1}
+    if not several:
+        return {f: p for f, p, _ in links}
+    edges = [("start", f"f{f}", 1, 0) for f in forms]
+    edges += [(f"p{p}", "end", 1, 0) for p in people] + [(f"p{p}", "end", len(forms), further) for p in several]
     flow = min_cost_flow([*edges, *((f"f{f}", f"p{p}", 1, c) for f, p, c in links)], "start", "end")
     return {f: p for (f, p, _), n in zip(links, flow[len(edges) :]) if n}
 
 
 class Call:
-    """One call's people: which person each label means."""
+    """One call's people: which person each label means.
+
+    parts: its stretches. said: full names that it states, with roles. roster: people of the company who sound like its names: name to (role, calls that state it).
+    """
 
-    def __init__(self, text: str, roster: list[tuple[str, str, int]]) -> None:
-        self.known = Evidence.of(plain(text))
-        self.parts = stretches(text, self.known)
-        self.roster = {n: (r, c) for n, r, c in roster}
+    def __init__(self, parts: list[tuple[str, str, str, str]], said: dict[str, Counter], roster: dict[str, tuple[str, int]]) -> None:
+        self.parts = [(label_of(text, side), speech) for text, side, _, speech in parts]
+        self.said: dict[str, Counter] = defaultdict(Counter)
+        self.titles: dict[str, set[str]] = defaultdict(set)
+        for name, told in said.items():
+            for (role, title), n in told.items():
+                self.said[name][role] += n
+                self.titles[name].add(title)
+        self.roster = roster
+        self.forms = Counter(" ".join(label.words) for label, _ in self.parts if label.kind == "name" and len(label.words) >= 2 and not _INITIAL.fullmatch(label.words[0]))
         self.people = self._people()
         self.roles = {p: self._role(p) for p in self.people}
+        self.meant = self._meant()
 
     def _people(self) -> list[str]:
-        """Stated names, and spellings in labels that are no slip of those: each such family of spellings is assigned to a roster name or keeps its most frequent one."""
-        stated = list(self.known.names)
-        forms: Counter = Counter()
-        for label, _, _ in self.parts:
-            if label.kind == "name" and len(label.words) >= 2 and not re.fullmatch(r"[A-Z]\.?", label.words[0]):
-                forms[" ".join(label.words)] += 1
-                self.known.roles[" ".join(label.words)][role_of(label.beside) or ("Analyst" if label.side == "Q" else "")] += 1
-        new = [f for f, _ in sorted(forms.items(), key=lambda x: (-x[1], x[0])) if not any(slip(f, n) is not None for n in stated)]
-        families: list[list[str]] = []
-        for f in new:
-            home = next((g for g in families if slip(f, g[0]) is not None), None)
-            home.append(f) if home is not None else families.append([f])
-        heads = {g[0]: g for g in families}
-        chosen = assign(list(heads), sorted(self.roster), lambda f, p: slip(f, p))
-        for head, group in heads.items():
-            name = chosen.get(head)
-            stated.append(name if name in group else head)
-        return stated
+        """The full names of the call without their slips, those that most calls of the company state first, then those that this one states most, then those of most labels."""
+        support = {n: (self.roster.get(n, ("", 0))[1], sum(self.said[n].values()) if n in self.said else 0, self.forms[n]) for n in {*self.said, *self.forms}}
+        found: list[str] = []
+        for name in sorted(support, key=lambda n: ([-x for x in support[n]], n)):
+            near = [p for p in found if slip(name, p) is not None]
+            if not any(self._is_slip(name, p, support[name]) for p in near):
+                found.append(name)
+        for name in self.forms:  # a slip of somebody whom the company's other calls state, not this one
+            if name in found and support[name][:2] == (0, 0):
+                known = [(c, p) for p, (_, c) in self.roster.items() if p not in found and slip(name, p) is not None]
+                if known:
+                    found[found.index(name)] = max(known)[1]
+        return found
+
+    def _is_slip(self, name: str, other: str, support: tuple[int, int, int]) -> bool:
+        """Whether a name is a spelling of one with more support. What only labels give is, unless the roster knows it well; what this call states is only if
+        the roster doesn't know it, but well the other, one edit away and in the same role."""
+        calls, here, _ = support
+        if not here:
+            return calls < ESTABLISHED
+        role, known = self.roster.get(other, ("", 0))
+        told = {*self.said[name], *(role_of(label.beside) for label, _ in self.parts if label.beside and " ".join(label.words) == name)}
+        return not calls and known >= ESTABLISHED and slip(name, other) == 1 and told <= {role, ""}
+
+    def _meant(self) -> dict[str, str]:
+        """The person of each spelling in labels, as far as names alone tell: spellings that fit several people alike are left to the turn."""
+        spellings = {" ".join(label.words): label.words for label, _ in self.parts if label.kind == "name"}
+        prices = {f: {p: c for p in self.people if (c := fit(words, p)) is not None} for f, words in spellings.items()}
+        open_ = {f for f, c in prices.items() if len(spellings[f]) == 1 or _INITIAL.fullmatch(spellings[f][0])}
+        sure = {f for f in prices if f not in open_ and prices[f]}
+        chosen = assign(sorted(sure), self.people, lambda f, p: prices[f].get(p))
+        for f in open_:
+            if prices[f]:
+                least = min(prices[f].values())
+                alike = [p for p, c in prices[f].items() if c == least]
+                if len(alike) == 1:
+                    chosen[f] = alike[0]
+        self.prices = prices
+        return chosen
 
     def _role(self, person: str) -> str:
-        said = Counter()
-        for name, votes in self.known.roles.items():
-            if name == person or name not in self.known.names and slip(name, person) is not None:
-                said.update({r: n for r, n in votes.items() if r})
-        told = Counter({r: n for r, n in said.items() if r != "unknown"})
-        if told:
-            return told.most_common(1)[0][0]
-        if said:
+        """What the call tells of a person by most votes, else what the company's other calls tell."""
+        votes: Counter = Counter()
+        for name, told in self.said.items():
+            if name == person or name not in self.people and slip(name, person) is not None:
+                votes.update({r: 20 * n for r, n in told.items()})
+        for label, _ in self.parts:
+            if label.kind == "name" and len(label.words) >= 2 and (label.beside or label.side == "Q"):
+                name = " ".join(label.words)
+                if name == person or name not in self.people and fit(label.words, person) is not None and not _INITIAL.fullmatch(label.words[0]):
+                    votes[role_of(label.beside) or "Analyst"] += 1
+        for role, _ in votes.most_common():
+            if role not in ("", "unknown"):
+                return role
+        if votes["unknown"]:
             return "unknown"
-        if person in self.roster and self.roster[person][0]:
+        if self.roster.get(person, ("", 0))[0]:
             return self.roster[person][0]
-        asks = any(label.kind == "name" and "?" in speech and re.search(r"(?i)my question|could you|just one from me", speech) and self._near(label) == person for label, _, speech in self.parts)
+        own = person.split()[-1].lower()
+        asks = any(label.kind == "name" and "?" in speech and label.words[-1].lower() == own for label, speech in self.parts)
         return "Analyst" if asks else "unknown"
 
-    def _near(self, label: Label) -> str | None:
-        """The person a label's words fit best; None if nobody fits."""
-        best = None
-        for i, person in enumerate(self.people):
-            price = fit(label.words, person)
-            if price is not None and (best is None or (price, i) < best[:2]):
-                best = (price, i, person)
-        return best and best[2]
-
     def who(self, label: Label, before: list[str]) -> tuple[str, str]:
         """Name and role. Of people who fit alike, the one on the label's side, then the one named or heard last."""
         if label.kind == "operator":
@@ -336,51 +398,62 @@ class Call:
             return "Unknown", "unknown"
         if label.kind == "title":
             role = role_of(label.beside)
-            same = [p for p in self.people if (self.roles[p] == role if role != "unknown" else bare(label.beside) in self.known.titles[p])]
+            same = [p for p in self.people if (self.roles[p] == role if role != "unknown" else bare(label.beside) in self.titles[p])]
             return (same[0], role) if same else ("Unknown", role or "unknown")
-        prices = {p: c for p in self.people if (c := fit(label.words, p)) is not None}
+        form = " ".join(label.words)
+        if person := self.meant.get(form):
+            return person, self.roles[person]
+        prices = self.prices[form]
         if not prices:
             return "Unknown", role_of(label.beside) or "unknown"
         least = min(prices.values())
-        alike = [p for p, c in prices.items() if c == least]
-        if len(alike) > 1:
-            told = role_of(label.beside) or {"Q": "Analyst", "A": "officer"}.get(label.side, "")
-            rank = lambda p: ((self.roles[p] != told) if told not in ("", "officer") else (told == "officer" and self.roles[p] == "Analyst"), -max((i for i, b in enumerate(before) if b == p), default=-1))
-            alike.sort(key=rank)
-        return alike[0], self.roles[alike[0]]
+        told = role_of(label.beside) or {"Q": "Analyst", "A": "officer"}.get(label.side, "")
+        last = {p: i for i, p in enumerate(before)}
+        rank = lambda p: ((self.roles[p] != told) if told not in ("", "officer") else (told == "officer" and self.roles[p] == "Analyst"), -last.get(p, -1))
+        person = min((p for p, c in prices.items() if c == least), key=rank)
+        return person, self.roles[person]
 
     def turns(self) -> list[tuple[str, int, str, str, str]]:
         """section, turn_index, speaker_name, speaker_role, text."""
         heard: list[str] = []
         said = []
-        for label, _, speech in self.parts:
+        for label, speech in self.parts:
             name, role = self.who(label, heard)
-            heard += [name, *(p for p in self.people if p in speech and name == "Operator")]
+            heard.append(name)
+            if name == "Operator":
+                heard += [p for p in self.people if p in speech]
             said.append((name, role, speech))
         said = [x for x in said if len(x[2].split()) >= LEAST_WORDS]
         asked = [i for i, (_, role, speech) in enumerate(said) if role == "Analyst"]
-        opened = next((i for i, (name, role, speech) in enumerate(said) if role != "Analyst" and name != "Unknown" and self._opens(name, speech)), None)
         start = len(said)
         if asked:
-            start = min(asked[0], opened) if opened is not None else asked[0]
+            start = next((i for i in range(asked[0]) if said[i][1] != "Analyst" and said[i][0] != "Unknown" and opens(said[i][0], said[i][2])), asked[0])
         out: list[list] = []
+        counts: Counter = Counter()
         for i, (name, role, speech) in enumerate(said):
             section = "qa" if i >= start else "prepared_remarks"
             if out and out[-1][0] == section and out[-1][2] == name:
-                out[-1][4] += " " + speech
+                out[-1][4].append(speech)
             else:
-                out.append([section, sum(x[0] == section for x in out), name, role, speech])
-        return [tuple(x) for x in out]
-
-    @staticmethod
-    def _opens(name: str, speech: str) -> bool:
-        """Whether a turn opens the questions: a promise of later ones or a hand-over to the operator doesn't."""
-        for sentence in re.split(r"(?<=[.!?])\s+", speech):
-            if _OPENS.search(sentence) and not _PROMISE.search(sentence) and (name == "Operator" or "operator" not in sentence.lower()):
-                return True
+                out.append([section, counts[section], name, role, [speech]])
+                counts[section] += 1
+        return [(*x[:4], " ".join(x[4])) for x in out]
+
+
+_INITIAL = re.compile(r"[A-Z]\.?")
+
+
+def opens(name: str, speech: str) -> bool:
+    """Whether a turn opens the questions: a sentence speaks of questions and of beginning. A promise of later ones or a hand-over to the operator doesn't."""
+    if not _QUESTIONS.search(speech):
         return False
+    for sentence in re.split(r"(?<=[.!?])\s+", speech):
+        if _QUESTIONS.search(sentence) and _BEGINS.search(sentence) and not _PROMISE.search(sentence) and (name == "Operator" or "operator" not in sentence.lower()):
+            return True
+    return False
 
 
+@lru_cache(maxsize=300_000)
 def slip(form: str, name: str) -> int | None:
     """Edits between two full names if one can be a slip of the other, else None."""
     a, b = form.lower().split(), name.lower().split()
@@ -397,12 +470,12 @@ def fit(words: list[str], person: str) -> int | None:
     if last > 2 or last == 2 and len(family) < 6:
         return None
     if len(words) == 1:
-        return 4 * last
+        return EDIT * last
     first = words[0].lower().rstrip(".")
     if len(first) == 1:
-        return 4 * last + 1 if given.startswith(first) else None
+        return EDIT * last + INITIAL if given.startswith(first) else None
     off = distance(first, given)
-    return 4 * (last + off) if off <= 1 or off == 2 and last == 0 else None
+    return EDIT * (last + off) if off <= 1 or off == 2 and last == 0 else None
 
 
 def _texts(df: DataFrame) -> DataFrame:
@@ -410,21 +483,34 @@ def _texts(df: DataFrame) -> DataFrame:
     return rows.where(F.length("t") > 0)
 
 
-def rosters(df: DataFrame) -> DataFrame:
-    """s (company), name, role, calls: the people that a company's calls state in full, with the role most calls give them (empty if none does)."""
+_NAMED = "array<struct<name: string, role: string, title: string, n: int>>"
+
+
+def _read(texts: DataFrame) -> DataFrame:
+    """k, s, parts (the stretches as one text), names (what the call states): each call is parsed here, and nowhere else."""
+    kind = pa.list_(pa.struct([("name", pa.string()), ("role", pa.string()), ("title", pa.string()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for s, t in zip(batch.column(1).to_pylist(), batch.column(2)):
-                known = Evidence.of(plain(t.as_py()))
-                for name in known.names:
-                    role = known.roles[name].most_common(1)
-                    rows.append((s, name, role[0][0] if role else ""))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["s", "name", "role"])
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                packed, names, labels = [], [], []
+                for t in part.column(2):
+                    parts, unspoken = stretches(t.as_py())
+                    packed.append(_PART.join(_FIELD.join(p) for p in parts))
+                    names.append([{"name": n, "role": r, "title": x, "n": c} for n, told in stated(parts, unspoken).items() for (r, x), c in told.items()])
+                    words = (label_of(p[0], p[1]).words for p in parts)
+                    labels.append(sorted({" ".join(w) for w in words if len(w) > 1 and not _INITIAL.fullmatch(w[0])}))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.string()), pa.array(names, kind), pa.array(labels, pa.list_(pa.string()))], names=["k", "s", "parts", "names", "labels"])
+
+    return texts.mapInArrow(run, f"k bigint, s string, parts string, names {_NAMED}, labels array<string>")
 
-    seen = spread(_texts(df)).where(F.col("s") != "").mapInArrow(run, "s string, name string, role string").groupBy("s", "name", "role").agg(F.count("*").alias("n"))
-    return seen.groupBy("s", "name").agg(F.max_by("role", F.struct(F.col("role") != "", "n", "role")).alias("role"), F.sum("n").alias("calls"))
+
+def rosters(read: DataFrame) -> DataFrame:
+    """s (company), name, role, calls: the people that at least ROSTER_CALLS of a company's calls state in full, with the role most calls give them (empty if none does)."""
+    told = read.where(F.col("s") != "").select("k", "s", F.inline("names")).groupBy("s", "name", "role").agg(F.count_distinct("k").alias("n"))
+    role = F.max_by("role", F.struct(~F.col("role").isin("", "unknown"), F.col("role") != "", "n", "role"))
+    return told.groupBy("s", "name").agg(role.alias("role"), F.sum("n").alias("calls")).where(F.col("calls") >= ROSTER_CALLS)
 
 
 def speaker_turns(df: DataFrame) -> DataFrame:
@@ -433,28 +519,24 @@ def speaker_turns(df: DataFrame) -> DataFrame:
     Rows with the same transcript_id count once; null ids, null or empty texts and texts without a label have no
     turns. Companies compare trimmed and in upper case; a call without company meets no roster. Other columns are ignored.
     """
-    texts = spread_by(_texts(df), "k").groupBy("k").agg(F.min("s").alias("s"), F.min("t").alias("t"))
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                call = Call(t.as_py(), [])
-                rows += [(k, s, b) for b in {b for p in call.people for b in sounds(p)}]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["k", "s", "block"])
-
-    keyed = F.udf(lambda name: sounds(name), "array<string>")
-    roster = rosters(df).withColumn("block", F.explode(keyed("name")))
-    wanted = texts.where(F.col("s") != "").mapInArrow(blocks, "k bigint, s string, block string")
-    met = wanted.join(roster, ["s", "block"]).groupBy("k").agg(F.collect_set(F.struct("name", "role", F.col("calls").cast("bigint").alias("calls"))).alias("roster"))
+    read = stage(_read(one_of_each(spread(_texts(df)), ["k"], "t")), "read")
+    roster = stage(rosters(read), "roster")
+    names = F.array_distinct(F.concat(F.transform("names", lambda x: x["name"]), "labels"))
+    wanted = read.where(F.col("s") != "").select("k", "s", F.explode(names).alias("form")).select("k", "s", F.explode(sounds(F.col("form"))).alias("block")).distinct()
+    met = wanted.join(roster.withColumn("block", F.explode(sounds(F.col("name")))), ["s", "block"])
+    met = met.groupBy("k").agg(F.collect_set(F.struct("name", "role", F.col("calls").cast("int").alias("calls"))).alias("roster"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k, t, roster in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                people = [(r["name"], r["role"], r["calls"]) for r in roster or []]
-                rows += [(k, *turn) for turn in Call(t.as_py(), people).turns()]
+            for k, packed, names, people in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                parts = [tuple(p.split(_FIELD)) for p in packed.split(_PART)] if packed else []
+                said: dict[str, Counter] = defaultdict(Counter)
+                for n in names:
+                    said[n["name"]][n["role"], n["title"]] += n["n"]
+                rows += [(k, *turn) for turn in Call(parts, said, {p["name"]: (p["role"], p["calls"]) for p in people or []}).turns()]
             types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(6)], names=["transcript_id", "section", "turn_index", "speaker_name", "speaker_role", "text"])
 
-    return spread_by(texts.join(stage(met, "rosters"), "k", "left").select("k", "t", "roster"), "k").mapInArrow(run, "transcript_id bigint, section string, turn_index int, speaker_name string, speaker_role string, text string")
+    calls = spread_by(read.select("k", "parts", "names").where("parts <> ''"), "k").join(met, "k", "left").select("k", "parts", "names", "roster")
+    return calls.mapInArrow(run, "transcript_id bigint, section string, turn_index int, speaker_name string, speaker_role string, text string")
