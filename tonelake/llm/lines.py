@@ -1,6 +1,6 @@
 """Lines that one source repeats through its documents (problem 5).
 
-A line is known by the letters in it, so variants (other case, spacing, page numbers, bullets) share a key. For each
+A line is known by the letters in it, as 128 bits of hash, so variants (other case, spacing, page numbers, bullets) share a key. For each
 source and line, the documents that hold it are a compressed bitmap: one row for each 64-bit word that isn't empty.
 Documents are numbered in order of their source, so a source's documents lie in neighbouring words. Bitmaps of variants
 are united by bitwise or, their exact cardinalities are counted, and lines are deleted where a document's bit is set.
@@ -21,10 +21,10 @@ HEADINGS = ("item", "part")
 
 
 def line_keys(text: str, source: str, least_letters: int, headings: tuple[str, ...]):
-    """An array with a hash of source and letters for each line; null for a line that can't count."""
+    """An array with two hashes of source and letters for each line; null for a line that can't count."""
     opened = rf"(?mid)^[^\S\n]*(?:{'|'.join(headings)})(?![\p{{L}}\p{{N}}_])[^\n]*" if headings else r"(?!)"
     letters = F.lower(F.regexp_replace(F.regexp_replace(F.col(text), opened, ""), r"[^\p{L}\n]+", ""))
-    return F.transform(F.split(letters, "\n"), lambda x: F.when(F.length(x) >= least_letters, F.xxhash64(F.col(source), x)))
+    return F.transform(F.split(letters, "\n"), lambda x: F.when(F.length(x) >= least_letters, F.struct(F.xxhash64(F.col(source), x).alias("x"), F.xxhash64(x, F.col(source), F.lit(1)).alias("y"))))
 
 
 def repeated_lines(

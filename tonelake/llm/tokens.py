@@ -12,6 +12,7 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -32,6 +33,8 @@ _WORDS = regex.compile(PATTERN)
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 #: remembered words, and bytes of a word that is remembered
 MEMO_WORDS, MEMO_BYTES = 400_000, 48
+#: ids after which a batch leaves the worker, whatever the number of its texts
+BATCH_IDS = 1 << 20
 #: characters of a text beyond which its words are not listed at once
 LISTED_CHARS = 1 << 20
 
@@ -237,17 +240,21 @@ def encode_column(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _transducer(name, sent.value, lookahead).encode
         for batch in batches:
-            offsets, values = [0], []
-            for one in batch.column(len(carry) + 1):
-                values += encode(one.as_py())
-                offsets.append(len(values))
-            own = batch.columns[:-1]
-            if counts_only:
-                ends = pa.array(offsets, pa.int64())
-                last: pa.Array = pa.compute.subtract(ends[1:], ends[:-1])
-            else:
-                last = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*own, last], names=[*batch.schema.names[:-1], "ids"])
+            first, ends, values = 0, array("q", [0]), array("i")
+            for i, one in enumerate(batch.column(len(carry) + 1), 1):
+                ids = encode(one.as_py())
+                ends.append(ends[-1] + len(ids))
+                if not counts_only:
+                    values.extend(ids)
+                if len(values) >= BATCH_IDS or i == len(batch):
+                    own = [c.slice(first, i - first) for c in batch.columns[:-1]]
+                    if counts_only:
+                        at = pa.array(ends, pa.int64())
+                        last: pa.Array = pa.compute.subtract(at[1:], at[:-1])
+                    else:
+                        last = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(memoryview(values), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*own, last], names=[*batch.schema.names[:-1], "ids"])
+                    first, ends, values = i, array("q", [0]), array("i")
 
     types = {c: t for c, t in kept.dtypes}
     schema = ", ".join(f"{c} {types[c]}" for c in kept.columns[:-1]) + (", ids bigint" if counts_only else ", ids array<int>")
