@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonelake.storage import small_enough, spread_by
+from tonelake.storage import one_of_each, small_enough, spread
 
 # Unit aliases, by meaning.
 SCALES = {
@@ -152,7 +152,7 @@ class UnitReader:
                 if left and text[left - 1] in "-−" and number >= 0 and not _touches_number(text, left - 1):
                     number = -number
             at = b
-            for _ in range(4):
+            while True:
                 gap = at
                 while gap < len(text) and text[gap] == " ":
                     gap += 1
@@ -181,7 +181,7 @@ class UnitReader:
         if text:
             numbers, header = self.amounts(text)
             said = [n for n in numbers if n["kind"] or "currency" in n or "scale" in n]
-            first = said[0] if said else numbers[0] if numbers and (header or len(numbers) <= 2) else None
+            first = said[0] if said else numbers[0] if numbers else None
             if first is not None:
                 i = numbers.index(first)
                 if i and numbers[i - 1].get("joined"):
@@ -279,13 +279,14 @@ def to_common_units(guidance: DataFrame, rates: DataFrame, key: str = "guidance_
     The amount in the text, with its units, goes before the fields; without one the fields and the unit field
     tell it. common_unit, low and high are null where neither tells an amount, or where the rate of the row's
     quarter and year is missing. recorded_ok: whether value_low and value_high, in either order, are already that amount in
-    the common unit; null where both are. Rows loaded twice (same key) come out once; rows with a null key are
-    kept as one row. Other columns of guidance are ignored, whatever their names. An empty table gives an empty result.
+    the common unit; null where both are. Rows loaded twice (same key) come out once; every row with a null key
+    comes out. Other columns of guidance are ignored, whatever their names. An empty table gives an empty result.
     """
-    rows = spread_by(guidance.select(
+    rows = spread(guidance.select(
         F.col(key).alias("k"), F.col("metric_type").cast("string").alias("m"), F.col("value_low").cast("double").alias("a"), F.col("value_high").cast("double").alias("b"),
         F.col("unit").cast("string").alias("u"), F.col("raw_text").cast("string").alias("t"), F.upper(F.trim("quarter")).alias("q"), F.col("year").cast("int").alias("y"),
-    ), "k").dropDuplicates(["k"])
+    ))
+    rows = one_of_each(rows, ["k"], "t").unionByName(rows.where("k is null"))
     read = rows.withColumn("r", _read("m", "a", "b", "u", "t")).select("k", "a", "b", "q", "y", "r.low", "r.high", "r.code")
     spark = guidance.sparkSession
     by_code = spark.createDataFrame(factors(), "code string, from_currency string, common_unit string, factor double")
