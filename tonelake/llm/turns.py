@@ -23,6 +23,8 @@ from tonelake.llm.mixing import min_cost_flow
 from tonelake.storage import one_of_each, spread, spread_by, stage
 
 LEAST_WORDS = 4
+#: characters from which a line is never a heading
+HEADING_CHARS = 200
 #: calls in which a name must be stated to be on a company's roster; and how often as many calls must state a name for one that a single call states with
 #: one edit, for a person of the same role, to be its slip
 ROSTER_CALLS, ESTABLISHED = 2, 10
@@ -58,6 +60,7 @@ _STATED = re.compile(
 )
 
 
+@lru_cache(maxsize=100_000)
 def role_of(title: str | None) -> str:
     """The role that a title or a firm beside a name tells; unknown for other titles."""
     t = f" {(title or '').lower()} "
@@ -80,10 +83,13 @@ def is_title(text: str | None) -> bool:
 
 
 def strip_noise(text: str) -> str:
-    text = _FILLER.sub(" ", _NOISE.sub(" ", text))
+    if _MARKS.search(text):
+        text = _NOISE.sub(" ", text)
+    text = _FILLER.sub(" ", text)
     return _SPACED_MARK.sub(r"\1", " ".join(text.split()))
 
 
+_MARKS = re.compile(r"[\[(*♪♫]")
 _SPACED_MARK = re.compile(r"\s+([,.;:?!])")
 
 
@@ -196,7 +202,7 @@ def stretches(text: str) -> tuple[list[tuple[str, str, str, str]], str]:
     """(label, side, time, speech) of every stretch, in the order of their times where all have one; and the text that nobody speaks, as lines."""
     text = plain(text)
     families = frozenset(b.lower() for _, b in _PAIR.findall(text))
-    lines = re.split(r"\r\n|\r|\n", _unfolded(text, families))
+    lines = _unfolded(text.replace("\r\n", "\n").replace("\r", "\n"), families).split("\n")
     if "-->" in text:
         lines = _in_cue_order(lines)
     found: list[list] = []
@@ -207,7 +213,7 @@ def stretches(text: str) -> tuple[list[tuple[str, str, str, str]], str]:
         if m := _CUE.match(bare):
             pending = m[1]
             continue
-        if not bare or _SKIP.match(bare):
+        if not bare or _is_heading(bare):
             continue
         at = _AT.match(bare)
         time, rest = (at[1], bare[at.end() :]) if at else ("", bare)
@@ -223,7 +229,7 @@ def stretches(text: str) -> tuple[list[tuple[str, str, str, str]], str]:
             pending = ""
         elif not found:
             unspoken.append(rest)
-        elif not _SKIP.match(rest):
+        elif rest is bare or not _is_heading(rest):
             found[-1][3].append(bare if time and not rest else rest)
     out = []
     for label, side, time, parts in found:
@@ -238,10 +244,15 @@ def stretches(text: str) -> tuple[list[tuple[str, str, str, str]], str]:
     return out, "\n".join(unspoken)
 
 
+@lru_cache(maxsize=100_000)
 def _clean(label: str) -> str:
     return strip_noise(label)
 
 
+def _is_heading(line: str) -> bool:
+    return len(line) < HEADING_CHARS and _SKIP.match(line) is not None
+
+
 _LISTED = re.compile(r"(?i)\b(?:call )?participants:\s|\bduration: \d")
 
 
@@ -323,6 +334,10 @@ class Call:
                 self.titles[name].add(title)
         self.roster = roster
         self.forms = Counter(" ".join(label.words) for label, _ in self.parts if label.kind == "name" and len(label.words) >= 2 and not _INITIAL.fullmatch(label.words[0]))
+        self.beside: dict[str, Counter] = defaultdict(Counter)
+        for label, _ in self.parts:
+            if label.kind == "name" and len(label.words) >= 2 and (label.beside or label.side == "Q") and not _INITIAL.fullmatch(label.words[0]):
+                self.beside[" ".join(label.words)][role_of(label.beside) or "Analyst"] += 1
         self.people = self._people()
         self.roles = {p: self._role(p) for p in self.people}
         self.meant = self._meant()
@@ -349,13 +364,13 @@ class Call:
         if not here:
             return calls < ESTABLISHED
         role, known = self.roster.get(other, ("", 0))
-        told = {*self.said[name], *(role_of(label.beside) for label, _ in self.parts if label.beside and " ".join(label.words) == name)}
+        told = {*self.said[name], *self.beside.get(name, ())}
         return not calls and known >= ESTABLISHED and slip(name, other) == 1 and told <= {role, ""}
 
     def _meant(self) -> dict[str, str]:
         """The person of each spelling in labels, as far as names alone tell: spellings that fit several people alike are left to the turn."""
         spellings = {" ".join(label.words): label.words for label, _ in self.parts if label.kind == "name"}
-        prices = {f: {p: c for p in self.people if (c := fit(words, p)) is not None} for f, words in spellings.items()}
+        prices = {f: {p: c for p in self.people if (c := fit(f, p)) is not None} for f in spellings}
         open_ = {f for f, c in prices.items() if len(spellings[f]) == 1 or _INITIAL.fullmatch(spellings[f][0])}
         sure = {f for f in prices if f not in open_ and prices[f]}
         chosen = assign(sorted(sure), self.people, lambda f, p: prices[f].get(p))
@@ -374,11 +389,9 @@ class Call:
         for name, told in self.said.items():
             if name == person or name not in self.people and slip(name, person) is not None:
                 votes.update({r: 20 * n for r, n in told.items()})
-        for label, _ in self.parts:
-            if label.kind == "name" and len(label.words) >= 2 and (label.beside or label.side == "Q"):
-                name = " ".join(label.words)
-                if name == person or name not in self.people and fit(label.words, person) is not None and not _INITIAL.fullmatch(label.words[0]):
-                    votes[role_of(label.beside) or "Analyst"] += 1
+        for name, told in self.beside.items():
+            if name == person or name not in self.people and fit(name, person) is not None:
+                votes.update(told)
         for role, _ in votes.most_common():
             if role not in ("", "unknown"):
                 return role
@@ -463,18 +476,19 @@ def slip(form: str, name: str) -> int | None:
     return given + family if given <= 1 and family <= 2 and given + family <= 2 else None
 
 
-def fit(words: list[str], person: str) -> int | None:
+@lru_cache(maxsize=300_000)
+def fit(form: str, person: str) -> int | None:
     """How badly a label's words fit a person: 0 as stated, more for slips; an initial or a family name alone fit too."""
-    given, family = person.lower().split()[0], person.lower().split()[-1]
-    last = distance(words[-1].lower(), family)
-    if last > 2 or last == 2 and len(family) < 6:
+    words, names = form.lower().split(), person.lower().split()
+    last = distance(words[-1], names[-1])
+    if last > 2 or last == 2 and len(names[-1]) < 6:
         return None
     if len(words) == 1:
         return EDIT * last
-    first = words[0].lower().rstrip(".")
+    first = words[0].rstrip(".")
     if len(first) == 1:
-        return EDIT * last + INITIAL if given.startswith(first) else None
-    off = distance(first, given)
+        return EDIT * last + INITIAL if names[0].startswith(first) else None
+    off = distance(first, names[0])
     return EDIT * (last + off) if off <= 1 or off == 2 and last == 0 else None
 
 
