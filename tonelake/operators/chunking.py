@@ -13,11 +13,9 @@ from tonelake.functions import text as T
 
 # Chunk and overlap in tokens, and the headings of filings by section.
 SIZE, OVERLAP = 512, 64
-HEADINGS = {
-    "risk_factors": r"item\s+1a\.?\s*risk factors", "mda": r"item\s+[27]\.?\s*management.{0,3}s\s+discussion(?:\s+and\s+analysis)?", "financial_statements": r"item\s+[18]\.?\s*(?:financial statements|consolidated balance)",
-    "market_risk": r"item\s+(?:3|7a)\.?\s*quantitative", "controls": r"item\s+(?:4|9a)\.?\s*controls", "cover": r"item\s+1\.?\s*business",
-}
-_ANY = "(?i)(?:" + "|".join(HEADINGS.values()) + ")"
+# Which headings open a section, in the order in which they are looked for; the section they open.
+OPENED = {"business": "cover", "risk_factors": "risk_factors", "mda": "mda", "financial_statements": "financial_statements", "quantitative_disclosures": "mda", "controls": "mda"}
+_ANY = "(?i)(?:" + "|".join(T.SECTION_HEADINGS[h] for h in OPENED) + ")"
 OFFICERS = ("CEO", "CFO", "COO", "IR")
 
 
@@ -27,10 +25,17 @@ def sections(filings: DataFrame, key: str, text: str = "text", least: int = 200)
     parts = F.split(mark, "\u0001")
     rows = filings.where(F.length(text) > 0).select(key, F.posexplode(parts).alias("n", "body"), F.size(parts).alias("of"))
     kind = F.lit("unknown")
-    for name, pattern in reversed(HEADINGS.items()):
-        kind = F.when(F.col("body").rlike(f"(?i)^{pattern}"), name).otherwise(kind)
+    for heading, section in reversed(OPENED.items()):
+        kind = F.when(F.col("body").rlike(f"(?i)\\A(?:{T.SECTION_HEADINGS[heading]})"), section).otherwise(kind)
     kind = F.when(F.col("of") == 1, "mda").otherwise(kind)
-    return rows.select(key, kind.alias("section"), "n", "body", "of").where(((F.col("n") > 0) & (F.length("body") > least)) | (F.col("of") == 1)).drop("of")
+    body = F.when(F.col("of") == 1, F.col("body")).otherwise(T.stripped(F.col("body")))
+    return rows.select(key, kind.alias("section"), "n", body.alias("body"), "of").where(((F.col("n") > 0) & (F.length("body") > least)) | (F.col("of") == 1)).drop("of")
+
+
+def merged_sections(filings: DataFrame, key: str, text: str = "text", least: int = 200) -> DataFrame:
+    """key, section, body: one row for each section of a text, its parts in order, an empty line between them."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("n", "body"))), lambda x: x["body"])
+    return sections(filings, key, text, least).groupBy(key, "section").agg(F.array_join(parts, "\n\n").alias("body"))
 
 
 def line_turns(calls: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -122,14 +127,21 @@ def semantic_chunks(sentences: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key, "chunk_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "sentence"))), lambda v: v["sentence"]), " ").alias("chunk"))
 
 
-def tag(chunks: DataFrame) -> DataFrame:
-    """Sections and quarters as the text tells them, numbers counted, tone labelled."""
+def tag(chunks: DataFrame, keep_text: bool = False) -> DataFrame:
+    """Sections and quarters as the text tells them, numbers counted, tone labelled, speakers (where there are any) as roles.
+
+    Questions and prepared remarks keep their section, the fourth quarter of an annual report its quarter.
+    """
     text, section = F.col("text"), F.col("section")
     numbers = T.financial_numbers(text)
     free = ~section.isin("qa", "prepared_remarks")
     new = F.when(free & text.rlike(T.GUIDANCE_PATTERN) & (numbers > 0), "guidance").when((section == "unknown") & text.rlike(T.RISK_PATTERN), "risk_factors").when((section == "unknown") & text.rlike(T.HIGHLIGHT_PATTERN), "financial_statements").otherwise(section)
-    return chunks.select("chunk_id", "ticker", new.alias("section"), F.coalesce(T.quarter_in_text(text), F.col("quarter")).alias("quarter"), "year", (numbers > 0).alias("contains_numbers"), T.quick_sentiment(text).alias("tone"))
+    annual = (F.col("quarter") == "Q4") & F.col("form").isin("10-K", "10-K/A") if "form" in chunks.columns else F.lit(False)
+    quarter = F.when(F.coalesce(annual, F.lit(False)), F.col("quarter")).otherwise(F.coalesce(T.quarter_in_text(text), F.col("quarter")))
+    more = [T.chunk_speaker(F.col("speaker")).alias("speaker")] if "speaker" in chunks.columns else []
+    return chunks.select("chunk_id", "ticker", new.alias("section"), quarter.alias("quarter"), "year", (numbers > 0).alias("contains_numbers"), T.quick_sentiment(text).alias("tone"), *more, *(["text"] if keep_text else []))
 
 
 def guidance_chunks(tagged: DataFrame) -> DataFrame:
-    return tagged.where("section = 'guidance' and contains_numbers")
+    """Chunks of the guidance section, and chunks of any section that have numbers and speak of guidance."""
+    return tagged.where((F.col("section") == "guidance") | (F.col("contains_numbers") & F.col("text").rlike(T.GUIDANCE_PATTERN)))

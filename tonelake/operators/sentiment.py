@@ -12,25 +12,35 @@ from tonelake.functions.numbers import clamp
 QUARTER = ["ticker", "quarter", "year"]
 
 
+def _lexicon() -> list:
+    p, n = F.regexp_count("text", F.lit(T.POSITIVE_PATTERN)), F.regexp_count("text", F.lit(T.NEGATIVE_PATTERN))
+    return [(p / (p + n + 1)).alias("positive"), (n / (p + n + 1)).alias("negative"), (1 / (p + n + 1)).alias("neutral")]
+
+
 def lexicon_scores(chunks: DataFrame) -> DataFrame:
     """The default scorer: shares of positive and negative words. A model's scores (chunk_id, positive, negative, neutral) take its place."""
-    p, n = F.regexp_count("text", F.lit(T.POSITIVE_PATTERN)), F.regexp_count("text", F.lit(T.NEGATIVE_PATTERN))
-    return chunks.select("chunk_id", (p / (p + n + 1)).alias("positive"), (n / (p + n + 1)).alias("negative"), (1 / (p + n + 1)).alias("neutral"))
+    return chunks.select("chunk_id", *_lexicon())
+
+
+def _scored(chunks: DataFrame, scores: DataFrame | None) -> DataFrame:
+    """Chunks with their scores: without any the lexicon's, as columns of the same rows; else joined, the counts taken first so that no text is shuffled."""
+    text = F.col("text")
+    counts = F.regexp_count(text, F.lit(T.HEDGE_PATTERN)).alias("h"), T.specific_numbers(text).alias("f"), F.regexp_count(text, F.lit(T.VAGUE_PATTERN)).alias("v")
+    if scores is None:
+        return chunks.select(*QUARTER, "words", *_lexicon(), *counts)
+    return chunks.select("chunk_id", *QUARTER, "words", *counts).join(scores.select("chunk_id", "positive", "negative", "neutral"), "chunk_id")
 
 
 def with_dominant(scores: DataFrame) -> DataFrame:
     return scores.select("*", (F.col("positive") - F.col("negative")).alias("net_score"), dominant(F.col("positive"), F.col("negative"), F.col("neutral")).alias("dominant_label"))
 
 
-def quarter_sentiment(chunks: DataFrame, scores: DataFrame) -> DataFrame:
+def quarter_sentiment(chunks: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """Word-weighted mean tone, hedging and specificity of each company's quarter. Quarters without words are left out.
 
     The counts are taken from each chunk and added, so no quarter's text is ever put together in one task.
     """
-    text = F.col("text")
-    counted = chunks.join(scores, "chunk_id").select(
-        *QUARTER, "words", "positive", "negative", "neutral", F.regexp_count(text, F.lit(T.HEDGE_PATTERN)).alias("h"), T.financial_numbers(text).alias("f"), F.regexp_count(text, F.lit(T.VAGUE_PATTERN)).alias("v")
-    )
+    counted = _scored(chunks, scores)
     mean = lambda c: F.sum(F.col(c) * F.col("words")) / F.sum("words")
     out = counted.groupBy(*QUARTER).agg(mean("positive").alias("positive_pct"), mean("negative").alias("negative_pct"), mean("neutral").alias("neutral_pct"), F.sum("words").alias("words"), F.sum("h").alias("h"), F.sum("f").alias("f"), F.sum("v").alias("v"), F.count("*").alias("chunk_count"))
     return out.where("words > 0").select(

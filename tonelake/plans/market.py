@@ -8,6 +8,7 @@ from tonelake.functions import dates as D
 from tonelake.functions import labels, numbers
 from tonelake.functions import text as T
 from tonelake.operators import backtest, chunking, evaluation, models, pairs, qa, sentiment, vectors
+from tonelake.plans import expected as E
 from tonelake.plans import pipeline
 from tonelake.plans.catalog import query, table
 from tonelake.plans.tone import CHUNKS, SCORES, _chunks, rounded
@@ -326,7 +327,7 @@ def freshness(spark, folder):
     return f.groupBy("accession_number").agg(F.max(labels.freshness(F.col("loaded_at").cast("timestamp"), F.lit("2024-01-01 00:00:00").cast("timestamp"))).alias("state"))
 
 
-_ROLE = "CASE " + " ".join(f"WHEN regexp_matches(lower(s), '{p}') THEN '{r}'" for r, p in T.ROLES.items()) + " ELSE 'unknown' END"
+_ROLE = E.ROLE.format(c="s")
 
 
 @query(f"WITH n AS (SELECT DISTINCT unnest(string_split(raw_text, chr(10))) AS s FROM transcripts WHERE raw_text IS NOT NULL) SELECT s AS line, {_ROLE} AS role FROM n WHERE length(s) < 80")

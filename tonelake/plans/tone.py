@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tonelake.functions import labels, numbers
 from tonelake.functions import text as T
 from tonelake.operators import chunking, drift, filings, guidance, quality, sentiment
+from tonelake.plans import expected as E
 from tonelake.plans.catalog import query, table
+from tonelake.plans.expected import count_of
 from tonelake.sources import tables
 
 
@@ -16,22 +18,19 @@ def rounded(df, digits: int = 6):
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def count_of(pattern: str, column: str = "text") -> str:
-    return f"len(regexp_extract_all({column}, '{pattern}'))"
-
-
 CHUNKS = rf"""chunks AS (
-  SELECT doc_id AS chunk_id, text, upper(trim(ticker)) AS ticker, quarter, year, {count_of(T.WORD)} AS words,
+  SELECT doc_id AS chunk_id, text, upper(trim(ticker)) AS ticker, quarter, year, {count_of(E.WORD)} AS words,
+    CASE WHEN source IN ('filing_mda', 'filing_risk') THEN CASE WHEN quarter IN ('Q4', 'Annual') THEN '10-K' ELSE '10-Q' END WHEN source = 'call_excerpt' THEN 'transcript' WHEN source = 'press_release' THEN '8-K' ELSE 'other' END AS form,
     CASE source WHEN 'filing_mda' THEN 'mda' WHEN 'filing_risk' THEN 'risk_factors' WHEN 'call_excerpt' THEN 'qa' WHEN 'press_release' THEN 'press_release' WHEN 'analyst_note' THEN 'guidance' ELSE 'unknown' END AS section
   FROM documents WHERE text <> '' AND trim(ticker) <> '' AND quarter IS NOT NULL AND year IS NOT NULL)"""
-SCORES = f"""counted AS (SELECT *, {count_of(T.POSITIVE_PATTERN)} AS pc, {count_of(T.NEGATIVE_PATTERN)} AS nc FROM chunks),
+SCORES = f"""counted AS (SELECT *, {count_of(E.POSITIVE)} AS pc, {count_of(E.NEGATIVE)} AS nc FROM chunks),
 scored AS (SELECT *, pc / (pc + nc + 1) AS positive, nc / (pc + nc + 1) AS negative, 1 / (pc + nc + 1) AS neutral FROM counted)"""
 PERIOD = "year * 10 + CASE quarter WHEN 'Q1' THEN 1 WHEN 'Q2' THEN 2 WHEN 'Q3' THEN 3 WHEN 'Q4' THEN 4 WHEN 'Annual' THEN 5 ELSE 0 END"
 QUARTERS = f"""quarters AS (
   SELECT *, {PERIOD} AS p, greatest(-1, least(1, positive_pct - negative_pct)) AS net_sentiment_score FROM (
     SELECT ticker, quarter, year, sum(positive * words) / sum(words) AS positive_pct, sum(negative * words) / sum(words) AS negative_pct, sum(neutral * words) / sum(words) AS neutral_pct,
-      100.0 * sum({count_of(T.HEDGE_PATTERN)}) / greatest(1, sum(words)) AS hedging_score,
-      CASE WHEN sum({count_of(T.NUMBER_PATTERN)}) + sum({count_of(T.VAGUE_PATTERN)}) = 0 THEN 0.5 ELSE sum({count_of(T.NUMBER_PATTERN)}) / (sum({count_of(T.NUMBER_PATTERN)}) + sum({count_of(T.VAGUE_PATTERN)})) END AS specificity_score,
+      100.0 * sum({count_of(E.HEDGING)}) / greatest(1, sum(words)) AS hedging_score,
+      CASE WHEN sum({count_of(E.SPECIFIC_NUMBER)}) + sum({count_of(E.VAGUE)}) = 0 THEN 0.5 ELSE sum({count_of(E.SPECIFIC_NUMBER)}) / (sum({count_of(E.SPECIFIC_NUMBER)}) + sum({count_of(E.VAGUE)})) END AS specificity_score,
       count(*) AS chunk_count
     FROM scored GROUP BY ticker, quarter, year HAVING sum(words) > 0))"""
 TONE = f"WITH {CHUNKS}, {SCORES}, {QUARTERS}"
@@ -43,8 +42,7 @@ def _chunks(spark, folder):
 
 
 def _quarters(spark, folder):
-    c = _chunks(spark, folder)
-    return sentiment.quarter_sentiment(c, sentiment.lexicon_scores(c))
+    return sentiment.quarter_sentiment(_chunks(spark, folder))
 
 
 @query(f"{TONE} SELECT ticker, quarter, year, {_R('positive_pct', 'negative_pct', 'neutral_pct', 'net_sentiment_score', 'hedging_score', 'specificity_score')}, chunk_count FROM quarters")
@@ -52,10 +50,10 @@ def quarter_sentiment(spark, folder):
     return rounded(_quarters(spark, folder))
 
 
-@query(f"WITH {CHUNKS} SELECT chunk_id, round(100.0 * {count_of(T.HEDGE_PATTERN)} / greatest(1, words), 6) + 0.0 AS hedging, {count_of(T.VAGUE_PATTERN)} AS vague, {count_of(T.NUMBER_PATTERN)} AS numbers FROM chunks")
+@query(f"WITH {CHUNKS} SELECT chunk_id, round(100.0 * {count_of(E.HEDGING)} / greatest(1, words), 6) + 0.0 AS hedging, {count_of(E.VAGUE)} AS vague, {count_of(E.SPECIFIC_NUMBER)} AS numbers FROM chunks")
 def hedging_specificity(spark, folder):
     t = F.col("text")
-    return rounded(_chunks(spark, folder).select("chunk_id", T.hedging(t, F.col("words")).alias("hedging"), F.regexp_count(t, F.lit(T.VAGUE_PATTERN)).alias("vague"), T.financial_numbers(t).alias("numbers")))
+    return rounded(_chunks(spark, folder).select("chunk_id", T.hedging(t, F.col("words")).alias("hedging"), F.regexp_count(t, F.lit(T.VAGUE_PATTERN)).alias("vague"), T.specific_numbers(t).alias("numbers")))
 
 
 @query(f"""WITH {CHUNKS}, {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker, quarter, year ORDER BY positive - negative, chunk_id) AS rank FROM scored)
@@ -75,7 +73,7 @@ def section_histogram(spark, folder):
     return sentiment.section_histogram(_chunks(spark, folder))
 
 
-@query(f"WITH {CHUNKS}, h AS (SELECT section, quarter, 100.0 * {count_of(T.HEDGE_PATTERN)} / greatest(1, words) AS h FROM chunks) SELECT section, " + ", ".join(f"round(avg(h) FILTER (WHERE quarter = '{q}'), 6) + 0.0 AS {q}" for q in ("Q1", "Q2", "Q3", "Q4")) + " FROM h GROUP BY section")
+@query(f"WITH {CHUNKS}, h AS (SELECT section, quarter, 100.0 * {count_of(E.HEDGING)} / greatest(1, words) AS h FROM chunks) SELECT section, " + ", ".join(f"round(avg(h) FILTER (WHERE quarter = '{q}'), 6) + 0.0 AS {q}" for q in ("Q1", "Q2", "Q3", "Q4")) + " FROM h GROUP BY section")
 def heatmap_pivot(spark, folder):
     return rounded(sentiment.hedging_by_section(_chunks(spark, folder)))
 
@@ -239,7 +237,7 @@ def analyst_latest(spark, folder):
     return rounded(quality.latest_analyst(_analysts(spark, folder)).withColumn("fetch_date", F.col("fetch_date").cast("string")))
 
 
-@query(f"""WITH {ANALYSTS}, c AS (SELECT ticker, count(*) FILTER (WHERE regexp_matches(rating, '{quality.UP}')) AS ups, count(*) FILTER (WHERE NOT regexp_matches(rating, '{quality.UP}') AND regexp_matches(rating, '{quality.DOWN}')) AS downs FROM ad GROUP BY ticker)
+@query(f"""WITH {ANALYSTS}, c AS (SELECT ticker, count(*) FILTER (WHERE regexp_matches(rating, '{E.RATED_UP}')) AS ups, count(*) FILTER (WHERE NOT regexp_matches(rating, '{E.RATED_UP}') AND regexp_matches(rating, '{E.RATED_DOWN}')) AS downs FROM ad GROUP BY ticker)
 SELECT ticker, ups, downs, round(greatest(-1, least(1, (ups - downs) / (ups + downs + 1))), 6) + 0.0 AS revision_direction FROM c""")
 def analyst_revision(spark, folder):
     return rounded(quality.revision_moves(_analysts(spark, folder), "rating"))
@@ -305,19 +303,19 @@ def watchlist(spark, folder):
 
 # --- text
 
-@query(f"SELECT doc_id, {count_of(T.WORD)} AS words, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens, {count_of(T.NUMBER_PATTERN)} AS numbers FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, {count_of(E.WORD)} AS words, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens, {count_of(E.FINANCIAL_NUMBER)} AS numbers FROM documents WHERE text IS NOT NULL")
 def word_token_counts(spark, folder):
     t = F.col("text")
     return table(spark, folder, "documents").where("text is not null").select("doc_id", T.word_count(t).alias("words"), T.token_count(t).alias("tokens"), T.financial_numbers(t).alias("numbers"))
 
 
-@query(f"""WITH c AS (SELECT doc_id, {count_of(T.POSITIVE_PATTERN)} AS p, {count_of(T.NEGATIVE_PATTERN)} AS n FROM documents WHERE text IS NOT NULL)
+@query(f"""WITH c AS (SELECT doc_id, {count_of(E.POSITIVE)} AS p, {count_of(E.NEGATIVE)} AS n FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CASE WHEN p = 0 AND n = 0 THEN 'neutral' WHEN p > 1.5 * n THEN 'positive' WHEN n > 1.5 * p THEN 'negative' ELSE 'neutral' END AS tone FROM c""")
 def quick_sentiment(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", T.quick_sentiment(F.col("text")).alias("tone"))
 
 
-_QUARTER = "CASE " + " ".join(f"WHEN regexp_matches(lower({{c}}), '{p}') THEN '{q}'" for q, p in T.QUARTERS.items()) + " END"
+_QUARTER = E.QUARTER
 
 
 @query(f"SELECT DISTINCT guidance_id, {_QUARTER.format(c='raw_text')} AS quarter FROM guidance WHERE raw_text IS NOT NULL")
@@ -326,9 +324,9 @@ def quarter_infer(spark, folder):
 
 
 TAGGED = f"""SELECT chunk_id, ticker,
-  CASE WHEN section NOT IN ('qa', 'prepared_remarks') AND regexp_matches(text, '{T.GUIDANCE_PATTERN}') AND {count_of(T.NUMBER_PATTERN)} > 0 THEN 'guidance'
-    WHEN section = 'unknown' AND regexp_matches(text, '{T.RISK_PATTERN}') THEN 'risk_factors' WHEN section = 'unknown' AND regexp_matches(text, '{T.HIGHLIGHT_PATTERN}') THEN 'financial_statements' ELSE section END AS section,
-  coalesce({_QUARTER.format(c='text')}, quarter) AS quarter, year, {count_of(T.NUMBER_PATTERN)} > 0 AS contains_numbers FROM chunks"""
+  CASE WHEN section NOT IN ('qa', 'prepared_remarks') AND regexp_matches(text, '{E.GUIDANCE}') AND {count_of(E.FINANCIAL_NUMBER)} > 0 THEN 'guidance'
+    WHEN section = 'unknown' AND regexp_matches(text, '{E.RISK}') THEN 'risk_factors' WHEN section = 'unknown' AND regexp_matches(text, '{E.HIGHLIGHT}') THEN 'financial_statements' ELSE section END AS section,
+  CASE WHEN quarter = 'Q4' AND form IN ('10-K', '10-K/A') THEN quarter ELSE coalesce({_QUARTER.format(c='text')}, quarter) END AS quarter, year, {count_of(E.FINANCIAL_NUMBER)} > 0 AS contains_numbers FROM chunks"""
 
 
 @query(f"WITH {CHUNKS} {TAGGED}")
@@ -336,9 +334,9 @@ def tag_chunks(spark, folder):
     return chunking.tag(_chunks(spark, folder)).drop("tone")
 
 
-@query(f"WITH {CHUNKS}, t AS ({TAGGED}) SELECT * FROM t WHERE section = 'guidance' AND contains_numbers")
+@query(f"WITH {CHUNKS}, t AS ({TAGGED}) SELECT t.* FROM t JOIN chunks c ON t.chunk_id = c.chunk_id WHERE t.section = 'guidance' OR (t.contains_numbers AND regexp_matches(c.text, '{E.GUIDANCE}'))")
 def guidance_chunks(spark, folder):
-    return chunking.guidance_chunks(chunking.tag(_chunks(spark, folder))).drop("tone")
+    return chunking.guidance_chunks(chunking.tag(_chunks(spark, folder), keep_text=True)).drop("tone", "text")
 
 
 @query(r"""SELECT DISTINCT guidance_id, round(CASE WHEN regexp_extract(raw_text, '(?i)(-?)\$?\s*(\d[\d,]*(?:\.\d+)?)(?:\s*(trillion|billion|million|thousand|bn|mn|[tbmk])\b)?', 1) = '-' THEN -1 ELSE 1 END

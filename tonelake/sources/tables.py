@@ -28,10 +28,12 @@ def padded_cik(c="cik"):
 
 
 def chunks(documents: DataFrame) -> DataFrame:
-    """chunk_id, text, ticker, section, quarter, year, words of every document with text, company and period."""
+    """chunk_id, text, ticker, form, section, quarter, year, words of every document with text, company and period; the form as source and quarter tell it."""
     section = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in SECTIONS.items() for v in kv]), F.col("source")), F.lit("unknown"))
+    report = F.when(F.col("quarter").isin("Q4", "Annual"), "10-K").otherwise("10-Q")
+    form = F.when(F.col("source").isin("filing_mda", "filing_risk"), report).when(F.col("source") == "call_excerpt", "transcript").when(F.col("source") == "press_release", "8-K").otherwise("other")
     return spread(documents.select("doc_id", "text", "source", "ticker", "quarter", "year")).where("text <> '' and trim(ticker) <> '' and quarter is not null and year is not null").select(
-        F.col("doc_id").alias("chunk_id"), "text", ticker().alias("ticker"), section.alias("section"), "quarter", "year", T.word_count(F.col("text")).alias("words")
+        F.col("doc_id").alias("chunk_id"), "text", ticker().alias("ticker"), form.alias("form"), section.alias("section"), "quarter", "year", T.word_count(F.col("text")).alias("words")
     )
 
 
