@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tonelake.functions import dates as D
 from tonelake.functions import labels, numbers
 from tonelake.functions import text as T
-from tonelake.operators import backtest, chunking, drift, evaluation, guidance, pairs, quality, vectors
+from tonelake.operators import articles, backtest, chunking, drift, evaluation, guidance, pairs, quality, vectors
 
 
 def one(spark, column):
@@ -63,9 +63,11 @@ def test_text(spark):
 
 
 def test_guidance(spark):
-    texts = spark.createDataFrame([(1, "We expect revenue of $1,200 million to $1.3 billion."), (2, "EPS of $1.50 to $1.60"), (3, "nothing here")], "id long, text string")
-    got = {r["id"]: (r["metric"], r["low"], r["high"]) for r in guidance.extract_guidance(texts, "id").collect()}
-    assert got[1] == ("revenue", 1.2e9, 1.3e9) and got[2] == ("EPS", 1.5, 1.6) and 3 not in got
+    texts = spark.createDataFrame([(1, "For fiscal 2025 we expect revenue of $1.2 to $1.3 billion, and capex of 300 million."), (2, "We guide diluted EPS of $1.60 to $1.50"), (3, "nothing here"), (4, None), (5, "Expected growth of 5% to 7%, gross margin of 41.5%")], "id long, text string")
+    got = sorted((r["id"], r["metric"], r["low"], r["high"], r["unit"], r["confidence"], r["fiscal_period"], r["is_explicit"]) for r in guidance.extract_guidance(texts, "id").collect())
+    assert got == [(1, "capex", 3e8, None, "USD", 0.8, "fiscal 2025", False), (2, "EPS", 1.5, 1.6, "USD/share", 0.85, "", True), (5, "growth", 5.0, 7.0, "%", 0.75, "", True), (5, "margin", 41.5, None, "%", 0.8, "", False)]
+    # the first number has no magnitude of its own, and 1.2 dollars are no revenue
+    assert guidance.extract_guidance(texts.limit(0), "id").count() == 0
     g = spark.createDataFrame([(1, "A", "Q4", 2023, "EPS", 1.0, 2.0, 0.5), (2, "A", "Q1", 2023, "EPS", None, None, 0.5)], "guidance_id long, ticker string, quarter string, year int, metric string, value_low double, value_high double, confidence_score double")
     f = spark.createDataFrame([("x", "A", "Q1", 2024, False, date(2024, 5, 1), 1.5, 1.0, 1.0, 0.4), ("y", "A", "Q1", 2024, True, date(2024, 6, 1), 3.0, 1.0, 1.0, 0.4)], "accession_number string, ticker string, quarter string, year int, is_amendment boolean, filed_date date, eps_diluted double, revenue double, capex double, gross_margin double")
     got = {r["guidance_id"]: (r["actual"], r["accuracy"]) for r in guidance.match_guidance(g, f).collect()}
@@ -73,9 +75,12 @@ def test_guidance(spark):
 
 
 def test_every_amount_is_extracted(spark):
-    texts = spark.createDataFrame([(1, "Revenue of $5 million fell. We expect revenue of $7 million, later revenue of $7.0 million."), (2, "EPS of $5,000 was a slip. EPS of $2.50 is right."), (3, "Revenue, as we said, was not what we hoped, revenue of $3 million")], "id long, text string")
-    got = sorted((r["id"], r["metric"], r["low"], r["high"]) for r in guidance.extract_guidance(texts, "id").collect())
-    assert got == [(1, "revenue", 5e6, 5e6), (1, "revenue", 7e6, 7e6), (2, "EPS", 2.5, 2.5), (3, "revenue", 3e6, 3e6)]
+    texts = spark.createDataFrame([(1, "We expect revenue of $5 million. We expect revenue of $7 million, and expect revenue of $7.0 million."), (2, "EPS guidance of $5000.0 was a slip. EPS guidance of $2.50 is right."), (3, "We expect revenue of $1,200 million.")], "id long, text string")
+    got = sorted((r["id"], r["metric"], r["low"]) for r in guidance.extract_guidance(texts, "id").collect())
+    assert got == [(1, "revenue", 5e6), (1, "revenue", 7e6), (2, "EPS", 2.5)]
+    assert [r["low"] for r in guidance.extract_guidance(texts.where("id = 3"), "id", grouped=True).collect()] == [1.2e9]
+    near = guidance.extract_guidance(texts.where("id = 2"), "id").first()
+    assert near["raw_text"] == "$5000.0 was a slip. EPS guidance of $2.50 is right."
 
 
 def test_prices_and_trades(spark):
@@ -142,11 +147,43 @@ def test_chunking(spark):
     assert len(rows) > 2 and rows[0]["total_chunks"] == len(rows)
     assert rows[1]["chunk"].split(". ")[0] in rows[0]["chunk"]
     turns = spark.createDataFrame([(1, 0, "Operator", "x" * 60), (1, 1, "Analyst", "q" * 60), (1, 2, "CEO", "a" * 60), (1, 3, "CFO", "b" * 60)], "id int, turn_index int, role string, body string")
-    assert [r["kind"] for r in chunking.question_pairs(turns, "id").orderBy("turn_index").collect()] == ["pair", "statement"]
+    assert [r["speaker"] for r in chunking.question_pairs(turns, "id").orderBy("turn_index").collect()] == ["QA_PAIR", "CFO"]
+    lone = chunking.question_pairs(turns.where("role = 'Analyst'"), "id").collect()
+    assert len(lone) == 1 and lone[0]["body"].endswith("A:")
     s = spark.createDataFrame([("f", "Item 1A. Risk Factors " + "x " * 200 + "Item 2. Management's Discussion and Analysis " + "y " * 200), ("g", "no heading")], "id string, text string")
     assert sorted((r["id"], r["section"]) for r in chunking.sections(s, "id").collect()) == [("f", "mda"), ("f", "risk_factors"), ("g", "mda")]
 
 
+def test_chunks_by_form(spark):
+    report = "Item 1A. Risk Factors " + "We may lose. " * 60 + "Item 2. Management's Discussion and Analysis " + "Sales fell. " * 60
+    rows = [("a", "X", "10-Q", "Q1", 2024, report), ("b", "X", "8-K", "Q1", 2024, "Sales rose by $5 million. " * 20), ("c", "X", None, "Q1", 2024, "A letter. " * 30), ("d", "X", "10-K", "Q4", 2024, "")]
+    got = chunking.filing_chunks(spark.createDataFrame(rows, "doc string, ticker string, form string, quarter string, year int, text string"))
+    kinds = {(r["doc"], r["section"], r["strategy"]) for r in got.collect()}
+    assert kinds == {("a", "risk_factors", "section_aware"), ("a", "mda", "section_aware"), ("b", "press_release", "semantic"), ("c", "unknown", "fixed_overlap")}
+    again = chunking.filing_chunks(spark.createDataFrame(rows[::-1], "doc string, ticker string, form string, quarter string, year int, text string"))
+    assert {r["chunk_id"] for r in got.collect()} == {r["chunk_id"] for r in again.collect()} and all(r["contains_numbers"] == (r["doc"] == "b") for r in got.collect())
+    turns = [("t", "X", "Q1", 2024, s, i, sp, role, body) for s, i, sp, role, body in [("prepared_remarks", 0, "Op", "Operator", "welcome to all of you"), ("prepared_remarks", 1, "Ann", "CEO", "We did well in the year."), ("qa", 2, "Bo", "Analyst", "What about the margins of the year?"), ("qa", 3, "Ann", "CEO", "They were fine, we expect more of it."), ("qa", 4, "Cy", "unknown", "This turn is left out, whatever it says.")]]
+    calls = chunking.call_chunks(spark.createDataFrame(turns, "doc string, ticker string, quarter string, year int, section string, turn_index int, speaker string, role string, body string"))
+    assert [(r["section"], r["speaker"], r["chunk_index"], r["total_chunks"]) for r in calls.orderBy("chunk_index").collect()] == [("prepared_remarks", "CEO", 0, 2), ("guidance", "QA_PAIR", 1, 2)]
+
+
+def test_marked_turns(spark):
+    df = spark.createDataFrame([(1, "Ann Lee -- CEO: We did very well.\nQuestion-and-Answer Session\nBo Ray -- Analyst: What about the costs?\n12: no name"), (2, "No label, but some text"), (3, ""), (4, None)], "id int, text string")
+    got = sorted((r["id"], r["section"], r["turn_index"], r["speaker"], r["role"]) for r in chunking.marked_turns(df, "id").collect())
+    assert got == [(1, "prepared_remarks", 0, "Ann Lee", "CEO"), (1, "qa", 0, "Bo Ray", "Analyst"), (2, "prepared_remarks", 0, "Unknown", "unknown")]
+    assert [r["speakers"] for r in chunking.speakers(chunking.marked_turns(df, "id"), "id").orderBy("id").collect()] == [["Ann Lee", "Bo Ray"], ["Unknown"]]
+
+
+def test_articles(spark):
+    page = "<div class='article-body'>" + "".join(f"<p>{p}</p>" for p in ("<strong>Ann Lee -- Chief Executive Officer:</strong> We did very well this year.", "And we go on.", "<b>Bo Ray -- Bay Capital:</b>", "What about the costs of it?", "<strong>Cy Doe:</strong> no", "<b>Ed Fox:</b> That is all we have today.")) + "</div>"
+    df = spark.createDataFrame([(1, page), (2, "<p>one</p>"), (3, None)], "id int, html string")
+    got = [tuple(r) for r in articles.turns(df, "id").orderBy("turn_index").collect()]
+    assert got == [(1, 0, "Ann Lee", "CEO", "issuer", "We did very well this year. And we go on."), (1, 1, "Bo Ray", "Analyst", "Bay Capital", "What about the costs of it?"), (1, 2, "Ed Fox", "Executive", "Unknown", "That is all we have today.")]
+    pages = spark.createDataFrame([("ABC", 0, "/x/abc-q2-2023", "ABC other"), ("ABC", 1, "https://h/abc", "ABC 2024 third quarter call"), ("ABC", 2, "/abc-q3-2024", "later")], "page_ticker string, n int, href string, text string")
+    calls = spark.createDataFrame([("ABC", "Q3", 2024), ("ABC", "Q2", 2023), ("ABC", "Q1", 2020)], "ticker string, quarter string, year int")
+    assert sorted(tuple(r) for r in articles.links(pages, calls, "https://b").collect()) == [("ABC", "Q2", 2023, "https://b/x/abc-q2-2023"), ("ABC", "Q3", 2024, "https://h/abc")]
+
+
 def test_long_texts_keep_their_end(spark):
     t = spark.createDataFrame([(1, " ".join(f"Sentence {i} " + "word " * 400 + "ends." for i in range(700)))], "id int, text string")
     rows = chunking.windows(t, "id").orderBy("chunk_index").collect()

@@ -129,12 +129,12 @@ def test_pipeline_reads_filings_and_calls(spark, tmp_path):
 
     told = "Management expects revenue of $7 million. " * 400
     filing = "Item 1A. Risk Factors " + "x " * 200 + "Item 2. Management's Discussion and Analysis " + told + "The tail of the filing."
-    f = spark.createDataFrame([("a", " abc", None, None, date(2024, 5, 9), filing, datetime(2024, 5, 9)), ("a", "ABC", None, None, date(2024, 5, 9), "later load", datetime(2024, 6, 9))], "accession_number string, ticker string, quarter string, year int, period_of_report date, raw_text string, loaded_at timestamp")
-    c = spark.createDataFrame([(1, "ABC", "Q2", 2024, "Jane Doe: Good day to all.\nJohn Roe: Thank you, the first question is on margins.", None), (2, "ABC", "Q2", 2024, "no label, yet text of a call", None)], "transcript_id long, ticker string, quarter string, year int, raw_text string, loaded_at timestamp")
+    f = spark.createDataFrame([("a", " abc", "10-Q", None, None, date(2024, 5, 9), filing, datetime(2024, 5, 9)), ("a", "ABC", "10-Q", None, None, date(2024, 5, 9), "later load", datetime(2024, 6, 9))], "accession_number string, ticker string, filing_type string, quarter string, year int, period_of_report date, raw_text string, loaded_at timestamp")
+    c = spark.createDataFrame([(1, "ABC", "Q2", 2024, "Jane Doe -- CEO: Good day to all.\nJohn Roe -- Analyst: Thank you, my question of today is on margins.\nJane Doe -- CEO: They were fine.", None), (2, "ABC", "Q2", 2024, "no label, yet text of a call", None)], "transcript_id long, ticker string, quarter string, year int, raw_text string, loaded_at timestamp")
     filings, calls = pipeline.filing_chunks(f), pipeline.call_chunks(c)
     assert filings.where("section = 'risk_factors'").count() == 1 and filings.where("section = 'mda' and quarter = 'Q2' and year = 2024 and ticker = 'ABC'").count() > 5
     assert filings.where("text like '%The tail of the filing.'").count() == 1 and filings.where("text like '%later load%'").isEmpty()
-    assert sorted((r["section"], r["text"]) for r in calls.collect()) == [("prepared_remarks", "Good day to all."), ("prepared_remarks", "no label, yet text of a call"), ("qa", "Thank you, the first question is on margins.")]
+    assert sorted((r["section"], r["text"]) for r in calls.collect()) == [("prepared_remarks", "Good day to all."), ("prepared_remarks", "no label, yet text of a call"), ("qa", "Q: Thank you, my question of today is on margins.\n\nA: They were fine.")]
     assert filings.unionByName(calls).select("chunk_id").distinct().count() == filings.count() + 3
     found = pipeline.found_guidance(filings.selectExpr("*", "true as contains_numbers"))
     assert {(r["ticker"], r["quarter"], r["metric"], r["value_low"]) for r in found.collect()} == {("ABC", "Q2", "revenue", 7e6)}

@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from tonelake.functions.dates import next_period, period_index
 from tonelake.functions.numbers import accuracy, bias, clamp, midpoint
 
 # Bounds of a plausible amount by metric.
 BOUNDS = {"EPS": (0.01, 1000.0), "revenue": (1e4, 5e12), "capex": (1e4, 1e12), "margin": (0.01, 100.0), "growth": (-100.0, 10000.0), "other": (0.0, None)}
-# Metric, unit, confidence and pattern of an amount or range in a sentence.
-_AMOUNT = r"(?:of|at|between|from|to be|around|approximately)?\s*\$?\s*(\d[\d,]*(?:\.\d+)?)\s*(million|billion|thousand|%|per cent|percent|basis points)?(?:\s*(?:to|and|-|–)\s*\$?\s*(\d[\d,]*(?:\.\d+)?))?\s*(million|billion|thousand|%|per cent|percent|basis points)?"
-PATTERNS = (("EPS", "USD/share", 0.85, r"(?i)\b(?:EPS|earnings per share)\b[^.$\d]{0,30}" + _AMOUNT), ("revenue", "USD", 0.85, r"(?i)\b(?:revenues?|net sales)\b[^.$\d]{0,30}" + _AMOUNT), ("capex", "USD", 0.80, r"(?i)\b(?:capex|capital (?:expenditures?|spending))\b[^.$\d]{0,30}" + _AMOUNT), ("margin", "%", 0.80, r"(?i)\bmargin\b[^.$\d]{0,30}" + _AMOUNT), ("growth", "%", 0.75, r"(?i)\bgrowth\b[^.$\d]{0,30}" + _AMOUNT))
+# What stands between the ends of a range, magnitudes, mentions of a period, and metric, unit, confidence and pattern of guided amounts.
+_TO = r"\s*(?:to|-|and|–|—)\s*"
+_SIZE = r"billion|million|B|M|bn|mm"
+MAGNITUDES = {"b": 1e9, "bn": 1e9, "bil": 1e9, "billion": 1e9, "m": 1e6, "mm": 1e6, "mil": 1e6, "million": 1e6, "k": 1e3, "thousand": 1e3, "t": 1e12, "tn": 1e12, "trillion": 1e12}
+PERIOD = r"(?:(?:Q[1-4]\s+\d{4})|(?:fiscal\s+(?:year\s+)?\d{4})|(?:FY\s*\d{2,4})|(?:(?:first|second|third|fourth)\s+quarter(?:\s+of\s+\d{4})?)|(?:full.year\s+\d{4})|(?:next\s+(?:quarter|year|fiscal\s+year)))"
+_CENTS = r"\$?(\d+\.\d{1,4})(?:" + _TO + r"\$?(\d+\.\d{1,4}))?"
+_DOLLARS = rf"\$?(\d+(?:\.\d+)?)\s*({_SIZE})?(?:{_TO}\$?(\d+(?:\.\d+)?)\s*({_SIZE})?)?"
+_SHARE = rf"(\d+(?:\.\d+)?)\s*%?(?:{_TO}(\d+(?:\.\d+)?)\s*%)?"
+PATTERNS = (
+    ("EPS", "USD/share", 0.85, r"(?:expect|guide|guidance|project|anticipate)\w*\s+(?:earnings\s+per\s+share|EPS|diluted\s+EPS)\s+(?:of\s+|to\s+be\s+|between\s+|in\s+(?:the\s+)?range\s+of\s+)?" + _CENTS),
+    ("EPS", "USD/share", 0.85, r"EPS\s+guidance\s+of\s+" + _CENTS),
+    ("revenue", "USD", 0.85, r"(?:expect|guide|project|anticipate|forecast)\w*\s+(?:(?:total\s+)?(?:net\s+)?revenue[s]?|(?:net\s+)?sales)\s+(?:of\s+|to\s+(?:be\s+)?|between\s+|in\s+(?:the\s+)?range\s+of\s+)?" + _DOLLARS),
+    ("revenue", "USD", 0.85, r"revenue\s+(?:guidance|outlook)\s+of\s+" + _DOLLARS),
+    ("capex", "USD", 0.80, r"(?:capital\s+expenditure[s]?|capex)\s+(?:of\s+|approximately\s+|between\s+)?" + _DOLLARS),
+    ("margin", "%", 0.80, r"(?:gross|operating|net|EBITDA)\s+margin\s+(?:of\s+|approximately\s+|between\s+|expected\s+(?:at|to\s+be)\s+)?" + _SHARE),
+    ("growth", "%", 0.75, r"(?:expect|anticipate|project)\w*\s+(?:revenue\s+)?growth\s+(?:of\s+|approximately\s+|between\s+)?" + _SHARE),
+)
+#: characters around a match in which a period is looked for, and characters kept on both sides of its text
+NEAR, AROUND = 100, 20
+_MENTIONED = r"(?i)eps|earnings\s+per\s+share|revenue|sales|capital\s+expenditure|capex|margin|growth"
 
 
 def filing_of_period(filings: DataFrame) -> DataFrame:
@@ -68,24 +90,51 @@ def plausible(metric, value):
     return F.coalesce(value.between(bound(0), bound(1)), F.lit(False))
 
 
-def extract_guidance(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, metric, low, high, unit, confidence of every plausible amount or range that a metric's pattern finds in a text; equal ones (to four places) once for each text.
+def _reader(grouped: bool):
+    """A function from a text to its guided amounts, equal ones once: of equal ones (to four places) the most confident, then the first."""
+    number = (lambda p: p.replace(r"\d+(?:\.\d+)?", r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?")) if grouped else lambda p: p
+    compiled = [(m, u, c, re.compile(number(p), re.I)) for m, u, c, p in PATTERNS]
+    period = re.compile(PERIOD, re.I)
+
+    def read(text: str | None) -> list[tuple]:
+        best: dict[tuple, tuple] = {}
+        for metric, unit, confidence, pattern in compiled:
+            least, most = BOUNDS[metric]
+            for m in pattern.finditer(text or ""):
+                first, first_size, second, second_size = m.groups() if pattern.groups == 4 else (m[1], None, m[2], None)
+                scale = lambda x, size: float(x.replace(",", "")) * MAGNITUDES.get((size or "").lower(), 1.0)
+                low = scale(first, first_size)
+                high = scale(second, second_size or first_size) if second else None
+                if low < least or most is not None and low > most:
+                    continue
+                near = period.search(text[max(0, m.start() - NEAR) : m.start() + NEAR])
+                low, high = (min(low, high), max(low, high)) if high else (low, None)
+                key = (metric, round(low, 4), None if high is None else round(high, 4))
+                if key not in best or confidence > best[key][4]:
+                    best[key] = (metric, low, high, unit, confidence, near[0].strip() if near else "", text[max(0, m.start() - AROUND) : m.end() + AROUND].strip(), high is not None)
+        return list(best.values())
+
+    return read
+
+
+_FOUND = ArrayType(StructType([StructField(n, t) for n, t in (("metric", StringType()), ("low", DoubleType()), ("high", DoubleType()), ("unit", StringType()), ("confidence", DoubleType()), ("fiscal_period", StringType()), ("raw_text", StringType()), ("is_explicit", BooleanType()))]))
+
+
+def _found(grouped: bool):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        read = _reader(grouped)
+        for texts in batches:
+            yield texts.map(read)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, _FOUND)
+
+
+def extract_guidance(texts: DataFrame, key: str, text: str = "text", grouped: bool = False) -> DataFrame:
+    """key, metric, low, high (null for a lone amount), unit, confidence, fiscal_period, raw_text, is_explicit: every plausible amount or range that a metric's patterns find in a text.
 
-    Of equal ones the most confident stays, then the first in the text. key tells texts apart.
+    All matches of all patterns count; equal ones of a metric once for each text. The period is the first one mentioned around the match. With `grouped` a number
+    may have thousands separators; without, digits after a comma are another number. Only texts that mention a metric leave the JVM. key tells texts apart.
     """
-    sizes = F.create_map(*[F.lit(v) for kv in {"billion": 1e9, "million": 1e6, "thousand": 1e3, "basis points": 0.01}.items() for v in kv])
-    scale = lambda u: F.coalesce(F.try_element_at(sizes, F.lower(u)), F.lit(1.0))
-    number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("double")
-    kinds = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit"), F.lit(c).alias("confidence"), F.lit(p).alias("pattern")) for m, u, c, p in PATTERNS])
-    each = texts.select(key, F.col(text).alias("t"), F.inline(kinds)).where("t rlike pattern")
-    # A generator keeps the filters on amounts from being copied into the extraction. No pattern looks beyond its match, so each match gives its groups again.
-    each = each.select(key, "metric", "unit", "confidence", "pattern", F.posexplode(F.expr("regexp_extract_all(t, pattern, 0)")).alias("n", "m"))
-    part = F.array(F.struct(*[F.expr(f"regexp_extract(m, pattern, {i})").alias(f"p{i}") for i in range(1, 5)]))
-    each = each.select(key, "metric", "unit", "confidence", "n", F.inline(part))
-    low = number(F.col("p1")) * scale(F.coalesce(F.nullif(F.col("p2"), F.lit("")), F.col("p4")))
-    high = number(F.col("p3")) * scale(F.coalesce(F.nullif(F.col("p4"), F.lit("")), F.col("p2")))
-    out = each.select(key, "metric", "unit", "confidence", "n", low.alias("lo"), F.coalesce(high, low).alias("hi")).where("lo is not null")
-    out = out.select(key, "metric", F.least("lo", "hi").alias("low"), F.greatest("lo", "hi").alias("high"), "unit", "confidence", "n")
-    out = out.where(plausible(F.col("metric"), F.col("low")) & plausible(F.col("metric"), F.col("high")))
-    best = F.min_by(F.struct("low", "high", "unit", "confidence"), F.struct(-F.col("confidence"), F.col("n")))
-    return out.groupBy(key, "metric", F.round("low", 4).alias("l"), F.round("high", 4).alias("h")).agg(best.alias("r")).select(key, "metric", "r.*")
+    rows = texts.where(F.col(text).rlike(_MENTIONED)).select(key, _found(grouped)(F.col(text)).alias("found"))
+    return rows.select(key, F.inline("found"))

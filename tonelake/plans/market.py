@@ -355,14 +355,6 @@ def softmax(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", F.transform(p, lambda x: F.round(x, 6)).alias("p"))
 
 
-@query()
-def semantic_chunks(spark, folder):
-    """The sentences of every document, embedded."""
-    d = spread(table(spark, folder, "documents").where("doc_id is not null and text <> ''").dropDuplicates(["doc_id"]))
-    sentences = d.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
-    return chunking.semantic_chunks(models.embed(sentences, "sentence"), "doc_id")
-
-
 @query()
 def qa_loop(spark, folder):
     """A question for each company."""

@@ -16,29 +16,26 @@ def _hashed_id(*columns):
     return F.shiftrightunsigned(F.xxhash64(*columns), 2) + F.lit(1 << 62)
 
 
-def _windowed(texts: DataFrame, key: str, body: str) -> DataFrame:
-    """Chunks as tables.chunks() gives them, out of texts (key, ticker, section, quarter, year, n, body) of any length."""
-    usable = texts.where("trim(ticker) <> '' and quarter is not null and year is not null")
-    named = usable.select(F.struct(F.lit(key).alias("kind"), F.col(key).cast("string").alias("id"), "n", "ticker", "section", "quarter", "year").alias("k"), F.col(body).alias("body"))
-    rows = chunking.windows(named, "k", "body")
-    return rows.select(_hashed_id("k.kind", "k.id", "k.n", "chunk_index").alias("chunk_id"), F.col("chunk").alias("text"), "k.ticker", "k.section", "k.quarter", "k.year", "words")
+def _stored(chunks: DataFrame) -> DataFrame:
+    """Chunks as tables.chunks() gives them: those of a company and period, their id as a whole number of at least 2^60, so that it is no document's."""
+    number = F.conv(F.substring("chunk_id", 1, 15), 16, 10).cast("bigint") + F.lit(1 << 60)
+    return chunks.where("trim(ticker) <> '' and quarter is not null and year is not null").select(number.alias("chunk_id"), "text", "ticker", "form", "section", "quarter", "year", "words")
 
 
 def filing_chunks(filings: DataFrame) -> DataFrame:
-    """Windows of the sections of every filing with text, company and period."""
-    about = ["accession_number", "ticker", "quarter", "year"]
-    texts = spread(tables.filing_texts(filings)).select(F.struct(*about).alias("k"), "text")
-    return _windowed(chunking.sections(texts, "k").select("k.*", "section", "n", "body"), "accession_number", "body")
+    """Chunks of every filing with text, company and period."""
+    return _stored(chunking.filing_chunks(spread(tables.filing_texts(filings)).withColumnRenamed("accession_number", "doc")))
 
 
 def call_chunks(transcripts: DataFrame) -> DataFrame:
-    """Windows of the turns of every call with text, company and period; a call without a label is one turn of prepared remarks."""
+    """Chunks of every call with text, company and period; a call without a label is one turn of prepared remarks."""
     about = ["transcript_id", "ticker", "quarter", "year"]
     texts = stage(spread(tables.call_texts(transcripts)).select(F.struct(*about).alias("k"), "text"), "calls")
-    turns = stage(chunking.first_question(chunking.line_turns(texts, "k"), "k").select("k", "section", F.col("turn_index").alias("n"), "body"), "turns")
+    turns = stage(chunking.first_question(chunking.line_turns(texts, "k"), "k"), "turns")
     bare = texts.join(turns.select(F.col("k.transcript_id").alias("id")).distinct(), F.col("k.transcript_id") == F.col("id"), "left_anti")
-    rows = turns.unionByName(bare.select("k", F.lit("prepared_remarks").alias("section"), F.lit(0).alias("n"), F.col("text").alias("body")))
-    return _windowed(rows.select("k.*", "section", "n", "body"), "transcript_id", "body")
+    bare = bare.select("k", F.lit(0).alias("turn_index"), F.lit("Unknown").alias("speaker"), F.lit("unknown").alias("role"), F.col("text").alias("body"), F.lit("prepared_remarks").alias("section"))
+    rows = turns.select("k", "turn_index", "speaker", "role", "body", "section").unionByName(bare)
+    return _stored(chunking.call_chunks(rows.select("k.*", "turn_index", "speaker", "role", "body", "section").withColumn("doc", F.col("transcript_id").cast("string"))))
 
 
 def ingest(spark: SparkSession, folder: str, out: str, companies: DataFrame | None = None) -> None:

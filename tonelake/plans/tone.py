@@ -201,21 +201,6 @@ def guidance_dedup(spark, folder):
     return guidance.distinct_guidance(tables.guidance(table(spark, folder, "guidance"))).select("guidance_id")
 
 
-@query()
-def guidance_extract(spark, folder):
-    return guidance.extract_guidance(table(spark, folder, "guidance").where("guidance_id is not null").dropDuplicates(["guidance_id"]), "guidance_id", "raw_text")
-
-
-@query()
-def guidance_extract_texts(spark, folder):
-    """The same over whole texts: documents, filings and calls."""
-    named = lambda df, source, key: df.select(F.concat(F.lit(f"{source} "), key).alias("text_id"), "text")
-    d = table(spark, folder, "documents").where("doc_id is not null and text <> ''").dropDuplicates(["doc_id"])
-    f, c = tables.filing_texts(table(spark, folder, "filings")), tables.call_texts(table(spark, folder, "transcripts"))
-    texts = named(d, "document", "doc_id").unionByName(named(f, "filing", "accession_number")).unionByName(named(c, "call", "transcript_id"))
-    return guidance.extract_guidance(texts, "text_id")
-
-
 ACCRUALS = "a AS (SELECT ticker, quarter, year, (x.net_income - x.operating_cash_flow) / nullif(x.total_assets, 0) AS accruals_ratio FROM one)"
 
 
@@ -345,38 +330,3 @@ def guidance_chunks(spark, folder):
     WHEN 't' THEN 1e12 WHEN 'trillion' THEN 1e12 WHEN 'b' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 'billion' THEN 1e9 WHEN 'm' THEN 1e6 WHEN 'mn' THEN 1e6 WHEN 'million' THEN 1e6 WHEN 'k' THEN 1e3 WHEN 'thousand' THEN 1e3 ELSE 1 END, 4) + 0.0 AS value FROM guidance WHERE raw_text IS NOT NULL""")
 def parse_financial_value(spark, folder):
     return rounded(table(spark, folder, "guidance").where("raw_text is not null").select("guidance_id", numbers.parse_financial_value(F.col("raw_text")).alias("value")).distinct(), 4)
-
-
-@query()
-def section_split(spark, folder):
-    return chunking.sections(table(spark, folder, "filings").where("accession_number is not null").dropDuplicates(["accession_number"]).withColumn("text", T.clean_filing(F.col("raw_text"))), "accession_number")
-
-
-@query()
-def chunk_windows(spark, folder):
-    return chunking.windows(table(spark, folder, "documents").where("text <> ''"), "doc_id")
-
-
-@query()
-def sentence_split(spark, folder):
-    return table(spark, folder, "documents").where("text <> ''").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
-
-
-def _turns(spark, folder):
-    return chunking.line_turns(table(spark, folder, "transcripts").where("transcript_id is not null").dropDuplicates(["transcript_id"]), "transcript_id", "raw_text")
-
-
-@query()
-def call_turns(spark, folder):
-    return chunking.first_question(_turns(spark, folder), "transcript_id")
-
-
-@query()
-def qa_pairs(spark, folder):
-    return chunking.question_pairs(_turns(spark, folder), "transcript_id")
-
-
-@query()
-def clean_texts(spark, folder):
-    f = table(spark, folder, "filings").where("accession_number is not null and raw_text is not null").dropDuplicates(["accession_number"])
-    return f.select("accession_number", T.clean_filing(F.col("raw_text")).alias("cleaned"), F.length(T.flat_html(F.col("raw_text"))).alias("flat_length"))

@@ -55,10 +55,10 @@ def _first_load(rows: DataFrame, key: str, *columns: str) -> DataFrame:
 
 
 def filing_texts(rows: DataFrame) -> DataFrame:
-    """accession_number, ticker, quarter, year, text: the cleaned text of each filing once, quarter and year filled from the period."""
-    r = _first_load(rows, "accession_number", "ticker", "quarter", "year", "period_of_report", "raw_text")
+    """accession_number, ticker, form, quarter, year, text: the cleaned text of each filing once, quarter and year filled from the period."""
+    r = _first_load(rows, "accession_number", "ticker", "filing_type", "quarter", "year", "period_of_report", "raw_text")
     period = F.coalesce("quarter", quarter_of(F.col("period_of_report"))).alias("quarter"), F.coalesce("year", F.year("period_of_report")).alias("year")
-    return r.where("raw_text <> ''").select("accession_number", ticker().alias("ticker"), *period, T.clean_filing(F.col("raw_text")).alias("text"))
+    return r.where("raw_text <> ''").select("accession_number", ticker().alias("ticker"), F.col("filing_type").alias("form"), *period, T.clean_filing(F.col("raw_text")).alias("text"))
 
 
 def call_texts(rows: DataFrame) -> DataFrame:
