@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tonelake.functions import dates as D
 from tonelake.functions import labels, numbers
 from tonelake.functions import text as T
-from tonelake.operators import articles, backtest, chunking, drift, evaluation, guidance, pairs, quality, vectors
+from tonelake.functions import prompts
+from tonelake.operators import articles, backtest, chunking, client, drift, evaluation, guidance, pairs, qa, quality, vectors
 
 
 def one(spark, column):
@@ -200,3 +201,87 @@ def test_evaluation(spark):
     assert one(spark, evaluation.intent_of(F.lit("What are the risks?"))) == "risk_assessment"
     moves = spark.createDataFrame([("A", "upgraded to buy"), ("A", "downgrade"), ("A", "hold")], "ticker string, change string")
     assert frame_rows(quality.revision_moves(moves)) == [("A", 1, 1, 0.0)]
+
+
+def qa_chunks(spark):
+    rows = [
+        (1, "Record strong growth and margins improved.", "ABC", "mda", "Q1", 2024, 6), (2, "Margins fell on weak demand and a loss.", "ABC", "qa", "Q1", 2024, 8), (3, "Risk of litigation.", "ABC", "risk_factors", "Q2", 2024, 3),
+        (4, "Peer margins were flat.", "DEF", "mda", "Q1", 2024, 4), (5, "Peer costs rose.", "GHI", "mda", "Q1", 2024, 3), (6, "Inflation slowed in the economy.", "__MACRO__", "unknown", "Q1", 2024, 5),
+    ]
+    return spark.createDataFrame(rows, "chunk_id long, text string, ticker string, section string, quarter string, year int, words int")
+
+
+def test_question_graph(spark):
+    requests = spark.createDataFrame([(1, "abc ", "How do margins compare with peers of the industry and the economy?"), (2, "ABC", "Risk of litigation?"), (3, "NONE", "What about margins?"), (4, None, "no company"), (5, "ABC", None), (None, "ABC", "x")], "request_id long, ticker string, question string")
+    peers = qa.peer_table(spark, {"ABC": ["DEF", "GHI", "JKL", "MNO"]})
+    assert peers.count() == 3 and qa.peer_table(spark).count() == 27
+    got = {r["request_id"]: r for r in qa.answer_each(requests, qa_chunks(spark), peers=peers).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    assert got[1]["intent"] == "comparative_analysis" and got[1]["hops"] == 3 and "PEER 1: DEF" not in got[1]["macro_context"]
+    assert got[2]["intent"] == "risk_assessment" and got[2]["hops"] == 1 and got[2]["answer"].endswith("Risk of litigation.")
+    assert got[3]["context"] == "" and got[3]["grade"] == 0 and got[4]["error"] and got[5]["error"] and got[1]["error"] is None
+
+
+def test_question_graph_with_a_model(spark):
+    from pyspark.sql.types import StringType
+
+    seen = F.udf(lambda p: "general." if p.startswith("Which of these") else "Written from the context." if p else None, StringType())
+    asks = F.udf(lambda p: '{"score": 0.9}' if p.startswith("Context:") else '```json\n{"has_gaps": true, "needs_peer_data": true, "needs_macro_data": true}\n```', StringType())
+    requests = spark.createDataFrame([(1, "ABC", "Anything?")], "request_id long, ticker string, question string")
+    scores = spark.createDataFrame([("ABC", "Q1", 2024, 0.4, 0.1, 0.2, 0.3, 0.4)], "ticker string, quarter string, year int, composite_score double, drift double, guidance double, accruals double, analyst double")
+    alerts = spark.createDataFrame([("ABC", "RED", "tone fell")], "ticker string, alert_level string, alert_reason string")
+    r = qa.answer(requests, qa_chunks(spark), peers=qa.peer_table(spark, {"ABC": ["DEF", "GHI"]}), scores=scores, alerts=alerts, complete=seen, ask_json=asks).first()
+    assert r["intent"] == "general" and r["hops"] == 1 and r["grade"] == 0.9 and r["answer"] == "Written from the context." and r["contradictions"] == 2
+    assert "[PEER 1: DEF" in r["peer_context"] and "Peer costs rose." in r["peer_context"] and "Inflation slowed" in r["macro_context"] and len(r["contexts"]) == 3
+
+
+def test_prompts(spark):
+    none = F.lit(None).cast("array<struct<score: double, source_a: string, source_b: string, interpretation: string>>")
+    assert one(spark, prompts.contradictions_text(none)) == "None detected."
+    many = F.array(*[F.struct(F.lit(0.9).alias("score"), F.lit("a").alias("source_a"), F.lit("b").alias("source_b"), F.lit(f"i{i}").alias("interpretation")) for i in range(7)])
+    said = one(spark, prompts.contradictions_text(many))
+    assert "  5. conflict (score=0.90)\n     Source A: a" in said and "6." not in said
+    text = one(spark, prompts.synthesis(F.lit("ABC"), F.lit("Q1 2024"), F.repeat(F.lit("x"), 7000), F.lit(0.45), {"drift": F.lit(-0.1)}, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0), F.lit("")))
+    assert "Composite score: +0.450 (LONG)" in text and "- drift: -0.100" in text and "Tone alert: GREEN" in text and "None detected." in text and "x" * 6000 in text and "x" * 6001 not in text
+    assert "No context retrieved." in one(spark, prompts.gaps(F.lit("A"), F.lit("q"), F.lit(""))) and one(spark, prompts.extraction(F.repeat(F.lit("y"), 4000))).count("y") == 3001
+    assert one(spark, prompts.quality_check(F.repeat(F.lit("z"), 5000), F.lit("a"))).count("z") == 4000 and "macro_context" in one(spark, prompts.classification(F.lit("q")))
+
+
+def test_client_falls_back():
+    calls, waits = [], []
+
+    def failing(message):
+        def run(system, prompt):
+            calls.append(message)
+            raise RuntimeError(message)
+
+        return run
+
+    good = lambda system, prompt: f"{system}:{prompt}"
+    assert client.complete([failing("429 rate limit"), good], "s", "p", waits.append) == "s:p" and calls == ["429 rate limit"]
+    calls.clear()
+    assert client.complete([failing("connection timeout"), good], "s", "p", waits.append) == "s:p" and len(calls) == 3 and waits == [1.0, 2.0]
+    calls.clear()
+    assert client.complete([failing("bad key")], "s", "p", waits.append) is None and len(calls) == 1
+    assert client.is_rate_limited("HTTP 429") and client.is_retryable("503 unavailable") and not client.is_retryable("bad key")
+
+
+def test_client_column(spark):
+    df = spark.createDataFrame([("a",), (None,)], "p string")
+    assert [r[0] for r in df.select(client.completer(lambda: [lambda s, p: p.upper()])(F.col("p"))).collect()] == ["A", None]
+    assert [r[0] for r in df.select(client.completer(lambda: 1 / 0)(F.col("p"))).collect()] == [None, None]
+
+
+def test_evaluate(spark):
+    rows = [("what margin", "margin rose", ["the margin rose"], "the margin rose"), ("q", "", [], None), (None, "a b", ["a"], None)]
+    got = evaluation.evaluate(spark.createDataFrame(rows, "question string, answer string, contexts array<string>, ground_truth string")).collect()
+    assert (got[0]["faithfulness"], got[0]["answer_relevance"], got[0]["context_precision"], got[0]["context_recall"]) == (1.0, 0.5, 0.45, 1.0)
+    assert got[1]["faithfulness"] is None and got[1]["mean_score"] == 0 and got[2]["faithfulness"] == 0.5 and got[2]["context_recall"] is None
+
+
+def test_numbered_needs_no_single_task(spark):
+    df = spark.range(500).selectExpr("id % 3 as g", "(id * 7919) % 101 as x", "id")
+    got = backtest.numbered(df, ["g"], ["x", "id"], "n")
+    want = df.withColumn("n", F.expr("row_number() over (partition by g order by x, id)").cast("bigint"))
+    assert sorted(map(tuple, got.select("g", "x", "id", "n").collect())) == sorted(map(tuple, want.select("g", "x", "id", "n").collect()))
+    assert backtest.numbered(df.limit(0), ["g"], ["x"], "n").count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tonelake.functions import dates as D
@@ -135,6 +136,55 @@ def curve_statistics(spark, folder):
     return rounded(backtest.curve_statistics(_curve(spark, folder)))
 
 
+_SLICED = f"""{TRADES}, x AS (SELECT 'overall' AS slice, * FROM trades UNION ALL SELECT lower(direction), * FROM trades),
+daily AS (SELECT slice, exit_date AS dt, product(1 + gross_return) AS f FROM x GROUP BY ALL),
+span AS (SELECT slice, CAST(unnest(generate_series(min(dt), max(dt), INTERVAL 1 DAY)) AS DATE) AS dt FROM daily GROUP BY slice),
+grown AS (SELECT coalesce(span.slice, daily.slice) AS slice, coalesce(span.dt, daily.dt) AS dt, coalesce(f, 1.0) AS f FROM (SELECT * FROM span WHERE isodow(dt) < 6) span FULL JOIN daily ON span.dt = daily.dt AND span.slice = daily.slice),
+curve AS (SELECT slice, dt, 100000.0 * product(f) OVER (PARTITION BY slice ORDER BY dt ROWS UNBOUNDED PRECEDING) AS equity FROM grown),
+moves AS (SELECT slice, dt, equity, equity / lag(equity) OVER w - 1 AS r, max(equity) OVER (PARTITION BY slice ORDER BY dt ROWS UNBOUNDED PRECEDING) AS peak FROM curve WINDOW w AS (PARTITION BY slice ORDER BY dt)),
+cs AS (SELECT slice, CASE WHEN count(*) >= 2 THEN pow(greatest(0, arg_max(equity, dt) / arg_min(equity, dt)), 252.0 / count(*)) - 1 ELSE 0 END AS annual_return,
+  CASE WHEN count(r) >= 20 AND stddev_samp(r) > 0 THEN (avg(r) - 0.045 / 252) / stddev_samp(r) * sqrt(252) ELSE 0 END AS sharpe, max((peak - equity) / peak) AS max_drawdown FROM moves GROUP BY slice),
+h AS (SELECT slice, count(*) AS trades, avg(CASE WHEN gross_return > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, avg(gross_return) AS avg_return, coalesce(avg(gross_return) FILTER (WHERE gross_return > 0), 0) AS avg_win, coalesce(avg(gross_return) FILTER (WHERE gross_return <= 0), 0) AS avg_loss FROM x GROUP BY slice),
+rk AS (SELECT slice, row_number() OVER (PARTITION BY slice ORDER BY quality_score, entry_date, ticker, direction) AS a, row_number() OVER (PARTITION BY slice ORDER BY gross_return, entry_date, ticker, direction) AS b FROM x),
+i AS (SELECT slice, CASE WHEN count(*) >= 5 THEN greatest(-1, least(1, 1 - 6 * sum(pow(a - b, 2)) / (count(*) * (CAST(count(*) AS DOUBLE) * count(*) - 1)))) ELSE 0 END AS ic FROM rk GROUP BY slice)"""
+
+
+_REPORTED = lambda x, n, name: _HALF_UP.format(x=f"round({x}, 9)", n=n) + f" + 0.0 AS {name}"
+
+
+@query(f"""WITH {_SLICED} SELECT slice, trades, {_REPORTED('hit_rate', 4, 'hit_rate')}, {_REPORTED('avg_return', 5, 'avg_return')}, {_REPORTED('avg_win', 5, 'avg_win')}, {_REPORTED('avg_loss', 5, 'avg_loss')},
+  {_REPORTED('coalesce(avg_win / nullif(abs(avg_loss), 0), 0)', 3, 'win_loss_ratio')}, {_REPORTED('ic', 4, 'ic')}, {_REPORTED('sharpe', 3, 'sharpe')}, {_REPORTED('max_drawdown', 4, 'max_drawdown')}, {_REPORTED('annual_return', 4, 'annual_return')} FROM h JOIN cs USING (slice) JOIN i USING (slice)""")
+def slice_metrics(spark, folder):
+    return rounded(backtest.slice_metrics(_trades(spark, folder)))
+
+
+@query()
+def metrics_text(spark, folder):
+    return backtest.metrics_text(backtest.slice_metrics(_trades(spark, folder), backtest.benchmark_curve(_prices(spark, folder))))
+
+
+@query(f"""WITH {_SLICED} SELECT CASE slice WHEN 'overall' THEN 'long_short' ELSE 'long_only' END AS variant, CAST(dt AS VARCHAR) AS dt, round(ln(equity), 6) + 0.0 AS log_equity FROM curve WHERE slice <> 'short'""")
+def variant_curves(spark, folder):
+    v = backtest.variants(_trades(spark, folder))
+    return plain(backtest.equity_curve(v, by="variant").select("variant", "dt", F.log("equity").alias("log_equity")))
+
+
+@query(f"WITH {TRADES} SELECT ticker, direction, CAST(entry_date AS VARCHAR) AS entry_date, gross_return, round(gross_return * 100, 2) + 0.0 AS gross_return_pct FROM trades")
+def trade_table(spark, folder):
+    return plain(backtest.trade_table(_trades(spark, folder)).select("ticker", "direction", "entry_date", "gross_return", "gross_return_pct"))
+
+
+_LATE = SIGNALS.replace("make_date(year + CASE WHEN quarter = 'Q4'", "CASE WHEN quarter = 'Q2' THEN make_date(year, 7, 20) ELSE make_date(year + CASE WHEN quarter = 'Q4'").replace("ELSE 2 END, 15) AS signal_date", "ELSE 2 END, 15) END AS signal_date")
+
+
+@query(f"WITH {_LATE} SELECT ticker, quarter, year, direction, CAST(signal_date AS VARCHAR) AS signal_date, CAST(entry_date AS VARCHAR) AS entry_date, CAST(exit_date AS VARCHAR) AS exit_date FROM signals")
+def signals_announced(spark, folder):
+    """Known announcement days go before estimates: here of all second quarters, on the 20th of July."""
+    runs = _runs(spark, folder)
+    known = runs.where("quarter = 'Q2'").select("ticker", "quarter", "year", F.make_date("year", F.lit(7), F.lit(20)).alias("announced_on")).distinct()
+    return plain(backtest.signals(runs, known, *WINDOW).drop("quality_score"))
+
+
 @query(f"""WITH {CURVE}, bp AS (SELECT dt, avg(close) AS c FROM prices GROUP BY dt), bench AS (SELECT dt, c / first(c) OVER (ORDER BY dt) * 100000.0 AS base FROM bp),
 both_ AS (SELECT curve.dt, equity, base FROM curve JOIN bench USING (dt)), d AS (SELECT equity / lag(equity) OVER (ORDER BY dt) - 1 AS s, base / lag(base) OVER (ORDER BY dt) - 1 AS b FROM both_),
 g AS (SELECT count(*) AS days, avg(s) AS ms, avg(b) AS mb, stddev_pop(s - b) * sqrt(252) AS te, covar_samp(s, b) / var_samp(b) AS beta, avg(s) FILTER (WHERE b > 0) / avg(b) FILTER (WHERE b > 0) AS up, avg(s) FILTER (WHERE b < 0) / avg(b) FILTER (WHERE b < 0) AS down FROM d WHERE s IS NOT NULL AND b IS NOT NULL)
@@ -355,12 +405,43 @@ def softmax(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", F.transform(p, lambda x: F.round(x, 6)).alias("p"))
 
 
-@query()
-def qa_loop(spark, folder):
+_QUESTIONS = ("What are the risk disclosures of management?", "What is the guidance and outlook for revenue?", "How did the tone drift?", "Which operating margins improved?", "How do peers of the industry compare on costs?", "How does inflation weigh on the economy?")
+
+
+def _requests(spark, folder):
     """A question for each company."""
-    asked = F.element_at(F.array(*[F.lit(x) for x in ("What are the risk disclosures of management?", "What is the guidance and outlook for revenue?", "How did the tone drift?", "Which operating margins improved?")]), (F.col("request_id") % 4 + 1).cast("int"))
+    asked = F.element_at(F.array(*[F.lit(x) for x in _QUESTIONS]), (F.col("request_id") % len(_QUESTIONS) + 1).cast("int"))
     r = table(spark, folder, "companies").select(F.xxhash64("ticker").alias("h"), tables.ticker().alias("ticker")).select(F.shiftrightunsigned("h", 16).alias("request_id"), "ticker")
-    return rounded(qa.answer(r.withColumn("question", asked), _chunks(spark, folder)))
+    return r.withColumn("question", asked)
+
+
+@query()
+def qa_loop(spark, folder):
+    peers = qa.same_sector(table(spark, folder, "companies").select(tables.ticker().alias("ticker"), "sector"))
+    return rounded(qa.answer_each(_requests(spark, folder), _chunks(spark, folder), peers=peers))
+
+
+@query("""WITH c AS (SELECT DISTINCT upper(trim(ticker)) AS ticker, sector FROM companies WHERE sector IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY ticker) - 1 AS i, count(*) OVER (PARTITION BY sector) AS many FROM c)
+SELECT a.ticker, b.ticker AS peer, CAST(n AS INTEGER) AS n FROM r a, unnest([1, 2, 3]) AS s(n), r b WHERE n < a.many AND b.sector = a.sector AND b.i = (a.i + n) % a.many""")
+def sector_peers(spark, folder):
+    return qa.same_sector(table(spark, folder, "companies").select(tables.ticker().alias("ticker"), "sector"))
+
+
+_WORDS_OF = "list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+'))"
+_SHARE_OF = lambda a, b: f"coalesce(len(list_intersect({_WORDS_OF.format(c=a)}, {_WORDS_OF.format(c=b)})) / nullif(len({_WORDS_OF.format(c=a)}), 0), 0)"
+
+
+@query(f"""WITH {CHUNKS}, p AS (SELECT chunk_id, 'What did ' || ticker || ' say on ' || section || ' in ' || quarter AS question, text AS answer, lead(text) OVER w AS after, lag(text) OVER w AS truth FROM chunks WINDOW w AS (PARTITION BY ticker ORDER BY chunk_id)),
+s AS (SELECT *, text_all AS ctx FROM (SELECT *, CASE WHEN after IS NULL THEN question ELSE question || chr(10) || chr(10) || after END AS text_all FROM p)),
+e AS (SELECT chunk_id, {_SHARE_OF('answer', 'ctx')} AS f, {_SHARE_OF('question', 'answer')} AS r, CASE WHEN truth IS NOT NULL THEN {_SHARE_OF('truth', 'ctx')} END AS rec FROM s)
+SELECT chunk_id, round(f, 6) + 0.0 AS faithfulness, round(r, 6) + 0.0 AS answer_relevance, round(0.9 * r, 6) + 0.0 AS context_precision, round(rec, 6) + 0.0 AS context_recall, round((f + r + 0.9 * r + coalesce(rec, 0)) / (3 + CASE WHEN rec IS NULL THEN 0 ELSE 1 END), 6) + 0.0 AS mean_score FROM e""")
+def answers_evaluated(spark, folder):
+    """Each chunk as an answer to a question about itself, with the next chunk of its company as context and the one before as the truth."""
+    w = Window.partitionBy("ticker").orderBy("chunk_id")
+    q = F.concat(F.lit("What did "), "ticker", F.lit(" say on "), "section", F.lit(" in "), "quarter")
+    c = _chunks(spark, folder).select("chunk_id", q.alias("question"), F.col("text").alias("answer"), F.filter(F.array(q, F.lead("text").over(w)), lambda x: x.isNotNull()).alias("contexts"), F.lag("text").over(w).alias("ground_truth"))
+    return rounded(evaluation.evaluate(c).select("chunk_id", *evaluation.METRICS, "mean_score"))
 
 
 @query(" UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS text, '{k}' AS label FROM documents WHERE text IS NOT NULL" for k, p in models.ENTITIES))
