@@ -13,6 +13,8 @@ from tonelake.storage import stage
 
 #: vectors in a block; two blocks are one matrix product
 BLOCK = 1024
+#: parts that the blocks of a group are spread over at most; the other side's blocks come to each part
+PARTS = 256
 #: vectors that the cells are fitted to, cells, and cells that a query looks into
 SAMPLE, CELLS, PROBES = 20_000, 64, 36
 
@@ -37,6 +39,13 @@ def _blocks(df: DataFrame, key: str, vector: str, group: str | None, size: int)
     return rows.join(counts, "g").withColumn("block", F.pmod(F.xxhash64("id"), "of").cast("int")).groupBy("g", "block", "of").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
 
 
+def _spread(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides' blocks with a key (g, part) to meet by: blocks of the right side are dealt to parts, those of the left come to every part of their group. So no group is one task's."""
+    parts = right.select("g", F.least("of", F.lit(PARTS)).alias("parts")).distinct()
+    over = left.join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return over, right.withColumn("part", F.col("block") % F.least("of", F.lit(PARTS)))
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, group: str | None = None, size: int = BLOCK) -> DataFrame:
     """query_id, neighbour_id, rank, score: the k nearest of the corpus by cosine for each query, exactly; ties go to the lesser id; itself left out.
 
@@ -44,7 +53,8 @@ def top_k(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     the corpus in one matrix product and only k rows of each query leave it.
     """
     left, right = _blocks(queries, key, vector, group, size), _blocks(corpus, key, vector, group, size)
-    met = left.select("g", F.col("ids").alias("qi"), F.col("vs").alias("qv"), F.col("block").alias("qb")).join(right, "g")
+    left, right = _spread(left.select("g", F.col("ids").alias("qi"), F.col("vs").alias("qv")), stage(right, "blocks"))
+    met = left.join(right, ["g", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,8 +118,9 @@ def similar_pairs(df: DataFrame, key: str, vector: str, group: str, period: str,
     Blocks of a group meet once each; pairs below the threshold never leave the matrix product that finds them.
     """
     rows = df.where(F.col(words) >= least_words).where(F.col(period).isNotNull() & F.col(group).isNotNull())
-    b = _blocks(rows.withColumn("v2", F.concat(F.array(F.col(period).cast("double")), F.transform(vector, lambda x: x.cast("double")))), key, "v2", group, size)
-    met = b.alias("x").join(b.select("g", F.col("block").alias("b2"), F.col("ids").alias("i2"), F.col("vs").alias("v2")), "g").where("block <= b2")
+    b = stage(_blocks(rows.withColumn("v2", F.concat(F.array(F.col(period).cast("double")), F.transform(vector, lambda x: x.cast("double")))), key, "v2", group, size), "blocks")
+    left, right = _spread(b.select("g", "block", "ids", "vs"), b)
+    met = left.join(right.select("g", "part", F.col("block").alias("b2"), F.col("ids").alias("i2"), F.col("vs").alias("v2")), ["g", "part"]).where("block <= b2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
