@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 #: pairs of one company that the SQL of intra_period_pairs keeps (the feature's own limit; nothing else is cut to it), and the least score
 MOST_PAIRS, LEAST_SCORE = 500, 0.70
+# The side of a call, that of reports (form and section), and sections whose language is compared across periods.
+CALLS, REPORTS = (("transcript",), ("prepared_remarks", "guidance")), (("10-Q", "10-K"), ("mda", "guidance"))
+LANGUAGE = ("mda", "risk_factors", "guidance", "prepared_remarks", "qa", "press_release")
 
 
-def intra_period_pairs(chunks: DataFrame, calls=("qa", "prepared_remarks", "guidance"), reports=("mda",), most: int | None = None) -> DataFrame:
-    """ticker, a, b, source: all call chunks against all report chunks of the same company and period; with `most`, the first so many of each company in the order of their ids (and their number n).
+def intra_period_pairs(chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """ticker, a, b, source: remarks and guidance of calls against discussion and guidance of reports of the same company and period; with `most`, the first so many of each company in the order of their ids (and their number n).
 
     The first `most` pairs of a period use only its first `most` chunks of either side, so each side is cut to those
     before they meet: the result is the same, and a large period can't multiply.
     """
     period = ["ticker", "quarter", "year"]
 
-    def side(sections, name: str) -> DataFrame:
-        rows = chunks.where(F.col("section").isin(*sections))
+    def side(of: tuple, name: str) -> DataFrame:
+        rows = chunks.where(F.col("form").isin(*of[0]) & F.col("section").isin(*of[1]))
         if most is not None:
             rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*period).orderBy("chunk_id"))).where(F.col("n") <= most)
         return rows.select(*period, F.col("chunk_id").alias(name))
 
-    met = side(calls, "a").join(side(reports, "b"), period).select("ticker", "a", "b", F.lit(1).alias("source"))
+    met = side(CALLS, "a").join(side(REPORTS, "b"), period).select("ticker", "a", "b", F.lit(1).alias("source"))
     return distinct_pairs(met) if most is None else capped(met, most)
 
 

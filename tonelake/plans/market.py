@@ -12,6 +12,7 @@ from tonelake.operators import backtest, chunking, evaluation, models, pairs, qa
 from tonelake.plans import expected as E
 from tonelake.plans import pipeline
 from tonelake.plans.catalog import query, table
+from tonelake.plans.texts import SECTIONS, TURNS
 from tonelake.plans.tone import CHUNKS, SCORES, _chunks, rounded
 from tonelake.sources import tables
 from tonelake.storage import spread, stage
@@ -253,20 +254,37 @@ def similarity_pairs(spark, folder):
     return rounded(vectors.similar_pairs(v, "vec_id", "embedding", "label", "period", "words", 0.25))
 
 
-_PAIRS = f"""{CHUNKS}, p AS (
+_PAIRS = f"""{SECTIONS}, {TURNS},
+fl AS (SELECT accession_number, upper(trim(ticker)) AS ticker, filing_type AS form, coalesce(quarter, 'Q' || quarter(period_of_report)) AS quarter, coalesce(year, year(period_of_report)) AS year FROM filings WHERE raw_text <> '' QUALIFY row_number() OVER (PARTITION BY accession_number ORDER BY loaded_at) = 1),
+tc AS (SELECT transcript_id, upper(trim(ticker)) AS ticker, quarter, year FROM transcripts WHERE raw_text <> '' QUALIFY row_number() OVER (PARTITION BY transcript_id ORDER BY loaded_at) = 1),
+sec AS (SELECT accession_number, section, string_agg(body, chr(10) || chr(10) ORDER BY n) AS body FROM kind WHERE many = 1 OR (n > 1 AND length(body) > 200) GROUP BY accession_number, section),
+opened AS (SELECT transcript_id, min(turn_index) AS start FROM t WHERE turn_index > 0 AND (regexp_matches(body, '(?i)\\b(?:question.and.answer|q\\s?&\\s?a session|questions and answers|q&a)\\b') OR role = 'Analyst' OR (role = 'Operator' AND turn_index > 2)) GROUP BY 1),
+k AS (SELECT accession_number || ' ' || section AS chunk_id, ticker, quarter, year, form, CASE WHEN regexp_matches(body, '{E.KEYWORDS}') THEN 'guidance' ELSE section END AS section FROM sec JOIN fl USING (accession_number)
+  UNION ALL SELECT 'call ' || transcript_id || ' ' || turn_index, ticker, quarter, year, 'transcript', CASE WHEN regexp_matches(body, '{E.KEYWORDS}') THEN 'guidance' WHEN turn_index >= start THEN 'qa' ELSE 'prepared_remarks' END FROM t JOIN tc USING (transcript_id) LEFT JOIN opened USING (transcript_id)),
+p AS (
   SELECT a.ticker, a.chunk_id AS a, b.chunk_id AS b, row_number() OVER (PARTITION BY a.ticker ORDER BY a.chunk_id, b.chunk_id) AS n
-  FROM chunks a JOIN chunks b ON a.ticker = b.ticker AND a.quarter = b.quarter AND a.year = b.year AND a.section IN ('qa', 'prepared_remarks', 'guidance') AND b.section = 'mda')"""
+  FROM k a JOIN k b ON a.ticker = b.ticker AND a.quarter = b.quarter AND a.year = b.year AND a.form = 'transcript' AND a.section IN ('prepared_remarks', 'guidance') AND b.form IN ('10-Q', '10-K') AND b.section IN ('mda', 'guidance'))"""
+
+
+def _spoken(spark, folder):
+    """Sections of filings and turns of calls as chunks, those with a guidance keyword in the guidance section."""
+    columns = ["chunk_id", "k.ticker", "k.quarter", "k.year", "k.form", "section", F.col("body").alias("text")]
+    f = spread(tables.filing_texts(table(spark, folder, "filings"))).withColumn("k", F.struct("accession_number", "ticker", "form", "quarter", "year"))
+    f = chunking.merged_sections(f, "k").withColumn("chunk_id", F.concat_ws(" ", "k.accession_number", "section")).select(*columns)
+    c = spread(tables.call_texts(table(spark, folder, "transcripts"))).withColumn("k", F.struct("transcript_id", "ticker", F.lit("transcript").alias("form"), "quarter", "year"))
+    c = chunking.first_question(chunking.line_turns(c, "k"), "k").withColumn("chunk_id", F.concat_ws(" ", F.lit("call"), "k.transcript_id", "turn_index")).select(*columns)
+    return f.unionByName(c).withColumn("section", F.when(T.has_guidance_keyword(F.col("text")), "guidance").otherwise(F.col("section"))).drop("text")
 
 
 @query(f"WITH {_PAIRS} SELECT ticker, a, b FROM p WHERE n <= 500")
 def intra_period_pairs(spark, folder):
     """The first 500 of a company, as the SQL says; intra_period_pairs_all has every pair."""
-    return pairs.intra_period_pairs(_chunks(spark, folder), most=pairs.MOST_PAIRS).select("ticker", "a", "b")
+    return pairs.intra_period_pairs(_spoken(spark, folder), most=pairs.MOST_PAIRS).select("ticker", "a", "b")
 
 
 @query(f"WITH {_PAIRS} SELECT ticker, a, b FROM p")
 def intra_period_pairs_all(spark, folder):
-    return pairs.intra_period_pairs(_chunks(spark, folder)).select("ticker", "a", "b")
+    return pairs.intra_period_pairs(_spoken(spark, folder)).select("ticker", "a", "b")
 
 
 @query("""WITH u AS (SELECT 'T' || label AS ticker, vec_id AS a, (vec_id * 7 + 3) % 500 AS b, 0 AS source FROM embeddings UNION ALL SELECT 'T' || label, (vec_id * 7 + 3) % 500, vec_id, 1 FROM embeddings),
@@ -456,4 +474,5 @@ def embed_texts(spark, folder):
 
 @query()
 def contradiction_pairs(spark, folder):
-    return rounded(pipeline.contradictions(models.embed(_chunks(spark, folder))))
+    chunks = _chunks(spark, folder).unionByName(pipeline.filing_chunks(table(spark, folder, "filings"))).unionByName(pipeline.call_chunks(table(spark, folder, "transcripts")))
+    return rounded(pipeline.contradictions(models.embed(chunks)))

@@ -63,16 +63,16 @@ def embed(spark: SparkSession, out: str, load=None) -> None:
 
 
 def contradictions(chunks: DataFrame, pair_model=None) -> DataFrame:
-    """Pairs across periods that are alike, and of calls and reports of one period: every distinct pair is scored, those of at least pairs.LEAST_SCORE stay.
+    """Pairs across periods that are alike and of sections whose language counts, and of calls and reports of one period: every distinct pair is scored, those of at least pairs.LEAST_SCORE stay.
 
     A pair model takes both whole texts. The default one (models.opposition) compares their tones, which are found once for each chunk.
     """
     seen, score = (models.pair_tone(F.col("text")), models.opposed) if pair_model is None else (F.col("text"), pair_model)
-    rows = chunks.select("chunk_id", "ticker", "quarter", "year", "section", "words", "embedding", seen.alias("seen"))
+    rows = chunks.select("chunk_id", "ticker", "quarter", "year", "form", "section", "words", "embedding", seen.alias("seen"))
     if pair_model is None:
         rows = rows.where("seen <> 'neutral'")  # opposed() never gives such a text the least score
     rows = stage(rows, "pairs")
-    across = vectors.similar_pairs(rows.withColumn("period", period_index(F.col("quarter"), F.col("year"))), "chunk_id", "embedding", "ticker", "period", "words")
+    across = vectors.similar_pairs(rows.where(F.col("section").isin(*pairs.LANGUAGE)).withColumn("period", period_index(F.col("quarter"), F.col("year"))), "chunk_id", "embedding", "ticker", "period", "words")
     both = across.select(F.col("g").alias("ticker"), "a", "b", F.lit(0).alias("source")).unionByName(pairs.intra_period_pairs(rows))
     side = lambda k: rows.select(F.col("chunk_id").alias(k), F.col("seen").alias(f"t{k}"))
     p = pairs.distinct_pairs(both).join(side("a"), "a").join(side("b"), "b")

@@ -82,15 +82,15 @@ _MARKED = _subbed(
     _subbed("text", (r"(?i)(item\s+1\.?\s+busi)(ness\s+of)", "\\1\x02\\2")),
     (r"(?i)(item\s+1\.?\s+business|item\s+1a\.?\s+risk\s+factors|item\s+[27]\.?\s+management(?:'s|\s+discussion|'s\s+discussion)\s+and\s+analysis|item\s+[18]\.?\s+(?:financial\s+statements|consolidated\s+balance)|item\s+(?:3|7a)\.?\s+quantitative\s+and\s+qualitative\s+disclosures|item\s+(?:4|9a)\.?\s+controls\s+and\s+procedures)", "\x01\\1"),
 )
-_SECTIONS = rf"""t AS (SELECT DISTINCT accession_number, {_CLEAN} AS text FROM filings WHERE accession_number IS NOT NULL AND raw_text IS NOT NULL),
-cut AS (SELECT accession_number, string_split({_MARKED}, chr(1)) AS p FROM t WHERE text <> ''),
+SECTIONS = rf"""ct AS (SELECT DISTINCT accession_number, {_CLEAN} AS text FROM filings WHERE accession_number IS NOT NULL AND raw_text IS NOT NULL),
+cut AS (SELECT accession_number, string_split({_MARKED}, chr(1)) AS p FROM ct WHERE text <> ''),
 part AS (SELECT accession_number, len(p) AS many, unnest(p) AS body, generate_subscripts(p, 1) AS n FROM cut),
 kind AS (SELECT accession_number, n, CASE WHEN many = 1 THEN 'mda' WHEN regexp_matches(body, '(?i)\A(?:item\s+1\.?\s+business)') THEN 'cover' WHEN regexp_matches(body, '(?i)\Aitem\s+1a') THEN 'risk_factors' WHEN regexp_matches(body, '(?i)\Aitem\s+[27]\.?\s+management') THEN 'mda'
     WHEN regexp_matches(body, '(?i)\Aitem\s+[18]\.?\s+(?:financial|consolidated)') THEN 'financial_statements' ELSE 'mda' END AS section,
   replace(CASE WHEN many = 1 THEN body ELSE {_subbed('body', (rf"\A{_SPACE}+|{_SPACE}+\z", ""))} END, chr(2), '') AS body, many FROM part)"""
 
 
-@query(f"WITH {_SECTIONS} SELECT accession_number, section, string_agg(body, chr(10) || chr(10) ORDER BY n) AS body FROM kind WHERE many = 1 OR (n > 1 AND length(body) > 200) GROUP BY accession_number, section")
+@query(f"WITH {SECTIONS} SELECT accession_number, section, string_agg(body, chr(10) || chr(10) ORDER BY n) AS body FROM kind WHERE many = 1 OR (n > 1 AND length(body) > 200) GROUP BY accession_number, section")
 def section_split(spark, folder):
     return chunking.merged_sections(_filings(spark, folder).select("accession_number", T.clean_filing(F.col("raw_text")).alias("text")), "accession_number")
 
@@ -113,7 +113,7 @@ def chunk_windows(spark, folder):
 # --- calls
 
 _LABEL = r"^(?:[\[(]?\d{1,2}:\d{2}(?::\d{2})?[\])]?[ \t]*(?:-[ \t]*)?)?([A-Z][\w.'' -]{2,50}?)(?:[ \t]*(?:--|[-–—,])[ \t]*([A-Za-z &,.]+?))?[ \t]*(?:\([^()]*\))?:[ \t]*"
-_TURNS = rf"""c AS (SELECT DISTINCT transcript_id, {_CALL} AS text FROM transcripts WHERE transcript_id IS NOT NULL AND raw_text IS NOT NULL),
+TURNS = rf"""c AS (SELECT DISTINCT transcript_id, {_CALL} AS text FROM transcripts WHERE transcript_id IS NOT NULL AND raw_text IS NOT NULL),
 l AS (SELECT transcript_id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS n FROM c WHERE text <> ''),
 m AS (SELECT *, nullif(trim(regexp_extract(line, '{_LABEL}', 1), ' '), '') AS speaker, regexp_extract(line, '{_LABEL}', 2) AS title, regexp_replace(line, '{_LABEL}', '') AS body FROM l),
 g AS (SELECT *, count(speaker) OVER (PARTITION BY transcript_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS turn FROM m),
@@ -125,13 +125,13 @@ def _turns(spark, folder):
     return chunking.line_turns(_calls(spark, folder).select("transcript_id", T.clean_call(F.col("raw_text")).alias("text")), "transcript_id")
 
 
-@query(rf"""WITH {_TURNS}, b AS (SELECT *, min(CASE WHEN turn_index > 0 AND (regexp_matches(body, '(?i)\b(?:question.and.answer|q\s?&\s?a session|questions and answers|q&a)\b') OR role = 'Analyst' OR (role = 'Operator' AND turn_index > 2)) THEN turn_index END) OVER (PARTITION BY transcript_id) AS start FROM t)
+@query(rf"""WITH {TURNS}, b AS (SELECT *, min(CASE WHEN turn_index > 0 AND (regexp_matches(body, '(?i)\b(?:question.and.answer|q\s?&\s?a session|questions and answers|q&a)\b') OR role = 'Analyst' OR (role = 'Operator' AND turn_index > 2)) THEN turn_index END) OVER (PARTITION BY transcript_id) AS start FROM t)
 SELECT transcript_id, turn_index, speaker, role, body, CASE WHEN turn_index >= start THEN 'qa' ELSE 'prepared_remarks' END AS section FROM b""")
 def call_turns(spark, folder):
     return chunking.first_question(_turns(spark, folder), "transcript_id")
 
 
-@query(rf"""WITH {_TURNS}, w AS (SELECT *, lead(role) OVER o AS nr, lead(body) OVER o AS nb, lag(role) OVER o AS lr FROM t WINDOW o AS (PARTITION BY transcript_id ORDER BY turn_index)),
+@query(rf"""WITH {TURNS}, w AS (SELECT *, lead(role) OVER o AS nr, lead(body) OVER o AS nb, lag(role) OVER o AS lr FROM t WINDOW o AS (PARTITION BY transcript_id ORDER BY turn_index)),
 p AS (SELECT transcript_id, turn_index, CASE WHEN role = 'Analyst' THEN 'QA_PAIR' ELSE role END AS speaker,
   CASE WHEN role = 'Analyst' THEN {_subbed("('Q: ' || body || chr(10) || chr(10) || 'A: ' || CASE WHEN nr IN ('CEO', 'CFO', 'COO', 'IR') THEN nb ELSE '' END)", (rf"\A{_SPACE}+|{_SPACE}+\z", ""))} WHEN role IN ('CEO', 'CFO', 'COO', 'IR') AND lr IS DISTINCT FROM 'Analyst' THEN body END AS body FROM w)
 SELECT * FROM p WHERE length(body) > 50""")
@@ -139,7 +139,7 @@ def qa_pairs(spark, folder):
     return chunking.question_pairs(_turns(spark, folder), "transcript_id")
 
 
-@query(f"WITH {_TURNS} SELECT transcript_id, list_sort(list_distinct(list(speaker))) AS speakers FROM t GROUP BY transcript_id")
+@query(f"WITH {TURNS} SELECT transcript_id, list_sort(list_distinct(list(speaker))) AS speakers FROM t GROUP BY transcript_id")
 def call_speakers(spark, folder):
     return chunking.speakers(_turns(spark, folder), "transcript_id")
 
