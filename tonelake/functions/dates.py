@@ -74,3 +74,12 @@ def weekdays_between(a: Column, b: Column) -> Column:
     """Weekdays from a to b, both included."""
     upto = lambda d: F.floor(F.datediff(d, F.lit("1970-01-05").cast("date")) / 7) * 5 + F.least(F.weekday(d) + 1, F.lit(5))
     return F.greatest(F.lit(0), upto(b) - upto(F.date_sub(a, 1))).cast("int")
+
+
+def period_string(quarter: Column, year: Column) -> Column:
+    return F.concat_ws(" ", quarter, year.cast("string"))
+
+
+def first_month(quarter: Column) -> Column:
+    """The first month of a quarter; null for other periods."""
+    return F.when(quarter.isin("Q1", "Q2", "Q3", "Q4"), F.substring(quarter, 2, 1).cast("int") * 3 - 2)

@@ -22,6 +22,11 @@ def lexicon_scores(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", *_lexicon())
 
 
+def scored(chunks: DataFrame) -> DataFrame:
+    """Chunks with the default scores beside them."""
+    return chunks.select("*", *_lexicon())
+
+
 def _scored(chunks: DataFrame, scores: DataFrame | None) -> DataFrame:
     """Chunks with their scores: without any the lexicon's, as columns of the same rows; else joined, the counts taken first so that no text is shuffled."""
     text = F.col("text")
@@ -49,11 +54,13 @@ def quarter_sentiment(chunks: DataFrame, scores: DataFrame | None = None) -> Dat
     )
 
 
-def most_negative(chunks: DataFrame, scores: DataFrame, k: int = 5, length: int = 200) -> DataFrame:
-    """The k chunks of each quarter with the least net score, and the start of their text."""
-    ranked = chunks.join(scores, "chunk_id").withColumn("net", F.col("positive") - F.col("negative"))
+def most_negative(chunks: DataFrame, scores: DataFrame | None = None, k: int = 5, length: int = 200) -> DataFrame:
+    """The k chunks of each quarter with the least net score, and the start of their text; no more of a text is shuffled."""
+    text = F.col("text")
+    scored = chunks.select("*", *_lexicon()) if scores is None else chunks.join(scores, "chunk_id")
+    ranked = scored.select("chunk_id", *QUARTER, F.substring(text, 1, length).alias("text"), "positive", "negative").withColumn("net", F.col("positive") - F.col("negative"))
     ranked = ranked.withColumn("rank", F.expr("row_number() over (partition by ticker, quarter, year order by net, chunk_id)")).where(F.col("rank") <= k)
-    return ranked.select(*QUARTER, "rank", "chunk_id", F.substring("text", 1, length).alias("start"))
+    return ranked.select(*QUARTER, "rank", "chunk_id", F.col("text").alias("start"))
 
 
 def section_histogram(chunks: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Named queries."""
 
-from tonelake.plans import catalog, market, texts, tone, training  # noqa: F401
+from tonelake.plans import catalog, market, records, texts, tone, training  # noqa: F401
 
 
 def all_queries():

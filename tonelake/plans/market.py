@@ -307,8 +307,7 @@ def pair_dedup(spark, folder):
 
 @query(f"""WITH {CHUNKS}, {SCORES} SELECT ticker, chunk_id AS a, round(negative, 6) + 0.0 AS contradiction, CAST(row_number() OVER (PARTITION BY ticker ORDER BY negative DESC, chunk_id) AS INTEGER) AS rank FROM scored WHERE negative >= 0.5""")
 def contradictions(spark, folder):
-    c = _chunks(spark, folder)
-    s = c.select("chunk_id", "ticker").join(sentiment.lexicon_scores(c), "chunk_id").select("ticker", F.col("chunk_id").alias("a"), F.col("chunk_id").alias("b"), F.col("negative").alias("contradiction"))
+    s = sentiment.scored(_chunks(spark, folder)).select("ticker", F.col("chunk_id").alias("a"), F.col("chunk_id").alias("b"), F.col("negative").alias("contradiction"))
     return rounded(pairs.contradictions(s, 0.5).drop("b"))
 
 

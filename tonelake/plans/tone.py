@@ -11,6 +11,7 @@ from tonelake.plans import expected as E
 from tonelake.plans.catalog import query, table
 from tonelake.plans.expected import count_of
 from tonelake.sources import tables
+from tonelake.storage import stage
 
 
 def rounded(df, digits: int = 6):
@@ -59,8 +60,7 @@ def hedging_specificity(spark, folder):
 @query(f"""WITH {CHUNKS}, {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker, quarter, year ORDER BY positive - negative, chunk_id) AS rank FROM scored)
 SELECT ticker, quarter, year, CAST(rank AS INTEGER) AS rank, chunk_id, substring(text, 1, 200) AS start FROM r WHERE rank <= 5""")
 def most_negative_k(spark, folder):
-    c = _chunks(spark, folder)
-    return sentiment.most_negative(c, sentiment.lexicon_scores(c))
+    return sentiment.most_negative(_chunks(spark, folder))
 
 
 @query(f"WITH {CHUNKS}, {SCORES} SELECT chunk_id, round(positive - negative, 6) + 0.0 AS net_score, CASE WHEN positive >= negative AND positive >= neutral THEN 'positive' WHEN negative >= neutral THEN 'negative' ELSE 'neutral' END AS dominant_label FROM scored")
@@ -243,7 +243,7 @@ FULL = f"{_DRIFT}, {MATCHED}, {ACCRUALS}, {ANALYSTS}, {QUALITY}"
 
 
 def _scores(spark, folder):
-    q = _quarters(spark, folder)
+    q = stage(_quarters(spark, folder), "quarters")  # read twice, made once
     return quality.quality_scores(q, drift.drift_scores(q), guidance.guidance_component(_matched(spark, folder)), quality.accruals(_filings(spark, folder)), quality.latest_analyst(_analysts(spark, folder)))
 
 
