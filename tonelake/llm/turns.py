@@ -111,11 +111,11 @@ def sounds(name: Column) -> Column:
 
 
 @lru_cache(maxsize=300_000)
-def distance(a: str, b: str, most: int = 4) -> int:
+def distance(a: str, b: str, most: int = 3) -> int:
     """Edits (insert, delete, replace, swap neighbours) between two strings, at most `most`."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) >= most:
+    if abs(len(a) - len(b)) >= most or len(set(a) ^ set(b)) > 2 * (most - 1):  # an edit changes at most two of the letters that occur
         return most
     before, last = list(range(len(b) + 1)), []
     for i, x in enumerate(a, 1):
