@@ -32,7 +32,7 @@ LIST_WORDS = 1_000_000
 LISTS = tuple((level, times) for level in LEVELS[:-1] for times in (0.25, 0.5, 1.0, 2.0, 4.0))
 #: steps of the share, and of the logarithm of the length to base 2, in which sentences are counted for the fit
 SHARES, LENGTHS = 48, 8
-#: lists that the cuts are fitted for (those of the least loss), steps of the score between which cuts may lie
+#: lists that the cuts are fitted for (those of the least loss), steps of the score between which cuts may lie (at most 256)
 FITTED_LISTS, STEPS = 6, 160
 #: words (split at white space) that a document needs
 LEAST_WORDS = 40
@@ -243,15 +243,19 @@ def _fit(rated: DataFrame, words: list[tuple[str, list[int]]], documents: list[i
             for t, level in zip(batch.column(0), batch.column(1).to_pylist()):
                 if is_case(t.as_py()) and (found := sentences(t.as_py())):
                     for i, (f, e) in enumerate(zip(formulas, edges)):
-                        rows.append((i, level, np.bincount(np.searchsorted(e, [f.score(s) for s in found]), minlength=STEPS).astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["list", "level", "steps"])
+                        at, n = np.unique(np.searchsorted(e, [f.score(s) for s in found]), return_counts=True)
+                        rows.append((i, level, at.astype(np.uint8).tobytes(), n.astype(np.int32).tobytes()))
+            types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], types[j]) for j in range(4)], names=["list", "level", "steps", "counts"])
 
-    got = rated.select("t", "level").mapInArrow(scored, "list int, level int, steps binary").collect()
+    got = rated.select("t", "level").mapInArrow(scored, "list int, level int, steps binary, counts binary").collect()
     best = (-1.0, 0, formulas[0].weights)
     for i, (f, e) in enumerate(zip(formulas, edges)):
         own = [r for r in got if r["list"] == i]
         if own:
-            steps = np.stack([np.frombuffer(r["steps"], np.int32) for r in own])
+            steps = np.zeros((len(own), STEPS), np.int32)
+            for j, r in enumerate(own):
+                steps[j, np.frombuffer(r["steps"], np.uint8)] = np.frombuffer(r["counts"], np.int32)
             cuts, agreed = fit_cuts(steps, np.array([r["level"] for r in own]), np.searchsorted(e, f.cuts))
             if agreed > best[0]:
                 best = (agreed, i, np.concatenate([f.weights[:2], e[np.minimum(cuts, STEPS - 2)]]))
