@@ -159,3 +159,42 @@ def test_one_of_each(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "w"), ("a", 1, None), ("b", 2, None), (None, 3, "y"), ("c", None, "z"), ("d", 4, "q")], "k string, j int, t string")
     assert sorted(map(tuple, storage.one_of_each(df, ["k", "j"], "t").collect())) == [("a", 1, "w"), ("b", 2, None), ("d", 4, "q")]
     assert storage.one_of_each(df.limit(0), ["k"], "t").count() == 0
+
+
+def test_runs_and_vectors(spark, tmp_path):
+    from tonelake.operators import evaluation
+
+    runs = str(tmp_path / "runs")
+    for i, t in enumerate(("A", "B", "A")):
+        sinks.start_run(spark, runs, f"r{i}", {"ticker": t}, f"2024-01-0{i + 1} 00:00:00")
+    log = spark.read.parquet(runs).selectExpr("*", "map('n', 1) as metrics")
+    assert [r["run_id"] for r in evaluation.recent_runs(log, 2).collect()] == ["r2", "r1"] and [r["run_id"] for r in evaluation.recent_runs(log, 9, "A").collect()] == ["r2", "r0"]
+    path = str(tmp_path / "v")
+    chunks = spark.createDataFrame([(1, "a b"), (2, "c")], "chunk_id long, text string")
+    assert sinks.embed_and_store(spark, path, chunks) == 2
+    assert sinks.embed_and_store(spark, path, spark.createDataFrame([(2, "changed"), (3, "new")], "chunk_id long, text string")) == 2
+    assert sorted((r["chunk_id"], r["text"]) for r in spark.read.parquet(path).collect()) == [(1, "a b"), (2, "changed"), (3, "new")]
+    log_path = str(tmp_path / "m")
+    sinks.append_metrics(spark.createDataFrame([("r1", "x", 1)], "run_id string, metric string, value int"), log_path)
+    sinks.export_json(spark.read.parquet(log_path), str(tmp_path / "j"))
+    sinks.export_csv(spark.read.parquet(log_path), str(tmp_path / "c"))
+    assert files.csv_rows(spark, str(tmp_path / "c"), "run_id string, metric string, value double").first()["value"] == 1.0
+
+
+def test_parsed_pages(spark):
+    from pyspark.sql import functions as F
+
+    page = "<html><head><title>x</title></head><body>" + "<p>line</p>" * 12 + "<script>gone</script></body></html>"
+    df = spark.createDataFrame([(1, page), (2, "plain <b>text</b>"), (3, ""), (4, None)], "id int, t string")
+    got = {r["id"]: r["x"] for r in df.select("id", files.parsed(F.col("t")).alias("x")).collect()}
+    assert got == {1: "\n".join(["line"] * 12), 2: "plain text", 3: "", 4: None}
+
+
+def test_calls_from_pages(spark):
+    from tonelake.operators import articles
+
+    body = "".join(f"<p>{p}</p>" for p in ("<b>Ann Lee -- CEO:</b> We did very well this year.", "a", "b", "<b>Bo Ray -- Analyst:</b> What about the costs of it?", "c"))
+    rows = [(1, f"<meta property='article:published_time' content='2024-05-02T10:00'><article class='a'>{body}</article>", "Q1", 2024), (2, f"<article class='a'>{body}</article>", "Q3", 2024), (3, "<p>x</p>", "Q1", 2024)]
+    got = articles.calls(spark.createDataFrame(rows, "id int, html string, quarter string, year int"), "id").orderBy("id").collect()
+    assert [(r["id"], str(r["call_date"])) for r in got] == [(1, "2024-05-02"), (2, "2024-07-01")]
+    assert got[0]["raw_text"] == "Ann Lee: We did very well this year. a b\n\nBo Ray: What about the costs of it? c"

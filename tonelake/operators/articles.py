@@ -48,3 +48,14 @@ def turns(pages: DataFrame, key: str, html: str = "html", least: int = 5) -> Dat
     g = g.withColumn("body", F.trim(F.array_join(F.filter(F.transform("b", lambda x: x["rest"]), lambda x: x != ""), " "))).where(T.word_count(F.col("body")) > 3)
     index = (F.row_number().over(Window.partitionBy(key).orderBy("turn")) - 1).alias("turn_index")
     return g.select(key, index, "speaker", T.article_role(F.col("title")).alias("role"), T.article_company(F.coalesce("title", F.lit(""))).alias("company"), "body")
+
+
+def calls(pages: DataFrame, key: str, html: str = "html", quarter: str = "quarter", year: str = "year", least: int = 5) -> DataFrame:
+    """key, call_date, raw_text of every page with turns: the day that the page gives (published time, else its schema's), else the first of its quarter; the turns as `name: text`, an empty line between them."""
+    from tonelake.functions.dates import first_month
+
+    day = lambda p: F.regexp_extract(F.col(html), p, 1).try_cast("date")
+    meta = F.coalesce(day(r"""(?is)<meta[^>]*property=["']article:published_time["'][^>]*content=["'](\d{4}-\d{2}-\d{2})"""), day(r"""(?is)itemprop=["']datePublished["'][^>]*content=["'](\d{4}-\d{2}-\d{2})"""))
+    dated = pages.select(key, F.coalesce(meta, F.make_date(F.col(year), first_month(F.col(quarter)), F.lit(1))).alias("call_date"))
+    told = turns(pages, key, html, least).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn_index", F.concat_ws(": ", "speaker", "body").alias("t")))).alias("t"))
+    return dated.join(told, key).select(key, "call_date", F.array_join(F.transform("t", lambda x: x["t"]), "\n\n").alias("raw_text"))

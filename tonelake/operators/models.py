@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -9,14 +10,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
 from tonelake.functions import text as T
 
 #: dimensions of the default embedding
 DIMENSIONS = 64
-# Kinds of entities and their patterns.
-ENTITIES = (("MONEY", r"[$€£]\s?\d[\d,]*(?:\.\d+)?(?:\s(?:million|billion))?"), ("PERCENT", r"\d+(?:\.\d+)?\s?%"), ("DATE", r"\b(?:Q[1-4] \d{4}|(?:January|February|March|April|May|June|July|August|September|October|November|December)(?: \d{1,2},)? \d{4})\b"), ("CARDINAL", r"\b\d{1,3}(?:,\d{3})+\b"))
+# Kinds of entities and their patterns; names of a tone model's labels.
+ENTITIES = (
+    ("MONEY", r"[$€£]\s?\d[\d,]*(?:\.\d+)?(?:\s(?:million|billion))?"), ("PERCENT", r"\d+(?:\.\d+)?\s?%"),
+    ("DATE", r"\b(?:Q[1-4] \d{4}|(?:January|February|March|April|May|June|July|August|September|October|November|December)(?: \d{1,2},)? \d{4})\b"), ("CARDINAL", r"\b\d{1,3}(?:,\d{3})+\b"),
+    ("ORG", r"\b[A-Z][A-Za-z&]+(?: [A-Z][A-Za-z&]+){0,4} (?:Inc|Corp|Corporation|Ltd|LLC|PLC|Group|Holdings|Company|Bank|Capital|Partners)\b"),
+    ("GPE", r"\b(?:United States|United Kingdom|European Union|China|Japan|Germany|France|India|Canada|Mexico|Brazil|Italy|Spain|Australia|South Korea|Netherlands|Switzerland|Ireland|Israel|Taiwan|Singapore|Hong Kong|Russia|Turkey|Poland|Sweden|Norway|Europe|Asia|America)\b"),
+)
+LABELS = {"positive": "positive", "pos": "positive", "label_2": "positive", "negative": "negative", "neg": "negative", "label_0": "negative", "neutral": "neutral", "neu": "neutral", "label_1": "neutral"}
 _TONE = StructType([StructField(c, DoubleType()) for c in ("positive", "negative", "neutral")])
 _PAIR = StructType([StructField(c, DoubleType()) for c in ("contradiction", "entailment", "neutral")])
 
@@ -103,3 +110,25 @@ def entities(text: Column) -> Column:
         return lambda x: F.struct(x.alias("text"), F.lit(kind).alias("label"))
 
     return F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), tagged(k)) for k, p in ENTITIES]))
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("text", StringType()), StructField("label", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def entity_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The default entity finder with places: text, label, start and end (characters from 0, the end not included), kind by kind in the order of the text."""
+    patterns = [(k, re.compile(p, re.ASCII)) for k, p in ENTITIES]
+    for texts in batches:
+        yield texts.map(lambda t: [(m[0], k, m.start(), m.end()) for k, p in patterns for m in p.finditer(t or "")])
+
+
+def labelled_scores(items: Column) -> Column:
+    """A model's list of (label, score) as positive, negative, neutral: names in any case, unknown ones are neutral, the last of a label counts, a missing one is 0."""
+    names = F.create_map(*[F.lit(v) for kv in LABELS.items() for v in kv])
+    kind = lambda x: F.coalesce(F.try_element_at(names, F.lower(x["label"])), F.lit("neutral"))
+    score = lambda k: F.coalesce(F.try_element_at(F.filter(items, lambda x: kind(x) == k), F.lit(-1))["score"].cast("double"), F.lit(0.0)).alias(k)
+    return F.struct(score("positive"), score("negative"), score("neutral"))
+
+
+def score_text(text: Column) -> Column:
+    """The default tone of one text: positive, negative, neutral."""
+    p, n = F.regexp_count(text, F.lit(T.POSITIVE_PATTERN)), F.regexp_count(text, F.lit(T.NEGATIVE_PATTERN))
+    return F.struct((p / (p + n + 1)).alias("positive"), (n / (p + n + 1)).alias("negative"), (1 / (p + n + 1)).alias("neutral"))

@@ -461,11 +461,38 @@ def answers_evaluated(spark, folder):
     return rounded(evaluation.evaluate(c).select("chunk_id", *evaluation.METRICS, "mean_score"))
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS text, '{k}' AS label FROM documents WHERE text IS NOT NULL" for k, p in models.ENTITIES))
+_ENTITY_SQL = (
+    ("MONEY", r"[$€£]\s?\d[\d,]*(?:\.\d+)?(?:\s(?:million|billion))?"), ("PERCENT", r"\d+(?:\.\d+)?\s?%"),
+    ("DATE", r"\b(?:Q[1-4] \d{4}|(?:January|February|March|April|May|June|July|August|September|October|November|December)(?: \d{1,2},)? \d{4})\b"), ("CARDINAL", r"\b\d{1,3}(?:,\d{3})+\b"),
+    ("ORG", r"\b[A-Z][A-Za-z&]+(?: [A-Z][A-Za-z&]+){0,4} (?:Inc|Corp|Corporation|Ltd|LLC|PLC|Group|Holdings|Company|Bank|Capital|Partners)\b"),
+    ("GPE", r"\b(?:United States|United Kingdom|European Union|China|Japan|Germany|France|India|Canada|Mexico|Brazil|Italy|Spain|Australia|South Korea|Netherlands|Switzerland|Ireland|Israel|Taiwan|Singapore|Hong Kong|Russia|Turkey|Poland|Sweden|Norway|Europe|Asia|America)\b"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS text, '{k}' AS label FROM documents WHERE text IS NOT NULL" for k, p in _ENTITY_SQL))
 def entities(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", F.inline(models.entities(F.col("text"))))
 
 
+@query("WITH m AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS label, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS p FROM documents WHERE text IS NOT NULL" for k, p in _ENTITY_SQL) + """),
+e AS (SELECT doc_id, label, m, p, unnest(generate_series(1, len(m))) AS i FROM m WHERE len(m) > 0),
+s AS (SELECT doc_id, label, m[i] AS text, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS start FROM e)
+SELECT doc_id, text, label, start, CAST(start + length(text) AS INTEGER) AS end FROM s""")
+def entity_spans(spark, folder):
+    """Entities with their places in the text."""
+    d = spread(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"))
+    return d.select("doc_id", F.inline(models.entity_spans(F.col("text"))))
+
+
+@query(f"WITH {CHUNKS}, {SCORES} SELECT chunk_id, round(positive, 6) + 0.0 AS positive, round(negative, 6) + 0.0 AS negative, round(neutral, 6) + 0.0 AS neutral FROM scored")
+def scored_texts(spark, folder):
+    """Scores through a model's list of labels, in several spellings."""
+    s = _chunks(spark, folder).select("chunk_id", models.score_text(F.col("text")).alias("s"))
+    item = lambda names, c: F.struct(F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("chunk_id") % len(names) + 1).cast("int")).alias("label"), F.col("s")[c].alias("score"))
+    listed = F.array(item(("POSITIVE", "pos", "LABEL_2"), "positive"), item(("Negative", "neg", "label_0"), "negative"), item(("neutral", "neu", "something"), "neutral"))
+    return rounded(s.select("chunk_id", models.labelled_scores(listed).alias("r")).select("chunk_id", "r.*"))
+
+
 @query()
 def embed_texts(spark, folder):
     return models.embed(_chunks(spark, folder)).select("chunk_id", "embedding")

@@ -9,7 +9,7 @@ from tonelake.operators import articles, chunking, guidance, models
 from tonelake.plans import expected as E
 from tonelake.plans.catalog import query, table
 from tonelake.plans.expected import count_of
-from tonelake.sources import tables
+from tonelake.sources import files, tables
 from tonelake.storage import spread, stage
 
 # The SQL of the cleaner, written out.
@@ -57,6 +57,12 @@ def clean_texts(spark, folder):
     return _filings(spark, folder).select("accession_number", T.clean_filing(F.col("raw_text")).alias("cleaned"), F.length(T.flat_html(F.col("raw_text"))).alias("flat_length"))
 
 
+@query()
+def parsed_texts(spark, folder):
+    """Pages by their visible text, other filings as they are, both cleaned."""
+    return _filings(spark, folder).select("accession_number", files.parsed(F.col("raw_text")).alias("text"))
+
+
 @query(f"SELECT DISTINCT transcript_id, {_CALL} AS cleaned FROM transcripts WHERE transcript_id IS NOT NULL AND raw_text IS NOT NULL")
 def clean_calls(spark, folder):
     return _calls(spark, folder).select("transcript_id", T.clean_call(F.col("raw_text")).alias("cleaned"))

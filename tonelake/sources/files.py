@@ -47,6 +47,12 @@ def html_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(one)
 
 
+def parsed(raw):
+    """A filing's text: of a page its visible text, cleaned; else the text, cleaned. Only pages leave the JVM; null stays null, empty stays empty."""
+    page = T.is_markup(raw)
+    return F.when(raw == "", "").otherwise(T.clean_filing(F.coalesce(html_text(F.when(page, raw)), raw)))
+
+
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON arrays, or of a JSON object a line; each malformed row is skipped alone."""
     whole = spark.read.text(path, wholetext=True)

@@ -80,6 +80,22 @@ def append_metrics(df: DataFrame, path: str) -> None:
     df.select("run_id", "metric", F.col("value").cast("double").alias("value")).write.mode("append").parquet(path)
 
 
+def start_run(spark: SparkSession, path: str, run_id: str, params: dict[str, str], started_at: str) -> None:
+    """Appends a row (run_id, started_at, params) to the log of runs."""
+    row = spark.createDataFrame([(run_id, started_at, params)], "run_id string, started_at string, params map<string, string>")
+    row.withColumn("started_at", F.col("started_at").cast("timestamp")).write.mode("append").parquet(path)
+
+
+def embed_and_store(spark: SparkSession, path: str, chunks: DataFrame, load=None) -> int:
+    """Embeds chunks, upserts them by chunk_id, and tells how many were stored; vectors of other chunks stay."""
+    from tonelake.operators.models import embed
+
+    with scratch(spark):
+        made = stage(embed(chunks, load=load), "vectors")
+        upsert_table(spark, path, made, "chunk_id")
+        return made.count()
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
