@@ -31,7 +31,7 @@ LIST_WORDS = 1_000_000
 #: lists that are tried, as (level, times): words that documents up to the level hold so many times as often as those above it
 LISTS = tuple((level, times) for level in LEVELS[:-1] for times in (0.25, 0.5, 1.0, 2.0, 4.0))
 #: steps of the share, and of the logarithm of the length to base 2, in which sentences are counted for the fit
-SHARES, LENGTHS = 48, 8
+SHARES, LENGTHS = 24, 4
 #: lists that the cuts are fitted for (those of the least loss), steps of the score between which cuts may lie (at most 256)
 FITTED_LISTS, STEPS = 6, 160
 #: words (split at white space) that a document needs

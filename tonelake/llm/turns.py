@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.llm.mixing import min_cost_flow
-from tonelake.storage import one_of_each, spread, spread_by, stage
+from tonelake.storage import one_of_each, small_enough, spread, spread_by, stage
 
 LEAST_WORDS = 4
 #: characters from which a line is never a heading
@@ -28,6 +28,8 @@ HEADING_CHARS = 200
 #: calls in which a name must be stated to be on a company's roster; and how often as many calls must state a name for one that a single call states with
 #: one edit, for a person of the same role, to be its slip
 ROSTER_CALLS, ESTABLISHED = 2, 10
+#: rows of the rosters' blocks that are broadcast at most, so that no company's calls meet in one task; more are joined by a shuffle, whose skew the session's adaptive plan splits
+ROSTER_ROWS = 500_000
 #: prices of an edit, of an initial, and of a further spelling of the same person
 EDIT, INITIAL, FURTHER = 4, 1, 3
 # Sounds in brackets, fillers, labels of no person, titles, and what opens the questions.
@@ -537,7 +539,8 @@ def speaker_turns(df: DataFrame) -> DataFrame:
     roster = stage(rosters(read), "roster")
     names = F.array_distinct(F.concat(F.transform("names", lambda x: x["name"]), "labels"))
     wanted = read.where(F.col("s") != "").select("k", "s", F.explode(names).alias("form")).select("k", "s", F.explode(sounds(F.col("form"))).alias("block")).distinct()
-    met = wanted.join(roster.withColumn("block", F.explode(sounds(F.col("name")))), ["s", "block"])
+    blocks = roster.withColumn("block", F.explode(sounds(F.col("name"))))
+    met = wanted.join(F.broadcast(blocks) if small_enough(blocks, ROSTER_ROWS) else blocks, ["s", "block"])
     met = met.groupBy("k").agg(F.collect_set(F.struct("name", "role", F.col("calls").cast("int").alias("calls"))).alias("roster"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
