@@ -285,3 +285,14 @@ def test_numbered_needs_no_single_task(spark):
     want = df.withColumn("n", F.expr("row_number() over (partition by g order by x, id)").cast("bigint"))
     assert sorted(map(tuple, got.select("g", "x", "id", "n").collect())) == sorted(map(tuple, want.select("g", "x", "id", "n").collect()))
     assert backtest.numbered(df.limit(0), ["g"], ["x"], "n").count() == 0
+
+
+def test_all_characters_that_composing_changes_are_seen():
+    import re
+    import unicodedata
+
+    ranges = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", T._UNCOMPOSED)]
+    for i in (i for i in range(0x110000) if not 0xD800 <= i < 0xE000):
+        c = chr(i)
+        if unicodedata.normalize("NFC", c) != c or unicodedata.combining(c) or len(unicodedata.normalize("NFC", "e" + c)) != 2:
+            assert unicodedata.category(c)[0] == "M" or any(a <= i <= b for a, b in ranges), hex(i)

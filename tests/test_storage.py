@@ -198,3 +198,22 @@ def test_calls_from_pages(spark):
     got = articles.calls(spark.createDataFrame(rows, "id int, html string, quarter string, year int"), "id").orderBy("id").collect()
     assert [(r["id"], str(r["call_date"])) for r in got] == [(1, "2024-05-02"), (2, "2024-07-01")]
     assert got[0]["raw_text"] == "Ann Lee: We did very well this year. a b\n\nBo Ray: What about the costs of it? c"
+
+
+def test_running_tone_equals_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tonelake.operators import sentiment
+    from tonelake.sources import tables
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scored = sentiment.scored(tables.chunks(d)).select("chunk_id", "ticker", "quarter", "year", "words", "positive", "negative").withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    scored.unionByName(scored.limit(5)).repartition(3).write.parquet(str(tmp_path / "in"))  # five chunks arrive twice
+    stream = streaming.quarter_tone(streaming.arriving(spark, str(tmp_path / "in"), scored.schema, 1), "at")
+    q = stream.writeStream.format("memory").queryName("tones").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    key = lambda r: (r["ticker"], r["quarter"], r["year"])
+    running = {key(r): (round(r["net_sentiment_score"], 9), r["chunk_count"]) for r in spark.table("tones").collect()}
+    w = F.col("words")
+    batch = scored.groupBy("ticker", "quarter", "year").agg((F.sum((F.col("positive") - F.col("negative")) * w) / F.sum(w)).alias("t"), F.count("*").alias("n"))
+    assert running == {key(r): (round(r["t"], 9), r["n"]) for r in batch.collect()}

@@ -34,7 +34,12 @@ PATTERNS = (
 )
 #: characters around a match in which a period is looked for, and characters kept on both sides of its text
 NEAR, AROUND = 100, 20
-_MENTIONED = r"(?i)eps|earnings\s+per\s+share|revenue|sales|capital\s+expenditure|capex|margin|growth"
+# What every match of one of the patterns begins with, in one pattern: only texts that have it leave the JVM.
+_S = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]+"
+_BEGUN = (
+    rf"(?i)(?:expect|guid|project|anticipate|forecast)\w*{_S}(?:earnings{_S}per|EPS|diluted|total{_S}|net{_S}|revenue|sales|growth)|EPS{_S}guidance|revenue{_S}(?:guidance|outlook)"
+    rf"|(?:capital{_S}expenditures?|capex){_S}(?:of|approximately|between|\$|\p{{Nd}})|(?:gross|operating|net|EBITDA){_S}margin{_S}(?:of|approximately|between|expected|\p{{Nd}})"
+)
 
 
 def filing_of_period(filings: DataFrame) -> DataFrame:
@@ -134,7 +139,7 @@ def extract_guidance(texts: DataFrame, key: str, text: str = "text", grouped: bo
     """key, metric, low, high (null for a lone amount), unit, confidence, fiscal_period, raw_text, is_explicit: every plausible amount or range that a metric's patterns find in a text.
 
     All matches of all patterns count; equal ones of a metric once for each text. The period is the first one mentioned around the match. With `grouped` a number
-    may have thousands separators; without, digits after a comma are another number. Only texts that mention a metric leave the JVM. key tells texts apart.
+    may have thousands separators; without, digits after a comma are another number. Only texts that have the beginning of a pattern leave the JVM. key tells texts apart.
     """
-    rows = texts.where(F.col(text).rlike(_MENTIONED)).select(key, _found(grouped)(F.col(text)).alias("found"))
+    rows = texts.where(F.col(text).rlike(_BEGUN)).select(key, _found(grouped)(F.col(text)).alias("found"))
     return rows.select(key, F.inline("found"))

@@ -273,7 +273,8 @@ def _spoken(spark, folder):
     f = chunking.merged_sections(f, "k").withColumn("chunk_id", F.concat_ws(" ", "k.accession_number", "section")).select(*columns)
     c = spread(tables.call_texts(table(spark, folder, "transcripts"))).withColumn("k", F.struct("transcript_id", "ticker", F.lit("transcript").alias("form"), "quarter", "year"))
     c = chunking.first_question(chunking.line_turns(c, "k"), "k").withColumn("chunk_id", F.concat_ws(" ", F.lit("call"), "k.transcript_id", "turn_index")).select(*columns)
-    return f.unionByName(c).withColumn("section", F.when(T.has_guidance_keyword(F.col("text")), "guidance").otherwise(F.col("section"))).drop("text")
+    spoken = f.unionByName(c).withColumn("section", F.when(T.has_guidance_keyword(F.col("text")), "guidance").otherwise(F.col("section"))).drop("text")
+    return stage(spoken, "spoken")  # both sides of the pairs; made once
 
 
 @query(f"WITH {_PAIRS} SELECT ticker, a, b FROM p WHERE n <= 500")

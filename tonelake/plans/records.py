@@ -124,6 +124,16 @@ def period_strings(spark, folder):
     return g.select("quarter", "year", D.period_string(F.col("quarter"), F.col("year")).alias("period"), D.first_month(F.col("quarter")).alias("first_month"))
 
 
+@query("""WITH q AS (SELECT unnest(generate_series(1, 8)) AS i), p AS (SELECT 'Q' || quarter(DATE '2024-06-30' - to_months(CAST(3 * i AS INTEGER))) AS quarter, CAST(year(DATE '2024-06-30' - to_months(CAST(3 * i AS INTEGER))) AS INTEGER) AS year FROM q),
+c AS (SELECT DISTINCT transcript_id, upper(trim(ticker)) AS ticker, quarter, year FROM transcripts WHERE transcript_id IS NOT NULL AND trim(ticker) <> '')
+SELECT c.ticker, quarter, year, count(*) AS calls FROM c JOIN p USING (quarter, year) GROUP BY ALL""")
+def recent_calls(spark, folder):
+    """Calls of the eight quarters before a day, by company and quarter."""
+    past = spark.range(1).select(F.explode(D.past_quarters(F.lit("2024-06-30").cast("date"), 8)).alias("p")).select(F.split("p", " ")[0].alias("quarter"), F.split("p", " ")[1].cast("int").alias("year"))
+    calls = table(spark, folder, "transcripts").where("transcript_id is not null and trim(ticker) <> ''").select("transcript_id", tables.ticker().alias("ticker"), "quarter", "year").distinct()
+    return calls.join(F.broadcast(past), ["quarter", "year"]).groupBy("ticker", "quarter", "year").agg(F.count("*").alias("calls"))  # eight rows are broadcast
+
+
 @query("""SELECT o_orderstatus AS run_id, CAST(max(o_orderdate) AS VARCHAR)[:10] AS started_at, CAST(count(*) AS BIGINT) AS orders FROM orders GROUP BY o_orderstatus ORDER BY max(o_orderdate) DESC, run_id LIMIT 2""")
 def recent_runs(spark, folder):
     """The two newest runs."""
