@@ -31,7 +31,7 @@ LIST_WORDS = 1_000_000
 #: lists that are tried, as (level, times): words that documents up to the level hold so many times as often as those above it
 LISTS = tuple((level, times) for level in LEVELS[:-1] for times in (0.25, 0.5, 1.0, 2.0, 4.0))
 #: steps of the share, and of the logarithm of the length to base 2, in which sentences are counted for the fit
-SHARES, LENGTHS = 24, 4
+SHARES, LENGTHS = 48, 8
 #: lists that the cuts are fitted for (those of the least loss), steps of the score between which cuts may lie (at most 256)
 FITTED_LISTS, STEPS = 6, 160
 #: words (split at white space) that a document needs
@@ -227,7 +227,8 @@ def _fit(rated: DataFrame, words: list[tuple[str, list[int]]], documents: list[i
 
     rows = rated.select("t", "level").mapInArrow(run, "list bigint, share bigint, length bigint, level bigint, n bigint")
     tried: dict[int, dict[tuple[float, float], np.ndarray]] = {}
-    for r in sorted(tuple(r) for r in rows.groupBy("list", "share", "length", "level").agg(F.sum("n")).collect()):
+    counted = rows.groupBy("list", "share", "length", "level").agg(F.sum("n").cast("int").alias("n")).select(*[F.col(c).cast("smallint").alias(c) for c in ("list", "share", "length", "level")], "n").toArrow()
+    for r in sorted(zip(*(c.to_pylist() for c in counted.columns))):
         tried.setdefault(r[0], {}).setdefault((r[1] / SHARES, r[2] / LENGTHS), np.zeros(len(LEVELS)))[r[3] - 1] += r[4]
     if not tried:
         return None
