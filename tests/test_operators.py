@@ -116,7 +116,8 @@ def test_index_recall_on_tables(spark):
 
 
 def test_pairs_and_upsert(spark):
-    c = spark.createDataFrame([("A", "Q1", 2024, i, "qa" if i % 2 else "mda") for i in range(60)], "ticker string, quarter string, year int, chunk_id long, section string")
+    side = lambda i: ("transcript", "prepared_remarks") if i % 2 else ("10-Q", "mda")
+    c = spark.createDataFrame([("A", "Q1", 2024, i, *side(i)) for i in range(60)] + [("A", "Q1", 2024, 60, "8-K", "mda"), ("A", "Q1", 2024, 61, "transcript", "qa")], "ticker string, quarter string, year int, chunk_id long, form string, section string")
     whole = sorted((a, b) for a in range(1, 60, 2) for b in range(0, 60, 2))[:100]
     assert sorted((r["a"], r["b"]) for r in pairs.intra_period_pairs(c, most=100).collect()) == whole
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string"), spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "id int, x string")
@@ -127,7 +128,8 @@ def test_every_pair_is_scored(spark):
     from tonelake.plans import pipeline
 
     texts = lambda i: "record strong growth" if i % 2 else "loss decline weak" if i == 58 else "plain words"
-    c = spark.createDataFrame([("A", "Q1", 2024, i, "qa" if i % 2 else "mda", texts(i), 3, [1.0, 0.0]) for i in range(60)], "ticker string, quarter string, year int, chunk_id long, section string, text string, words int, embedding array<double>")
+    side = lambda i: ("transcript", "guidance") if i % 2 else ("10-K", "mda")
+    c = spark.createDataFrame([("A", "Q1", 2024, i, *side(i), texts(i), 3, [1.0, 0.0]) for i in range(60)], "ticker string, quarter string, year int, chunk_id long, form string, section string, text string, words int, embedding array<double>")
     assert pairs.intra_period_pairs(c).count() == 900
     # The only report that contradicts has the last id: its pairs with late call chunks lie beyond the first 500.
     assert sorted((r["a"], r["b"]) for r in pipeline.contradictions(c).collect()) == [(a, 58) for a in range(1, 60, 2)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
@@ -19,11 +19,16 @@ _ANY = "(?i)(?:" + "|".join(T.SECTION_HEADINGS[h] for h in OPENED) + ")"
 OFFICERS = ("CEO", "CFO", "COO", "IR")
 
 
+def _once(df: DataFrame, key: str, made: Column, name: str) -> DataFrame:
+    """key and a column that is costly to make. It comes out of a generator, so what follows reads it and doesn't make it again."""
+    return df.select(key, F.inline(F.array(F.struct(made.alias(name)))))
+
+
 def sections(filings: DataFrame, key: str, text: str = "text", least: int = 200) -> DataFrame:
     """key, section, n, body: the text from each heading to the next; those of at most `least` characters are dropped, a text without heading is one mda."""
     mark = F.regexp_replace(text, f"({_ANY})", "\u0001$1")
-    parts = F.split(mark, "\u0001")
-    rows = filings.where(F.length(text) > 0).select(key, F.posexplode(parts).alias("n", "body"), F.size(parts).alias("of"))
+    cut = _once(filings, key, F.split(mark, "\u0001"), "_parts").where("size(_parts) > 1 or _parts[0] <> ''")
+    rows = cut.select(key, F.posexplode("_parts").alias("n", "body"), F.size("_parts").alias("of"))
     kind = F.lit("unknown")
     for heading, section in reversed(OPENED.items()):
         kind = F.when(F.col("body").rlike(f"(?i)\\A(?:{T.SECTION_HEADINGS[heading]})"), section).otherwise(kind)
@@ -50,7 +55,7 @@ def line_turns(calls: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     Names of fewer than three characters or of digits alone are none; turns under ten characters are dropped, the rest numbered from 0.
     """
-    lines = calls.where(F.length(text) > 0).select(key, F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("n", "line"))
+    lines = _once(calls, key, F.split(text, r"\r\n|\r|\n"), "_lines").select(key, F.posexplode("_lines").alias("n", "line"))
     lines = lines.withColumn("speaker", F.nullif(F.trim(F.regexp_extract("line", LABEL, 1)), F.lit(""))).withColumn("title", F.regexp_extract("line", LABEL, 2))
     w = Window.partitionBy(key).orderBy("n")
     lines = lines.withColumn("turn", F.count("speaker").over(w)).where("turn > 0")
