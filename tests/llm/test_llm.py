@@ -99,6 +99,21 @@ def test_boundary_is_what_cut(spark):
     assert pieces == {i: t for i, t in enumerate(texts) if t}
 
 
+def test_overlap_reaches_over_short_bodies(spark):
+    """Bodies that end at ever weaker boundaries may be short; the overlap goes back over all of them, to the start of the text if it must."""
+    short = "A b c d.\n\nItem 1. Heading of it\nword word "
+    items = {"inside": "Words of a sentence here. " * 40 + short + "y" * 9000, "start": short + "y" * 9000}
+    df = spark.createDataFrame(list(items.items()), "k string, t string")
+    rows = split.pieces(df, "s", "k", "t").orderBy("item_key", "piece_no").collect()
+    for k, text in items.items():
+        mine = [r for r in rows if r["item_key"] == k]
+        assert "".join(r["piece"][r["shared"] :] for r in mine) == text
+        assert all(text[r["start"] : r["start"] + len(r["piece"])] == r["piece"] for r in mine)
+        assert min(len(r["piece"]) - r["shared"] for r in mine) < 10
+        assert all(r["start"] == 0 or 150 <= r["shared"] <= 250 for r in mine)
+        assert all(b["shared"] <= len(a["piece"]) for a, b in zip(mine, mine[1:]))
+
+
 # --- 3 near-duplicates
 
 

@@ -3,6 +3,8 @@
 import sys
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -21,6 +23,16 @@ def test_same_as_sql(spark, name):
     check(spark, QUERIES[name], ORACLES[name])
 
 
+def test_roundtrip_of_short_bodies(spark, tmp_path):
+    """Short bodies in a row, in the text and at its start, and the tables in which a filing has them."""
+    short = "A b c d.\n\nItem 1. Heading of it\nword word "
+    texts = ["Words of a sentence here. " * 40 + short + "y" * 9000, short + "y" * 9000, "Hi.\n\n" + "no stop " * 900, "w" * 4000, short, "", None]
+    pq.write_table(pa.table({"accession_number": [f"a{i}" for i in range(len(texts))], "raw_text": texts}), tmp_path / "filings.parquet")
+    pq.write_table(pa.table({"transcript_id": list(range(len(texts))), "raw_text": texts[::-1]}), tmp_path / "transcripts.parquet")
+    check(spark, QUERIES["p2_roundtrip"], ORACLES["p2_roundtrip"], str(tmp_path))
+    check(spark, QUERIES["p2_roundtrip"], ORACLES["p2_roundtrip"], "/root/testdata/sf0.01")
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     df = QUERIES[name](spark, FOLDER)

@@ -55,12 +55,12 @@ def p2_pieces(spark, folder):
 
 @query
 def p2_roundtrip(spark, folder):
-    """Each item out of its pieces: the digest of what they hold without what they share, and whether all keep the limit and overlap as stated."""
+    """Each item out of its pieces: the digest of what they hold without what they share, and whether all keep the limit and overlap as stated (a piece with less text before it shares all of that)."""
     p = p2_pieces(spark, folder)
     own = F.expr("transform(array_sort(collect_list(struct(piece_no, substr(piece, shared + 1) as own))), x -> x.own)")
     each = p.groupBy("source_table", "item_key").agg(
         own.alias("own"), F.min(F.length("piece") <= split.LIMIT).alias("within_limit"),
-        F.min((F.col("piece_no") == 0) | F.col("shared").between(split.OVERLAP - split.SLACK, split.OVERLAP + split.SLACK) | (F.length("piece") == split.LIMIT)).alias("overlapping"),
+        F.min((F.col("start") == 0) | F.col("shared").between(split.OVERLAP - split.SLACK, split.OVERLAP + split.SLACK) | (F.length("piece") == split.LIMIT)).alias("overlapping"),
     )
     return each.select("source_table", "item_key", F.md5(F.array_join("own", "").cast("binary")).alias("digest"), "within_limit", "overlapping")
 

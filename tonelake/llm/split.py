@@ -72,18 +72,18 @@ def pieces(df: DataFrame, source: str, key: str, text: str, limit: int = LIMIT,
     one = one_of_each(spread(_items(df, source, key, text).where(F.length("t") > 0)), ["s", "k"], "t")
     b = F.when(F.length("t") <= limit, F.array("t")).otherwise(F.regexp_extract_all("t", F.lit(body_pattern(limit, overlap, slack)), F.lit(0)))
     starts = F.expr("aggregate(b, array(0), (a, x) -> array_append(a, element_at(a, -1) + length(x)))")
-    far = overlap + slack
+    # what precedes a body as far as the overlap can reach, over as many bodies as that takes: several in a row may be short
+    before = F.expr(f"aggregate(b, array(''), (a, x) -> array_append(a, right(concat(element_at(a, -1), x), {overlap + slack})))")
     by_sentence, by_word = lookback_patterns(overlap, slack)
 
     def piece(i):
         body = F.element_at("b", i + 1)
-        # what precedes a body: the body before, and as much of the one before that as the overlap can reach
-        tail = F.concat(F.when(i > 1, F.right(F.element_at("b", i - 1), F.lit(far))).otherwise(""), F.element_at("b", i))
-        units = [F.regexp_extract(F.right(tail, F.lit(far)), by_sentence, 0), F.regexp_extract(F.right(tail, F.lit(overlap + slack // 3)), by_word, 0)]
+        tail = F.element_at("p", i + 1)
+        units = [F.regexp_extract(tail, by_sentence, 0), F.regexp_extract(F.right(tail, F.lit(overlap + slack // 3)), by_word, 0)]
         found = F.coalesce(*[F.nullif(u, F.lit("")) for u in units], F.right(tail, F.lit(overlap)))
         room = F.lit(limit) - F.length(body)
         shared = F.when(i == 0, "").otherwise(F.when(F.length(found) <= room, found).otherwise(F.right(found, room)))
         return F.struct(i.alias("n"), (F.element_at("e", i + 1) - F.length(shared)).alias("at"), F.length(shared).alias("o"), F.concat(shared, body).alias("x"))
 
-    cut = one.select("s", "k", b.alias("b")).withColumn("e", starts).select("s", "k", F.inline(F.transform(F.sequence(F.lit(0), F.size("b") - 1), piece)))
+    cut = one.select("s", "k", b.alias("b")).withColumns({"e": starts, "p": before}).select("s", "k", F.inline(F.transform(F.sequence(F.lit(0), F.size("b") - 1), piece)))
     return cut.select(F.col("s").alias("source_table"), F.col("k").alias("item_key"), F.col("n").alias("piece_no"), F.col("at").alias("start"), F.col("o").alias("shared"), F.col("x").alias("piece"))
